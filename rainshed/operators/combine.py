@@ -120,7 +120,8 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
 def site_coordinates(rows: DataFrame, order: Sequence[str] = ("time",)) -> DataFrame:
     """Coordinates of each site from its first row, joined later by key. Sites of equal name all stay."""
     names = [c for c in ("site_name", "lat", "lon", "elevation_ft") if c in rows.columns]
-    first = first_per_key(rows.select("site", *order, *names), ["site"], order)
+    wanted = [*order, *[n for n in names if n not in order]]
+    first = first_per_key(rows.select("site", *wanted), ["site"], order)
     return first.select("site", *names)
 
 
