@@ -289,8 +289,9 @@ def raster(product: str, rain: str, time: str, extra: str) -> str:
     known = lambda c: f"CASE WHEN g.{c} <> 50 THEN g.{c} END"
     return f"""
 SELECT {time}, g.y, g.x, c.lat, c.lon, {known('ppt')} AS {rain}, round({known('tmax')}, 6) AS tmax, round({known('tmin')}, 6) AS tmin{extra}
-FROM v2_grid g JOIN v5_cells c ON g.y = c.y AND g.x = c.x JOIN v10_basin b ON g.y = b.y AND g.x = b.x
-WHERE g.product = '{product}' AND g.scenario = 'O'"""
+FROM (SELECT product, day, y, x, sum(ppt) AS ppt, max(tmax) AS tmax, min(tmin) AS tmin FROM v2_grid GROUP BY 1, 2, 3, 4) g
+JOIN v5_cells c ON g.y = c.y AND g.x = c.x JOIN v10_basin b ON g.y = b.y AND g.x = b.x
+WHERE g.product = '{product}'"""
 
 
 R = ("v2_grid", "v5_cells", "v10_basin")

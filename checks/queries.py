@@ -556,8 +556,8 @@ def wrf_cube(spark, sf):
 
 
 def raster_rows(spark, sf, names, keys):
-    """Single-variable raster rows; the value 50 stands for missing data."""
-    grid = v.grid(spark, sf).filter("scenario = 'O'")
+    """Single-variable raster rows over all scenarios; the value 50 stands for missing data."""
+    grid = v.grid(spark, sf).groupBy(*keys).agg(F.sum("ppt").alias("ppt"), F.max("tmax").alias("tmax"), F.min("tmin").alias("tmin"))
     long = combine.stack_variables(grid, keys, names)
     return long.withColumn("value", F.when(F.col("value") == 50, -9999.0).otherwise(F.col("value")))
 

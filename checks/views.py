@@ -66,9 +66,7 @@ def wrf(spark: SparkSession, sf: str) -> DataFrame:
     hourly = table(spark, sf, "events").groupBy(
         times.floor_hour("ts").alias("time"), _int(F.floor(user / 10)).alias("y"), _int(user % 10).alias("x")
     ).agg(F.sum("value").alias("v"))
-    both = hourly.withColumn("w", F.col("v") / 10)
-    rain = running.running_total(both, ["y", "x"], "v", "time", "rainnc", chunk="month")
-    rain = running.running_total(rain, ["y", "x"], "w", "time", "rainc", chunk="month")
+    rain = running.running_totals(hourly, ["y", "x"], {"rainnc": "v", "rainc": F.col("v") / 10}, chunk="month")
     return rain.select("time", "y", "x", "rainnc", "rainc")
 
 

@@ -12,6 +12,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema
+from ..session import local_table
 from .sizing import BROADCAST_ROWS, broadcast_if_small
 
 
@@ -36,7 +38,7 @@ def edges_from_rings(spark: SparkSession, rings: Iterable[Iterable[tuple[float,
         if points[0] != points[-1]:
             points.append(points[0])
         rows += [(feature, *a, *b) for a, b in zip(points, points[1:])]
-    return spark.createDataFrame(rows, "feature int, x1 double, y1 double, x2 double, y2 double")
+    return local_table(spark, rows, schema.EDGES)
 
 
 def polygon_bounds(vertices: DataFrame, keys: Sequence[str] = (), lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -92,8 +94,8 @@ def points_inside(
     slices = edges.withColumn(
         "__band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2"))))
     )
-    if count * (bands + 1) <= BROADCAST_ROWS * 10:
-        slices = broadcast_if_small(slices)
+    # an edge spans at most all bands, which bounds the slices before any are made
+    slices = F.broadcast(slices) if count * (bands + 1) <= BROADCAST_ROWS else broadcast_if_small(slices)
     px, py = F.col("__px"), F.col("__py")
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     crosses = ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)

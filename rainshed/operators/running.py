@@ -8,7 +8,7 @@ series (a storm, a water year).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,20 +75,30 @@ def running_total(
     df: DataFrame, keys: Sequence[str], value: str | Column, time: str = "time",
     out: str = "total", chunk: str | None = None,
 ) -> DataFrame:
-    v = F.col(value) if isinstance(value, str) else value
+    return running_totals(df, keys, {out: value}, time, chunk)
+
+
+def running_totals(
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, str | Column], time: str = "time", chunk: str | None = None
+) -> DataFrame:
+    """Running totals of several values (new column -> value) over one sort of the rows."""
     keys = list(keys)
+    values = {out: F.col(v) if isinstance(v, str) else v for out, v in values.items()}
+    so_far = (Window.unboundedPreceding, Window.currentRow)
     if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out, _total(v, w))
-    cut = df.withColumn(_CHUNK, _piece(time, chunk)).withColumn("__v", v)
-    totals = cut.groupBy(*keys, _CHUNK).agg(F.sum("__v").alias("__sum"))
+        w = Window.partitionBy(*keys).orderBy(time).rowsBetween(*so_far)
+        return df.withColumns({out: _total(v, w) for out, v in values.items()})
+    held = {f"__v{i}": v for i, v in enumerate(values.values())}
+    cut = df.withColumns({_CHUNK: _piece(time, chunk), **held})
+    sums = cut.groupBy(*keys, _CHUNK).agg(*[F.sum(h).alias(h) for h in held])
     earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, _CHUNK, _total(F.col("__sum"), earlier).alias("__before"))
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = sums.select(*keys, _CHUNK, *[_total(F.col(h), earlier).alias(f"{h}_before") for h in held])
+    inside = Window.partitionBy(*keys, _CHUNK).orderBy(time).rowsBetween(*so_far)
+    totals = {out: F.col(f"{h}_before") + _total(F.col(h), inside) for out, h in zip(values, held)}
     return (
         cut.join(carried, [*keys, _CHUNK], "left")
-        .withColumn(out, F.col("__before") + _total(F.col("__v"), inside))
-        .drop(_CHUNK, "__v", "__before")
+        .withColumns(totals)
+        .drop(_CHUNK, *held, *[f"{h}_before" for h in held])
     )
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -32,6 +35,13 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """A small table from the program as a local relation: no job, and its size is known to the optimizer."""
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder named by ``spark.checkpoint.dir``, which all executors must see.
 

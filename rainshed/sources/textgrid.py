@@ -11,25 +11,28 @@ from ..functions.text import two_decimals
 
 
 def text_grid(df: DataFrame, value: str, steps: Sequence[str] = ("time",), y: str = "y", x: str = "x") -> DataFrame:
-    """Lines (steps..., line_no, line) of the grid. Cells without a row print as ``nan``.
+    """Lines (steps..., line_no, line) of the grid, from at most one row per step and cell.
 
-    A line gathers the cells of one grid row, so its size is the width of the grid; every step has
-    all grid rows and the empty line.
+    A line gathers the cells of one grid row, so its size is the width of the grid. Absent cells
+    print as ``nan``; every step has all grid rows and the empty line.
     """
     steps = list(steps)
     ends = df.agg(F.struct(*[f(c).alias(n) for n, f, c in (
         ("x0", F.min, x), ("x1", F.max, x), ("y0", F.min, y), ("y1", F.max, y))])).scalar()
-    cells = df.groupBy(*steps, y, x).agg(two_decimals(F.max(value)).alias("__t"))
-    rows = cells.groupBy(*steps, y).agg(F.map_from_entries(F.collect_list(F.struct(x, "__t"))).alias("__m"))
+    cells = df.select(*steps, y, F.struct(F.col(x).alias("x"), two_decimals(value).alias("t")).alias("__c"))
+    rows = cells.groupBy(*steps, y).agg(F.sort_array(F.collect_list("__c")).alias("__r"))
     lines = (
         df.select(*steps).distinct().withColumn("__e", ends)
         .select(*steps, F.explode(F.sequence(F.col("__e.y0"), F.col("__e.y1") + 1)).alias(y), "__e")
         .join(rows, [*steps, y], "left")
     )
-    values = F.transform(
-        F.sequence("__e.x0", "__e.x1"), lambda i: F.coalesce(F.element_at("__m", i), F.lit("nan"))
-    )
-    text = F.when(F.col(y) > F.col("__e.y1"), F.lit("")).otherwise(F.concat_ws(" ", values))
+    x0, x1, row = F.col("__e.x0"), F.col("__e.x1"), F.col("__r")
+    gap = lambda n: F.repeat(F.lit("nan "), n)
+    before = lambda i: F.when(i == 0, x0 - 1).otherwise(F.get(row, i - 1)["x"])
+    cells_text = F.array_join(F.transform(row, lambda c, i: F.concat(gap(c["x"] - before(i) - 1), c["t"])), " ")
+    full = F.concat(cells_text, F.repeat(F.lit(" nan"), x1 - F.element_at(row, -1)["x"]))
+    empty = F.rtrim(gap(x1 - x0 + 1))
+    text = F.when(F.col(y) > F.col("__e.y1"), F.lit("")).otherwise(F.coalesce(full, empty))
     return lines.select(*steps, (F.col(y) - F.col("__e.y0")).cast("int").alias("line_no"), text.alias("line"))
 
 
