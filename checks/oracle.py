@@ -297,6 +297,11 @@ WHERE g.product = '{product}'"""
 R = ("v2_grid", "v5_cells", "v10_basin")
 add("prism_cube", raster("PRISM", "ppt", "g.day AS time", ""), *R)
 add("ornl_cube", raster("ORNL", "prcp", "g.day AS time", ", round((CASE WHEN g.tmax <> 50 THEN g.tmax END + CASE WHEN g.tmin <> 50 THEN g.tmin END) / 2, 6) AS tmean"), *R)
+add("pnnl_cube", """
+SELECT g.scenario, g.time, g.y, g.x, CASE WHEN p > 2 THEN p END AS prec_acc_nc, CASE WHEN u > 2 THEN round(u, 6) END AS u10,
+       CASE WHEN w > 2 THEN round(w, 6) END AS v10, c.lat, c.lon, c.landmask
+FROM (SELECT scenario, day AS time, y, x, sum(ppt) AS p, max(u10) AS u, max(v10) AS w FROM v2_grid GROUP BY 1, 2, 3, 4) g
+JOIN v10_basin b ON g.y = b.y AND g.x = b.x JOIN v5_cells c ON g.y = c.y AND g.x = c.x WHERE p > 2 OR u > 2 OR w > 2""", *R)
 CHOSEN = f"""o AS (SELECT * FROM v1_obs WHERE variable IN ('AIR TEMP', 'PRECIPITATION', 'SNOWDEPTH')
   AND CAST(time AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-25' AND site IN (SELECT site FROM {IN_BASIN} i))"""
 add("snotel_cube", """

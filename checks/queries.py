@@ -141,7 +141,7 @@ def preview(spark, sf):
 
 
 def basin_rows(spark, sf):
-    return geo.mask_drop(v.grid(spark, sf), v.basin(spark, sf), bound=v.cells(spark, sf))
+    return geo.mask_drop(v.grid(spark, sf), v.basin(spark, sf))
 
 
 @query
@@ -220,7 +220,7 @@ def bbox_filter(spark, sf):
 
 @query
 def basin_mask_keep(spark, sf):
-    rows = geo.mask_keep(v.grid(spark, sf), v.basin(spark, sf), ["ppt", "t2"], bound=v.cells(spark, sf))
+    rows = geo.mask_keep(v.grid(spark, sf), v.basin(spark, sf), ["ppt", "t2"])
     return rows.select(*CELL, "ppt", r6("t2").alias("t2"))
 
 
@@ -377,32 +377,31 @@ def event_slices_table(spark, sf):
     return combine.event_slices(series, windows, "day")
 
 
-def storm_totals(spark, sf, how="mean"):
-    return storms.daily_storm_totals(
-        v.grid(spark, sf), v.WINDOWS, v.basin(spark, sf), "ppt", how, time="day", cells=v.cells(spark, sf), out="cum_ppt"
-    )
+def storm_totals(spark, sf, how="mean", basin=None):
+    basin = v.basin(spark, sf) if basin is None else basin
+    return storms.daily_storm_totals(v.grid(spark, sf), v.WINDOWS, basin, "ppt", how, time="day", out="cum_ppt")
 
 
-def hourly_totals(spark, sf, how="mean", daily=True):
-    return storms.hourly_storm_totals(
-        v.wrf(spark, sf), v.WINDOWS, v.basin(spark, sf), units.total_rain("rainc", "rainnc"), True, how,
-        cells=v.cells(spark, sf), out="cum_ppt", daily=daily,
-    )
+def hourly_totals(spark, sf, basin, how="mean", daily=True):
+    rain = units.total_rain("rainc", "rainnc")
+    return storms.hourly_storm_totals(v.wrf(spark, sf), v.WINDOWS, basin, rain, True, how, out="cum_ppt", daily=daily)
 
 
 @query
 def precip_comparison(spark, sf):
     columns = ["event", "product", "day", "cum_ppt"]
-    hourly = combine.label(hourly_totals(spark, sf), product="WRF-hourly")
-    both = combine.concat_rows([storm_totals(spark, sf).select(*columns), hourly.select(*columns)])
+    basin = v.basin(spark, sf)
+    hourly = combine.label(hourly_totals(spark, sf, basin), product="WRF-hourly")
+    both = combine.concat_rows([storm_totals(spark, sf, basin=basin).select(*columns), hourly.select(*columns)])
     return rounded(both, "cum_ppt")
 
 
 @query
 def precip_comparison_sum(spark, sf):
     columns = ["event", "product", "time", "cum_m"]
-    daily = storm_totals(spark, sf, "sum").withColumn("time", F.col("day").cast("timestamp_ntz"))
-    hourly = combine.label(hourly_totals(spark, sf, "sum", daily=False), product="WRF-hourly")
+    basin = v.basin(spark, sf)
+    daily = storm_totals(spark, sf, "sum", basin).withColumn("time", F.col("day").cast("timestamp_ntz"))
+    hourly = combine.label(hourly_totals(spark, sf, basin, "sum", daily=False), product="WRF-hourly")
     both = [storms.in_metres(t.withColumnRenamed("cum_ppt", "cum_m"), "cum_m").select(*columns) for t in (daily, hourly)]
     return rounded(combine.concat_rows(both), "cum_m")
 
@@ -585,6 +584,18 @@ def ornl_cube(spark, sf):
     return rounded(cube, "tmax", "tmin", "tmean")
 
 
+@query
+def pnnl_cube(spark, sf):
+    # one table per variable, each with gaps of its own; two scenarios
+    names = {"PREC_ACC_NC": "ppt", "U10": "u10", "V10": "v10"}
+    grid = v.grid(spark, sf).groupBy("scenario", F.col("day").alias("time"), "y", "x").agg(
+        F.sum("ppt").alias("ppt"), F.max("u10").alias("u10"), F.max("v10").alias("v10")
+    )
+    tables = {n: grid.filter(F.col(c) > 2).select("scenario", "time", "y", "x", F.col(c).alias(n)) for n, c in names.items()}
+    cube = cubes.pnnl_in_basin(cubes.pnnl_cube(tables), v.cells(spark, sf), v.edges(spark))
+    return rounded(cube.withColumnsRenamed({n: n.lower() for n in names}), "u10", "v10")
+
+
 @query
 def snotel_cube(spark, sf):
     inside = geo.stations_inside(v.stations(spark, sf), v.edges(spark))
@@ -597,5 +608,5 @@ def storm_map(spark, sf):
     days = ("2024-01-10", "2024-01-14")
     rain = maps.storm_map(v.hrrr_raw(spark, sf), days, "tp", "sum", positive_only=True)
     warm = maps.storm_map(v.hrrr_raw(spark, sf).filter("step_h = 0"), days, units.kelvin_to_celsius("t"), "mean")
-    both = combine.concat_rows([combine.label(rain, variable="tp"), combine.label(warm, variable="t_c")])
-    return rounded(maps.with_range(both, ["variable"]), "value", "low", "high").select("variable", "y", "x", "day", "value", "low", "high")
+    both = combine.concat_rows([maps.with_range(combine.label(m, variable=n)) for m, n in ((rain, "tp"), (warm, "t_c"))])
+    return rounded(both, "value", "low", "high").select("variable", "y", "x", "day", "value", "low", "high")

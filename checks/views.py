@@ -18,8 +18,19 @@ WINDOWS = [
 ]
 
 
+# given schemas spare a pass over the file footers
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _int(c) -> F.Column:
@@ -150,7 +161,7 @@ def edges(spark: SparkSession) -> DataFrame:
 
 
 def basin(spark: SparkSession, sf: str) -> DataFrame:
-    return geo.points_inside(cells(spark, sf), edges(spark))
+    return geo.basin_cells(cells(spark, sf), edges(spark))
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:

@@ -116,24 +116,32 @@ def points_inside(
     return inside if feature is not None else inside.distinct()
 
 
-def mark_cells(cells: DataFrame, inside: DataFrame, key: Sequence[str] = ("y", "x"), out: str = "in_basin") -> DataFrame:
-    """The static table with a flag. Write it once per grid and reuse it."""
-    flag = broadcast_if_small(inside.withColumn(out, F.lit(True)), bound=cells)
-    return cells.join(flag, list(key), "left").withColumn(out, F.coalesce(out, F.lit(False)))
+def basin_cells(
+    cells: DataFrame, edges: DataFrame, key: Sequence[str] = ("y", "x"), lon: str = "lon", lat: str = "lat", feature: int | None = 0
+) -> DataFrame:
+    """The mask of a grid: keys (and ``in_basin``, true) of its cells in the polygon.
+
+    It carries a broadcast hint when the grid is small enough, so masking does not shuffle the data.
+    Make it once per grid and polygon and pass it to every mask.
+    """
+    inside = points_inside(cells, edges, key, lon, lat, feature).withColumn("in_basin", F.lit(True))
+    return broadcast_if_small(inside, bound=cells)
 
 
-def mask_keep(
-    df: DataFrame, inside: DataFrame, variables: Sequence[str], key: Sequence[str] = ("y", "x"), bound: DataFrame | None = None
-) -> DataFrame:
+def mark_cells(cells: DataFrame, basin: DataFrame, key: Sequence[str] = ("y", "x")) -> DataFrame:
+    """The static table with an ``in_basin`` flag. Write it once per grid and reuse it."""
+    return cells.join(basin, list(key), "left").withColumn("in_basin", F.coalesce("in_basin", F.lit(False)))
+
+
+def mask_keep(df: DataFrame, basin: DataFrame, variables: Sequence[str], key: Sequence[str] = ("y", "x")) -> DataFrame:
     """Every row stays; the variables become missing outside."""
-    flag = broadcast_if_small(inside.withColumn("__in", F.lit(True)), bound)
-    joined = df.join(flag, list(key), "left")
-    return joined.withColumns({v: F.when(F.col("__in"), F.col(v)) for v in variables}).drop("__in")
+    joined = df.join(basin, list(key), "left")
+    return joined.withColumns({v: F.when(F.col("in_basin"), F.col(v)) for v in variables}).drop("in_basin")
 
 
-def mask_drop(df: DataFrame, inside: DataFrame, key: Sequence[str] = ("y", "x"), bound: DataFrame | None = None) -> DataFrame:
-    """Rows outside are dropped. ``bound``: a table that ``inside`` cannot outgrow, such as the cells."""
-    return df.join(broadcast_if_small(inside, bound), list(key), "left_semi")
+def mask_drop(df: DataFrame, basin: DataFrame, key: Sequence[str] = ("y", "x")) -> DataFrame:
+    """Rows outside are dropped."""
+    return df.join(basin, list(key), "left_semi")
 
 
 def clip(
@@ -149,7 +157,7 @@ def clip(
         return raster.limit(0)
     near = box_filter(raster, bounds, lon, lat)
     cells = box_filter(raster if grid is None else grid, bounds, lon, lat)
-    return mask_drop(near, points_inside(cells, edges, key, lon, lat, feature=None), key, bound=cells)
+    return mask_drop(near, basin_cells(cells, edges, key, lon, lat, feature=None), key)
 
 
 def stations_inside(
@@ -180,9 +188,11 @@ def mesh(x_axis: DataFrame, y_axis: DataFrame, x_index: str = "ix", y_index: str
     return y_axis.withColumn(x_index, F.explode(indices)).join(x_axis, x_index)
 
 
-def attach_cells(df: DataFrame, cells: DataFrame, key: Sequence[str] = ("y", "x")) -> DataFrame:
+def attach_cells(
+    df: DataFrame, cells: DataFrame, key: Sequence[str] = ("y", "x"), bound: DataFrame | None = None
+) -> DataFrame:
     """Static coordinates (lat, lon, height, land mask) of each row's cell."""
-    return df.join(broadcast_if_small(cells), list(key), "left")
+    return df.join(broadcast_if_small(cells, bound), list(key), "left")
 
 
 def first_layer(meta: DataFrame, key: Sequence[str] = ("y", "x"), time: str = "time") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +33,7 @@ def hrrr_cube(
     if parameters:
         variables = [v for v in variables if v in parameters]
         cube = select.select_variables(cube, variables, ["time", "y", "x", "lon", "lat"])
-    return geo.mask_keep(cube, geo.points_inside(cells, edges), variables, bound=cells)
+    return geo.mask_keep(cube, geo.basin_cells(cells, edges), variables)
 
 
 def wrf_cube(
@@ -45,8 +45,8 @@ def wrf_cube(
     variables, _ = select.choose_variables(parameters, schema.WRF_VARIABLES)
     variables = [v for v in variables if v in rows.columns]
     rows = select.select_variables(rows, variables, ["time", "y", "x"])
-    marked = geo.mark_cells(cells, geo.points_inside(cells, edges)).select("y", "x", "lat", "lon", "hgt", "in_basin")
-    placed = rows.join(geo.broadcast_if_small(marked, bound=cells), ["y", "x"], "left")
+    marked = geo.mark_cells(cells, geo.basin_cells(cells, edges)).select("y", "x", "lat", "lon", "hgt", "in_basin")
+    placed = geo.attach_cells(rows, marked, bound=cells)
     return placed.withColumns({v: missing.where(F.col("in_basin"), v) for v in variables}).drop("in_basin")
 
 
@@ -72,6 +72,19 @@ def ornl_cube(
     return catalog.derive(cube, "ornl")
 
 
+def pnnl_cube(tables: Mapping[str, DataFrame], keys: Sequence[str] = ("scenario", "time", "y", "x")) -> DataFrame:
+    """Tables of one variable each, with any number of files and scenarios, side by side."""
+    long = [
+        df.select(*keys, F.lit(name).alias("variable"), F.col(name).cast("double").alias("value")) for name, df in tables.items()
+    ]
+    return combine.merge_variables(missing.clean_table(combine.concat_rows(long)), keys, list(tables))
+
+
+def pnnl_in_basin(cube: DataFrame, cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """Only cells of the basin, with their coordinates and land mask."""
+    return geo.attach_cells(geo.mask_drop(cube, geo.basin_cells(cells, edges)), cells.select("y", "x", "lat", "lon", "landmask"))
+
+
 def snotel_cube(
     readings: DataFrame, stations: DataFrame, variables: str | Sequence[str] = "", frequency: str = "hourly",
     dates: tuple[str, str] | None = None,

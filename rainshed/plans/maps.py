@@ -20,9 +20,10 @@ def storm_map(
     return daily.withColumn(out, missing.positive(out)) if positive_only else daily
 
 
-def with_range(maps: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Each map row with the colour limits of its group: one row per group, joined by key."""
-    return maps.join(reduce.value_range(maps, keys, value), list(keys))
+def with_range(maps: DataFrame, value: str = "value") -> DataFrame:
+    """Each row of a map with its colour limits, a one-row aggregate used as a scalar."""
+    limits = reduce.value_range(maps, [], value).select(F.struct("low", "high")).scalar()
+    return maps.withColumns({"low": limits.getField("low"), "high": limits.getField("high")})
 
 
 def point_series(

@@ -14,29 +14,29 @@ Windows = DataFrame | Sequence[tuple[str, str, str]]
 
 
 def daily_storm_totals(
-    grid: DataFrame, windows: Windows, inside: DataFrame, value: str, how: str = "mean",
-    keys: Sequence[str] = ("event", "product"), time: str = "day", cells: DataFrame | None = None, out: str = "cum",
+    grid: DataFrame, windows: Windows, basin: DataFrame, value: str, how: str = "mean",
+    keys: Sequence[str] = ("event", "product"), time: str = "day", out: str = "cum",
 ) -> DataFrame:
     """Daily products: window -> cells of the basin -> mean or sum per day -> running total.
 
     A series is at most as long as its storm window, so one task per series is enough.
     """
-    rows = geo.mask_drop(combine.event_slices(grid, windows, time), inside, bound=cells)
+    rows = geo.mask_drop(combine.event_slices(grid, windows, time), basin)
     step = (reduce.basin_mean if how == "mean" else reduce.basin_sum)(rows, [*keys, time], value, "__v")
     return running.running_total(step, keys, "__v", time, out).drop("__v")
 
 
 def hourly_storm_totals(
-    grid: DataFrame, windows: Windows, inside: DataFrame, value: str | Column, accumulated: bool,
+    grid: DataFrame, windows: Windows, basin: DataFrame, value: str | Column, accumulated: bool,
     how: str = "mean", keys: Sequence[str] = ("event",), key: Sequence[str] = ("y", "x"), time: str = "time",
-    cells: DataFrame | None = None, out: str = "cum", daily: bool = True, clip_negative: bool = False,
+    out: str = "cum", daily: bool = True, clip_negative: bool = False,
 ) -> DataFrame:
     """Hourly products: as above, taking accumulated rain apart per cell first, then the daily highest.
 
     The change per cell is taken inside its storm window, which bounds the series.
     """
     keys = list(keys)
-    rows = geo.mask_drop(combine.event_slices(grid, windows, time), inside, key, bound=cells)
+    rows = geo.mask_drop(combine.event_slices(grid, windows, time), basin, key)
     if accumulated:
         rows = running.step_change(rows, [*keys, *key], value, time, "__p", clip_negative)
     else:

@@ -56,8 +56,8 @@ def test_polygon_against_brute_force(spark):
 def test_keep_and_drop_give_the_same_mean(spark):
     df = spark.range(400).select((F.col("id") % 20).cast("int").alias("y"), F.floor(F.col("id") / 20).cast("int").alias("x"), F.col("id").cast("double").alias("v"))
     cells = df.select("y", "x", F.col("x").cast("double").alias("lon"), F.col("y").cast("double").alias("lat"))
-    inside = geo.points_inside(cells, geo.edges_from_rings(spark, [[(2, 3), (15, 4), (9, 17)]]))
-    keep, drop = geo.mask_keep(df, inside, ["v"], bound=cells), geo.mask_drop(df, inside, bound=cells)
+    inside = geo.basin_cells(cells, geo.edges_from_rings(spark, [[(2, 3), (15, 4), (9, 17)]]))
+    keep, drop = geo.mask_keep(df, inside, ["v"]), geo.mask_drop(df, inside)
     assert keep.count() == 400 and 0 < drop.count() < 400
     assert keep.agg(F.avg("v")).first()[0] == drop.agg(F.avg("v")).first()[0]
     marked = geo.mark_cells(cells, inside)

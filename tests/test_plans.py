@@ -36,7 +36,7 @@ def test_masking_does_not_shuffle_the_data(spark, sf_dir):
     from rainshed.operators import geo
 
     raw = views.table(spark, sf_dir, "lineitem").selectExpr("CAST(floor(l_suppkey / 10) AS INT) AS y", "CAST(l_suppkey % 10 AS INT) AS x", "l_quantity AS v")
-    text = plan(geo.mask_drop(raw, views.basin(spark, sf_dir), bound=views.cells(spark, sf_dir)))
+    text = plan(geo.mask_drop(raw, views.basin(spark, sf_dir)))
     top = text.split("BroadcastExchange")[0]
     assert "BroadcastHashJoin" in top and "hashpartitioning" not in top
 
