@@ -118,13 +118,17 @@ FROM {HRRR_MERGED} m JOIN (
     FROM v4_cells c CROSS JOIN (SELECT * FROM (VALUES ('Glacier Peak', CAST(48.1048 AS DOUBLE), CAST(-121.1124 AS DOUBLE)),
       ('Mount Baker', CAST(48.7758 AS DOUBLE), CAST(-121.8199 AS DOUBLE))) AS q(point, plat, plon)) p) r WHERE n = 1) n
 ON m.y = n.y AND m.x = n.x""", "v4_hrrr_raw", "v4_cells")
-add("embed_dem_regular", """
-SELECT c.y, c.x, c.lat, c.lon, d.elevation FROM (
+REGULAR = """
+SELECT c.y, c.x, {columns} FROM (
   SELECT c.*, CASE WHEN c.lon BETWEEN h.x0 AND h.x1 AND c.lat BETWEEN h.y0 AND h.y1 THEN ceil((c.lon - h.x0) / h.dx - 0.5) END AS ix,
          CASE WHEN c.lon BETWEEN h.x0 AND h.x1 AND c.lat BETWEEN h.y0 AND h.y1 THEN ceil((c.lat - h.y0) / h.dy - 0.5) END AS iy
   FROM v5_cells c CROSS JOIN (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1,
        (max(x) - min(x)) / (max(ix) - min(ix)) AS dx, (max(y) - min(y)) / (max(iy) - min(iy)) AS dy FROM v6_dem) h) c
-LEFT JOIN v6_dem d ON d.ix = c.ix AND d.iy = c.iy""", "v5_cells", "v6_dem")
+LEFT JOIN {raster} d ON d.ix = c.ix AND d.iy = c.iy"""
+add("embed_dem_regular", REGULAR.format(columns="c.lat, c.lon, d.elevation", raster="v6_dem"), "v5_cells", "v6_dem")
+add("embed_dem_band_mean", REGULAR.format(
+    columns="d.elevation", raster="(SELECT iy, ix, round(avg(elevation), 6) AS elevation FROM v6_bands GROUP BY 1, 2)"
+), "v5_cells", "v6_dem", "v6_bands")
 add("embed_dem_irregular", """
 SELECT s.site, s.lat, s.lon, arg_min(d.elevation, {'d2': (s.lon - d.x) * (s.lon - d.x) + (s.lat - d.y) * (s.lat - d.y), 'id': d.iy * 40 + d.ix}) AS elevation
 FROM v7_stations s CROSS JOIN v6_dem d GROUP BY 1, 2, 3""", "v6_dem", "v7_stations")

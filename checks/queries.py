@@ -291,6 +291,12 @@ def dem_band_mean(spark, sf):
     return rounded(elevation.band_mean(v.dem_bands(spark, sf)), "elevation")
 
 
+@query
+def embed_dem_band_mean(spark, sf):
+    rows = elevation.embed_band_mean(v.cells(spark, sf), v.dem_bands(spark, sf))
+    return rounded(rows, "elevation").select("y", "x", "elevation")
+
+
 # -- water years -------------------------------------------------------------------------------------
 
 

@@ -35,11 +35,10 @@ def _embed(
     targets: DataFrame, dem: DataFrame, lon: str, lat: str, clamp: bool, x: str, y: str, ix: str, iy: str, elevation: str
 ) -> DataFrame:
     header = dem.agg(F.struct(*_axis(dem, ix, x), *_axis(dem, iy, y))).scalar()
-    get = header.getField
-    located = targets.withColumns({
-        "__ix": _nearest_index(F.col(lon), get(f"{x}_0"), get(f"{x}_1"), get(f"{x}_i0"), get(f"{x}_i1"), clamp),
-        "__iy": _nearest_index(F.col(lat), get(f"{y}_0"), get(f"{y}_1"), get(f"{y}_i0"), get(f"{y}_i1"), clamp),
-    })
+    head = lambda axis: [F.col(f"__h.{axis}_{part}") for part in ("0", "1", "i0", "i1")]
+    located = targets.withColumn("__h", header).withColumns({
+        "__ix": _nearest_index(F.col(lon), *head(x), clamp), "__iy": _nearest_index(F.col(lat), *head(y), clamp),
+    }).drop("__h")
     points = dem.select(F.col(ix).alias("__ix"), F.col(iy).alias("__iy"), F.col(elevation).alias("elevation"))
     return located.join(points, ["__ix", "__iy"], "left").drop("__ix", "__iy")
 
@@ -68,3 +67,8 @@ def embed_on_curves(
 def band_mean(dem: DataFrame, keys: Sequence[str] = ("iy", "ix", "y", "x")) -> DataFrame:
     """Mean over the bands of a raster (missing bands are left out)."""
     return dem.groupBy(*keys).agg(F.avg("elevation").alias("elevation"))
+
+
+def embed_band_mean(targets: DataFrame, dem: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """The older form: all bands count, by their mean."""
+    return embed_on_axes(targets, band_mean(dem), lon, lat)

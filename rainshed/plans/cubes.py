@@ -98,10 +98,9 @@ def snotel_cube(
         rows = select.time_slice(rows, *dates)
     rows = rows.filter(F.col("variable").isin(names) & F.col("value").isNotNull())
     chosen = combine.known_sites(rows.withColumn("site", F.col("site").cast("string")), stations)
-    dense = combine.densify(
-        combine.station_slots(chosen, names, frequency), frequency,
-        axis=chosen.select(combine.slot("time", frequency).alias("time")), sites=chosen,
-    )
+    # both axes come from the same pairs, whose exchange Spark reuses
+    pairs = chosen.select("site", combine.slot("time", frequency).alias("time")).distinct()
+    dense = combine.densify(combine.station_slots(chosen, names, frequency), frequency, axis=pairs, sites=pairs)
     return combine.attach_sites(dense, combine.site_coordinates(stations, ["site_name"]))
 
 
