@@ -77,7 +77,7 @@ def normalize_lon(spark, sf):
 @query
 def floor_time(spark, sf):
     # the WRF text form of each reading's time, parsed and floored, beside the floor to the day
-    rows = v.obs(spark, sf).withColumn("text", F.date_format("time", "yyyy-MM-dd_HH:mm:ss"))
+    rows = v.obs(spark, sf).withColumn("text", times.wrf_time_text("time"))
     return rows.select("site", "time", times.parse_wrf_time("text").alias("hour"), times.floor_day("time").alias("day"))
 
 
@@ -553,7 +553,7 @@ def hrrr_cube(spark, sf):
 @query
 def wrf_cube(spark, sf):
     raw = v.wrf(spark, sf).select(
-        F.date_format("time", "yyyy-MM-dd_HH:mm:ss").alias("Times"), F.col("y").alias("south_north"), F.col("x").alias("west_east"),
+        times.wrf_time_text("time").alias("Times"), F.col("y").alias("south_north"), F.col("x").alias("west_east"),
         F.col("rainc").alias("RAINC"), F.col("rainnc").alias("RAINNC"),
     )
     cube = cubes.wrf_cube(raw, v.cells(spark, sf), v.edges(spark), "RAINC,RAINNC,T2")

@@ -26,6 +26,11 @@ def parse_wrf_time(text: Column | str) -> Column:
     return floor_hour(F.replace(_col(text), F.lit("_"), F.lit(" ")).try_cast("timestamp_ntz"))
 
 
+def wrf_time_text(time: Column | str) -> Column:
+    """A naive time to the second as ``YYYY-MM-DD_HH:MM:SS``, without passing through the session zone."""
+    return F.replace(F.substring(_col(time).cast("timestamp_ntz").cast("string"), 1, 19), F.lit(" "), F.lit("_"))
+
+
 def water_year(time: Column | str) -> Column:
     """October to September, named after the year it ends in."""
     c = _col(time)

@@ -91,22 +91,31 @@ def densify(
     slots: DataFrame, frequency: str = "hourly", site: str = "site", time: str = "time",
     axis: DataFrame | None = None, sites: DataFrame | None = None,
 ) -> DataFrame:
-    """Every site at every time that occurs at any site.
+    """Every site at every time that occurs at any site, from at most one row per site and time.
 
-    Times are exploded per site from the ends of the axis and cut to those that occur; the result
-    is as large as times x sites by definition, but no cross join makes it. ``axis`` and ``sites``
-    may be given where they come cheaper than from ``slots``.
+    The result is as large as times x sites by definition, so it is made last, without a shuffle of
+    its rows: slots and times are packed by day (by month for daily data), sites and packs meet in
+    equi-joins, and only then are the times unfolded. A pack holds at most 24 hours or 31 days.
+    ``axis`` and ``sites`` may be given where they come cheaper than from ``slots``.
     """
-    axis = (slots if axis is None else axis).select(time).distinct()
-    sites = (slots if sites is None else sites).select(site).distinct()
-    ends = axis.agg(F.struct(F.min(time).alias("a"), F.max(time).alias("b"))).scalar()
-    step = F.expr("interval 1 hour" if frequency == "hourly" else "interval 1 day")
-    grid = (
-        sites.withColumn("__e", ends)
-        .select(site, F.explode(F.sequence("__e.a", "__e.b", step)).alias(time))
-        .join(axis, [time], "left_semi")
+    values = [c for c in slots.columns if c not in (site, time)]
+    unit = "day" if frequency == "hourly" else "month"
+    pack = lambda c: F.to_date(c) if unit == "day" else F.trunc(c, "month")
+    times_of = (
+        (slots if axis is None else axis).select(time).distinct()
+        .groupBy(pack(F.col(time)).alias("__p")).agg(F.collect_list(time).alias("__times"))
     )
-    return grid.join(slots, [site, time], "left")
+    ends = times_of.agg(F.struct(F.min("__p").alias("a"), F.max("__p").alias("b"))).scalar()
+    entry = F.struct(F.col(time), F.struct(*[F.col(f"`{v}`") for v in values]).alias("v"))
+    held = slots.groupBy(site, pack(F.col(time)).alias("__p")).agg(F.map_from_entries(F.collect_list(entry)).alias("__held"))
+    frame = (
+        (slots if sites is None else sites).select(site).distinct()
+        .withColumn("__e", ends)
+        .select(site, F.explode(F.sequence("__e.a", "__e.b", F.expr(f"interval 1 {unit}"))).alias("__p"))
+    )
+    rows = frame.join(held, [site, "__p"], "left").join(times_of, "__p").withColumn(time, F.explode("__times"))
+    found = F.element_at("__held", F.col(time))
+    return rows.select(site, time, found.alias("__v")).select(site, time, *[F.col(f"__v.`{v}`").alias(v) for v in values])
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -145,6 +154,8 @@ def event_slices(df: DataFrame, windows: DataFrame | Sequence[tuple[str, str, st
             "event", F.explode(F.sequence("start_day", "end_day", F.expr("interval 1 day"))).alias("__day")
         )
         return df.withColumn("__day", F.to_date(F.col(time))).join(days, "__day").drop("__day")
+    if not windows:
+        return df.withColumn("event", F.lit(None).cast("string")).limit(0)
     tests = [(name, times.within_days(df, time, start, end)) for name, start, end in windows]
     hits = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests]))
     return df.filter(reduce(lambda a, b: a | b, [t for _, t in tests])).withColumn("event", F.explode(hits))

@@ -106,3 +106,16 @@ def snotel_cube(
 
 def write(cube: DataFrame, product: str, path: str, mode: str = "overwrite") -> str:
     return catalog.write_cube(cube.withColumn("product", F.lit(product)), path, mode)
+
+
+def build(
+    expected: DataFrame, listing: DataFrame, cube: DataFrame, product: str, path: str, mode: str = "overwrite", key: str = "path"
+) -> DataFrame:
+    """A whole build: account for the files of a manifest, stop when none came, write the cube.
+
+    ``listing`` holds the files that arrived. The cube is not computed before the check. Returns the
+    arrival report.
+    """
+    inventory.require_arrivals(expected.select(key).join(listing.select(key), [key], "left_semi"))
+    write(cube, product, path, mode)
+    return inventory.arrival_report(expected, listing, key=key)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.times import wrf_time_text
 
 
 def check_dates(start: str, end: str, frequency: str = "daily") -> None:
@@ -79,7 +80,7 @@ def wrf_files(requests: DataFrame, include_end: bool = True) -> DataFrame:
             (F.year(t) - F.when(F.month(t) > 9, 0).otherwise(1)).cast("string"),
             F.lit("/d0"), F.col("domain").cast("string"), F.lit("/"),
             _choice(F.col("data_tier"), schema.WRF_TIER_PREFIX, "data tier"),
-            F.lit("_d01_"), F.date_format(t, "yyyy-MM-dd_HH:mm:ss"),
+            F.lit("_d01_"), wrf_time_text(t),
         ),
     )
 

@@ -19,21 +19,24 @@ def text_grid(df: DataFrame, value: str, steps: Sequence[str] = ("time",), y: st
     steps = list(steps)
     ends = df.agg(F.struct(*[f(c).alias(n) for n, f, c in (
         ("x0", F.min, x), ("x1", F.max, x), ("y0", F.min, y), ("y1", F.max, y))])).scalar()
-    cells = df.select(*steps, y, F.struct(F.col(x).alias("x"), two_decimals(value).alias("t")).alias("__c"))
-    rows = cells.groupBy(*steps, y).agg(F.sort_array(F.collect_list("__c")).alias("__r"))
-    lines = (
-        df.select(*steps).distinct().withColumn("__e", ends)
-        .select(*steps, F.explode(F.sequence(F.col("__e.y0"), F.col("__e.y1") + 1)).alias(y), "__e")
-        .join(rows, [*steps, y], "left")
-    )
     x0, x1, row = F.col("__e.x0"), F.col("__e.x1"), F.col("__r")
     gap = lambda n: F.repeat(F.lit("nan "), n)
     before = lambda i: F.when(i == 0, x0 - 1).otherwise(F.get(row, i - 1)["x"])
-    cells_text = F.array_join(F.transform(row, lambda c, i: F.concat(gap(c["x"] - before(i) - 1), c["t"])), " ")
-    full = F.concat(cells_text, F.repeat(F.lit(" nan"), x1 - F.element_at(row, -1)["x"]))
-    empty = F.rtrim(gap(x1 - x0 + 1))
-    text = F.when(F.col(y) > F.col("__e.y1"), F.lit("")).otherwise(F.coalesce(full, empty))
-    return lines.select(*steps, (F.col(y) - F.col("__e.y0")).cast("int").alias("line_no"), text.alias("line"))
+    known = F.array_join(F.transform(row, lambda c, i: F.concat(gap(c["x"] - before(i) - 1), c["t"])), " ")
+    written = (
+        df.select(*steps, y, F.struct(F.col(x).alias("x"), two_decimals(value).alias("t")).alias("__c"))
+        .groupBy(*steps, y).agg(F.sort_array(F.collect_list("__c")).alias("__r"))
+        .withColumn("__e", ends)
+        .select(*steps, y, F.concat(known, F.repeat(F.lit(" nan"), x1 - F.element_at(row, -1)["x"])).alias("line"))
+    )
+    frame = (
+        df.select(*steps).distinct().withColumn("__e", ends)
+        .select(*steps, F.explode(F.sequence(F.col("__e.y0"), F.col("__e.y1") + 1)).alias(y), "__e")
+    )
+    blank = F.when(F.col(y) > F.col("__e.y1"), F.lit("")).otherwise(F.rtrim(gap(x1 - x0 + 1)))
+    return frame.join(written, [*steps, y], "left").select(
+        *steps, (F.col(y) - F.col("__e.y0")).cast("int").alias("line_no"), F.coalesce("line", blank).alias("line")
+    )
 
 
 def write_text_grid(lines: DataFrame, path: str, steps: Sequence[str] = ("time",), mode: str = "errorifexists") -> str:

@@ -9,6 +9,55 @@ from rainshed.session import scratch_path
 from rainshed.streaming import hourly
 
 
+from pyspark.sql import functions as F
+
+from rainshed.plans import cubes, storms, wateryears
+from rainshed.sources import catalog, inventory, manifests
+
+
+def hourly_rain(spark):
+    rows = [(dt.datetime(2020, 1, d, h), x, float(d + h % 3 + x)) for d in (1, 2, 3) for h in range(0, 24, 6) for x in (0, 1, 2)]
+    return spark.createDataFrame(rows, "time timestamp_ntz, x int, rain double").withColumn("y", F.lit(0))
+
+
+def test_rates_and_their_accumulation_give_the_same_storm(spark):
+    basin = spark.createDataFrame([(0, 0), (0, 1)], "y int, x int")
+    rain = hourly_rain(spark)
+    windows = [("s", "2020-01-02", "2020-01-03")]
+    from rainshed.operators import running
+
+    total = running.running_total(rain, ["y", "x"], "rain", out="acc")
+    rates = storms.hourly_storm_totals(rain, windows, basin, "rain", False)
+    taken_apart = storms.hourly_storm_totals(total, windows, basin, "acc", True)
+    first = rain.filter("time = timestamp_ntz'2020-01-02 00:00:00' AND x < 2").agg(F.avg("rain")).first()[0]
+    a, b = ({r["day"].day: r["cum"] for r in d.collect()} for d in (rates, taken_apart))
+    # the accumulated form loses the first hour of the window
+    assert set(a) == {2, 3} and all(a[d] == pytest.approx(b[d] + first) for d in a)
+
+
+def test_water_years_add_up(spark):
+    rows = [(dt.date(2019, 9, 29) + dt.timedelta(days=i), float(i % 7)) for i in range(800)]
+    df = spark.createDataFrame(rows, "time date, ppt double").withColumn("product", F.lit("P"))
+    totals = {r["water_year"]: r["total_m"] for r in wateryears.totals(df, ["product"], "ppt").collect()}
+    peaks = {r["water_year"]: r["peak_m"] for r in wateryears.peaks(df, ["product"], "ppt").collect()}
+    assert set(totals) == {2019, 2020, 2021, 2022} and totals[2019] == pytest.approx(0.001)
+    assert sum(totals.values()) == pytest.approx(df.agg(F.sum("ppt")).first()[0] / 1000)
+    assert all(totals[y] == pytest.approx(peaks[y]) for y in totals)
+
+
+def test_build_stops_without_files_and_reports_gaps(spark, tmp_path):
+    expected = manifests.wrf_files(manifests.wrf_request(spark, "era5", "2020-01-01", "2020-01-02"))
+    cube = hourly_rain(spark)
+    with pytest.raises(ValueError, match="no files"):
+        cubes.build(expected, expected.limit(0), cube, "WRF", str(tmp_path / "a"))
+    assert not (tmp_path / "a").exists()
+    report = cubes.build(expected, expected.filter("hour(time) < 3"), cube, "WRF", str(tmp_path / "b"))
+    assert report.first().asDict() == {"expected": 25, "fetched": 4, "failed": 21}
+    assert catalog.read_cube(spark, str(tmp_path / "b")).count() == cube.count()
+    named = inventory.with_file_name(spark.read.parquet(str(tmp_path / "b")))
+    assert named.filter(F.endswith("file_name", F.lit(".parquet"))).count() == cube.count()
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
