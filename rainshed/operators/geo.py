@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..session import local_table
-from .sizing import BROADCAST_ROWS, broadcast_if_small
+from . import sizing
+from .sizing import broadcast_if_small
 
 
 @dataclasses.dataclass(frozen=True)
@@ -95,7 +96,7 @@ def points_inside(
         "__band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2"))))
     )
     # an edge spans at most all bands, which bounds the slices before any are made
-    slices = F.broadcast(slices) if count * (bands + 1) <= BROADCAST_ROWS else broadcast_if_small(slices)
+    slices = F.broadcast(slices) if count * (bands + 1) <= sizing.BROADCAST_ROWS else broadcast_if_small(slices)
     px, py = F.col("__px"), F.col("__py")
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     crosses = ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)

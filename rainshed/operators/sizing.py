@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, bound: DataFrame | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, bound: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:
     """Hint a broadcast of ``df`` when ``bound``, a table it cannot outgrow, is small enough.
 
     Catalyst overestimates the result of joins and aggregates, so a few hundred basin cells would
@@ -17,4 +17,4 @@ def broadcast_if_small(df: DataFrame, bound: DataFrame | None = None, max_rows:
     the join is a shuffle join under AQE, which splits hot keys. The count reads no columns.
     """
     rows = (df if bound is None else bound).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    return F.broadcast(df) if rows <= (BROADCAST_ROWS if max_rows is None else max_rows) else df

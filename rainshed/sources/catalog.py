@@ -90,14 +90,17 @@ def open_dataset(
 
 def station_request(
     readings: DataFrame, variables: Sequence[str], dates: tuple[str, str],
-    ids: str | Sequence[str] | None = None, stations: DataFrame | None = None,
+    ids: str | Sequence[str] | None = None, stations: DataFrame | None = None, frequency: str = "",
 ) -> DataFrame:
     """Readings of listed stations (comma list or names) or of a table of stations, for some days.
 
     Stations without readings are simply absent; ``site_name`` comes along from the table.
+    ``frequency`` picks the hourly or daily partition of a store that holds both.
     """
     if (ids is None) == (stations is None):
         raise ValueError("give either station ids or a table of stations")
+    if frequency:
+        readings = readings.filter(F.col("frequency") == frequency)
     chosen = time_slice(readings.filter(F.col("variable").isin(list(variables))), *dates)
     if ids is not None:
         names = [i.strip() for i in (ids.split(",") if isinstance(ids, str) else ids) if i.strip()]

@@ -90,6 +90,28 @@ def test_masking_does_not_shuffle_the_data(spark, sf_dir):
     assert "BroadcastHashJoin" in top and "hashpartitioning" not in top
 
 
+@pytest.mark.parametrize("name", [
+    "precip_comparison", "basin_mask_keep", "dem_clip", "wrf_cube", "hrrr_cube", "station_cube", "snotel_cube", "event_slices_table",
+    "basin_cumulative", "wrf_hourly_precip", "embed_dem_regular", "text_grid", "mesh_grid", "manifest_gaps",
+])
+def test_same_rows_when_nothing_may_be_broadcast(name, spark, sf_dir, duck_con, monkeypatch):
+    from checks.compare import difference
+    from checks.oracle import SQL
+    from rainshed.operators import sizing
+
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", -1)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = QUERIES[name](spark, sf_dir)
+        assert difference(df, duck_con, SQL[name]) is None
+        assert "BroadcastHashJoin" not in plan(df)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [("c1", dt.datetime(2024, 1, d, h), 1.0) for d in range(1, 8) for h in range(24)]
