@@ -17,7 +17,10 @@ def known(value: Column | str, nodata: float | None = None) -> Column:
 
 
 def clean_table(df: DataFrame, nodata: float | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Apply ``known`` to the given columns, or to every float column."""
+    """Apply ``known`` to the given columns, or to every float column.
+
+    Filter first: a condition on a cleaned column no longer reaches the file scan.
+    """
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({c: known(c, nodata) for c in columns})

@@ -73,13 +73,14 @@ def box_filter(df: DataFrame, bounds: Bounds, lon: str = "lon", lat: str = "lat"
 
 def points_inside(
     points: DataFrame, edges: DataFrame, key: Sequence[str] = ("y", "x"), lon: str = "lon", lat: str = "lat",
-    feature: int | None = 0, bands: int = 1024,
+    feature: int | None = 0, bands: int | None = None,
 ) -> DataFrame:
     """Keys of the points strictly inside the polygon (a point on an edge or corner is outside).
 
     Even-odd ray cast with the on-edge points taken out. Only edges that span a point's latitude
     matter, so points and edges meet in an equi-join on latitude bands instead of all against all.
-    ``feature`` picks one polygon; None takes a point that is inside any of them.
+    ``feature`` picks one polygon; None takes a point that is inside any of them. There are about as
+    many bands as edges, so a point meets only a few.
     """
     if feature is not None:
         edges = edges.filter(F.col("feature") == feature)
@@ -87,6 +88,7 @@ def points_inside(
     key = list(key)
     if bounds is None:
         return points.select(*key).limit(0)
+    bands = bands or min(max(256, count), 65536)
     height = (bounds.max_lat - bounds.min_lat) / bands or 1.0
 
     def band(y: Column) -> Column:

@@ -3,7 +3,8 @@
 A series is one key and its times. Where a series can be long, ``chunk`` cuts it by calendar: each
 piece is handled on its own and one row per piece carries the last value or the total on to the
 next. A hot key is then spread over many tasks. Without ``chunk`` the keys must already bound the
-series (a storm, a water year).
+series (a storm, a water year). Key and time columns hold no missing values, and a key has one row
+per time.
 """
 
 from __future__ import annotations

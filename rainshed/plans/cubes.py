@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -22,12 +23,9 @@ def hrrr_cube(
     holds one row per grid cell with lon (-180..180) and lat.
     """
     bounds = geo.total_bounds(edges.filter(F.col("feature") == 0))
-    rows = missing.clean_table(select.hour_range(raw, start, end))
-    rows = rows.filter(
-        F.col("lon360").between(bounds.min_lon + 360.0, bounds.max_lon + 360.0)
-        & F.col("lat").between(bounds.min_lat, bounds.max_lat)
-    )
-    cube = combine.merge_forecast_steps(rows)
+    box = dataclasses.replace(bounds, min_lon=bounds.min_lon + 360.0, max_lon=bounds.max_lon + 360.0)
+    rows = geo.box_filter(select.hour_range(raw, start, end), box, "lon360", "lat")
+    cube = combine.merge_forecast_steps(missing.clean_table(rows))
     cube = cube.withColumn("lon", units.lon_from_360("lon360")).drop("lon360")
     variables = [c for c in cube.columns if c not in ("time", "y", "x", "lon", "lat")]
     if parameters:
@@ -93,10 +91,10 @@ def snotel_cube(
     names, _ = select.choose_variables(variables, schema.SNOTEL_VARIABLES)
     if not names:
         raise ValueError("no valid station variables")
-    rows = missing.clean_table(readings)
+    rows = select.select_long(readings, names)
     if dates:
         rows = select.time_slice(rows, *dates)
-    rows = rows.filter(F.col("variable").isin(names) & F.col("value").isNotNull())
+    rows = missing.clean_table(rows).filter(F.col("value").isNotNull())
     chosen = combine.known_sites(rows.withColumn("site", F.col("site").cast("string")), stations)
     # both axes come from the same pairs, whose exchange Spark reuses
     pairs = chosen.select("site", combine.slot("time", frequency).alias("time")).distinct()

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import missing, units
 from ..operators.select import time_slice
@@ -31,7 +32,7 @@ def ornl_cube_name(
 def write_cube(
     df: DataFrame, path: str, mode: str = "errorifexists", partitions: Sequence[str] = ("product", "year"), time: str = "time"
 ) -> str:
-    """Write a long cube, partitioned and sorted by time inside the files.
+    """Write a long cube, partitioned and sorted by time inside the files; NaN becomes NULL on the way.
 
     The rebalance hint lets AQE cut large partitions and join small ones into files of its target
     size, so a product that holds most rows does not end up in one task.
@@ -40,15 +41,23 @@ def write_cube(
         raise ValueError(f"mode must be one of {MODES}")
     if "year" in partitions and "year" not in df.columns:
         df = df.withColumn("year", F.year(time))
+    df = missing.clean_table(df)
     parts = [p for p in partitions if p in df.columns]
     order = [*parts, time, *[c for c in ("y", "x", "site") if c in df.columns]]
     df.hint("rebalance", *parts).sortWithinPartitions(*order).write.mode(mode).partitionBy(*parts).parquet(path)
     return path
 
 
-def read_cube(spark: SparkSession, *paths: str) -> DataFrame:
-    """One or many cube files or folders as one table: time is a column, so this is the concatenation."""
-    return missing.clean_table(spark.read.option("mergeSchema", True).parquet(*paths))
+def read_cube(spark: SparkSession, *paths: str, schema: StructType | str | None = None, merge: bool = False) -> DataFrame:
+    """One or many cube files or folders as one table: time is a column, so this is the concatenation.
+
+    Values come as they are stored, so that box and time filters reach the files. Give the schema of
+    the product where files differ in their variables; ``merge`` finds it by reading every footer,
+    which suits small stores only. For files of other writers apply ``missing.clean_table`` after
+    the filters.
+    """
+    reader = spark.read.option("mergeSchema", merge)
+    return (reader.schema(schema) if schema is not None else reader).parquet(*paths)
 
 
 def derive(df: DataFrame, product: str) -> DataFrame:

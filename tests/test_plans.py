@@ -75,6 +75,22 @@ def test_filters_reach_the_scan(name, pushed, spark, sf_dir):
     assert pushed in text.split("PushedFilters: ")[1].split("ReadSchema")[0]
 
 
+def test_forecast_filters_reach_the_files(spark, tmp_path):
+    from rainshed import schema
+    from rainshed.operators import geo
+
+    row = (dt.datetime(2024, 1, 1, 5), 0, 1, 2, 238.5, 48.0, 270.0, 50.0, float("nan"), 3.0, None, 1.0, 2.0)
+    spark.createDataFrame([row, row[:1] + (1,) + row[2:10] + (0.5, 1.0, 2.0)], schema.HRRR_RAW).write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.schema(schema.HRRR_RAW).parquet(str(tmp_path / "raw"))
+    cells = spark.createDataFrame([(1, 2, -121.5, 48.0)], "y int, x int, lon double, lat double")
+    edges = geo.edges_from_rings(spark, [[(-122, 47), (-121, 47), (-121, 49), (-122, 49)]])
+    cube = cubes.hrrr_cube(raw, cells, edges, "2024-01-01 00:00:00", "2024-01-02 00:00:00")
+    got = cube.first().asDict()
+    assert (got["lon"], got["t"], got["tp"], got["si10"]) == (-121.5, 270.0, 0.5, None)
+    # the plan text is cut after a hundred characters; conditions on other columns follow these
+    assert "PushedFilters: [IsNotNull(time), IsNotNull(lon360), IsNotNull(lat), GreaterThanOrEqual(time," in plan(cube)
+
+
 def test_only_needed_columns_are_read(spark, sf_dir):
     text = plan(QUERIES["water_year_total"](spark, sf_dir))
     assert "l_comment" not in text and "l_discount" not in text.split("ReadSchema")[1]
