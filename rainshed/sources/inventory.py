@@ -25,12 +25,17 @@ def missing_files(expected: DataFrame, arrived: DataFrame, key: str = "path") ->
 
 
 def arrival_report(expected: DataFrame, arrived: DataFrame, by: Sequence[str] = (), key: str = "path") -> DataFrame:
-    """Expected, fetched and failed files per group; a file that arrived twice counts once."""
+    """Expected, fetched and failed files per group; a file that arrived twice counts once.
+
+    Files asked for by many requests are counted before the join, so copies do not meet in one task.
+    """
     seen = arrived.select(key).distinct().withColumn("__seen", F.lit(True))
-    return expected.join(seen, [key], "left").groupBy(*by).agg(
-        F.count("*").alias("expected"),
-        F.count("__seen").alias("fetched"),
-        F.count_if(F.col("__seen").isNull()).alias("failed"),
+    asked = expected.groupBy(*by, key).agg(F.count("*").alias("__n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return asked.join(seen, [key], "left").groupBy(*by).agg(
+        total(F.col("__n")).alias("expected"),
+        total(F.when(F.col("__seen"), F.col("__n"))).alias("fetched"),
+        total(F.when(F.col("__seen").isNull(), F.col("__n"))).alias("failed"),
     )
 
 
