@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe_roundtrip
+from .langid import op9_language_id
 
-QUERIES = {f.__name__: f for f in (op8_bpe_roundtrip,)}
+QUERIES = {f.__name__: f for f in (op8_bpe_roundtrip, op9_language_id)}
 SQL: dict[str, str] = {}
