@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe_roundtrip
+from .decontaminate import op5_decontaminate
 from .langid import op9_language_id
 
-QUERIES = {f.__name__: f for f in (op8_bpe_roundtrip, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op5_decontaminate, op8_bpe_roundtrip, op9_language_id)}
 SQL: dict[str, str] = {}
