@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op8_bpe_roundtrip
 from .decontaminate import op5_decontaminate
 from .langid import op9_language_id
+from .neardup import op3_near_duplicates
 
-QUERIES = {f.__name__: f for f in (op5_decontaminate, op8_bpe_roundtrip, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op3_near_duplicates, op5_decontaminate, op8_bpe_roundtrip, op9_language_id)}
 SQL: dict[str, str] = {}
