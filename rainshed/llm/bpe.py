@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-MEMO_TOKENS = 700_000  # resolved pre-tokens a worker keeps; then it starts anew
+MEMO_TOKENS = 400_000  # resolved pre-tokens a worker keeps; then it starts anew
 MEMO_LENGTH = 64  # longer pre-tokens are not kept
 _LOADED: dict[str, Vocabulary] = {}
 
