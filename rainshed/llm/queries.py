@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from .bpe import op8_bpe_roundtrip
 from .decontaminate import op5_decontaminate
+from .htmltext import op4_main_text
 from .langid import op9_language_id
 from .neardup import op3_near_duplicates
 from .warc import op1_warc_roundtrip
 
-QUERIES = {f.__name__: f for f in (op1_warc_roundtrip, op3_near_duplicates, op5_decontaminate, op8_bpe_roundtrip, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_warc_roundtrip, op3_near_duplicates, op4_main_text, op5_decontaminate, op8_bpe_roundtrip, op9_language_id)}
 SQL: dict[str, str] = {}
