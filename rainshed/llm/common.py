@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rainshed.session import scratch_path
 
@@ -28,3 +30,20 @@ def slices(array: pa.Array, rows: int = ROWS_PER_BATCH) -> Iterator[pa.Array]:
     """An Arrow array in pieces, so that only few long texts are Python objects at a time."""
     for at in range(0, len(array), rows):
         yield array.slice(at, rows)
+
+
+def packed(text: Column | str) -> Column:
+    """BINARY text, compressed: for texts that are shuffled more than once. Null is the empty text."""
+
+    @F.arrow_udf("binary")
+    def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.array([compress(t or b"") for piece in slices(batch.cast(pa.binary())) for t in piece.to_pylist()], pa.binary())
+
+    return pack(text)
+
+
+def unpacked(array: pa.Array) -> Iterator[bytes]:
+    restore = zstandard.ZstdDecompressor().decompress
+    return (restore(x) for piece in slices(array) for x in piece.to_pylist())

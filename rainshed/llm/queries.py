@@ -7,7 +7,8 @@ from .decontaminate import op5_decontaminate
 from .htmltext import op4_main_text
 from .langid import op9_language_id
 from .neardup import op3_near_duplicates
+from .repeats import op10_repeated_passages
 from .warc import op1_warc_roundtrip
 
-QUERIES = {f.__name__: f for f in (op1_warc_roundtrip, op3_near_duplicates, op4_main_text, op5_decontaminate, op8_bpe_roundtrip, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_warc_roundtrip, op3_near_duplicates, op4_main_text, op5_decontaminate, op8_bpe_roundtrip, op9_language_id, op10_repeated_passages)}
 SQL: dict[str, str] = {}
