@@ -8,8 +8,13 @@ from rainshed.llm.common import materialize, table
 from rainshed.llm import stages
 
 STAGES = [
-    ("encode", stages.encode),
+    ("language_id", stages.identify_language),
+    ("near_dedup", stages.drop_near_duplicates),
+    ("decontamination", stages.decontaminate_benchmarks),
+    ("personal_data", stages.mask_personal_data),
+    ("byte_level_bpe", stages.encode),
 ]
+#: Language, similarity and token ids are not expressible in SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 

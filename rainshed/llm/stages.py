@@ -1,10 +1,41 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> the documents a stage keeps."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> the documents a stage keeps, with the columns they have.
+
+Null texts are empty: they have no language and go with the first stage. Rows without an id are documents like others; rows
+that repeat an id and its text are copies. Columns beyond those of ``documents`` are passed on. Empty tables stay empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import bpe, decontaminate, langid, neardup, pii
+from .common import materialize, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of an undetermined language (no letters) go."""
+    model = langid.fit(langid.training_rows(docs))
+    return docs.filter(langid.identify("text", model)["lang"] != langid.UNDETERMINED)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked at a similarity of 0.8 that with the smallest id stays."""
+    kept = neardup.near_duplicates(docs, percent=80).filter("kept").select(F.col("row").alias("_row")).distinct()
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    return keyed.join(materialize(kept, "kept"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+
+
+def decontaminate_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), out="_found")
+    return found.filter(F.size("_found.hits") == 0).select(*docs.columns)
+
 
-from . import bpe
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows the text."""
+    done = pii.masked(docs)
+    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
