@@ -36,12 +36,14 @@ class PerfectHash:
     def __init__(self, keys: list[bytes]):
         n = max(1, len(keys))
         self.n, self.buckets = n, n // 3 + 1
+        if len(set(keys)) != len(keys):
+            raise ValueError("keys must differ")
         hashes = np.array([self._hash(k) for k in keys], dtype=np.uint64).reshape(-1, 2)
         bucket = (hashes[:, 0] % np.uint64(self.buckets)).astype(np.int64)
         members: list[list[int]] = [[] for _ in range(self.buckets)]
         for i, b in enumerate(bucket.tolist()):
             members[b].append(i)
-        first, second = (hashes[:, 0] >> np.uint64(32)).tolist(), hashes[:, 1].tolist()
+        second = hashes[:, 1].tolist()
         self.seed = [0] * self.buckets
         self.slot: list[int] = [-1] * n
         free = 0
@@ -54,12 +56,12 @@ class PerfectHash:
                 self.seed[b], self.slot[free] = -free - 1, members[b][0]
                 continue
             for d in itertools.count():
-                places = {(second[i] + d * (first[i] | 1)) % n for i in members[b]}
+                places = {self._place(second[i], d) for i in members[b]}
                 if len(places) == len(members[b]) and all(self.slot[p] < 0 for p in places):
                     break
             self.seed[b] = d
             for i in members[b]:
-                self.slot[(second[i] + d * (first[i] | 1)) % n] = i
+                self.slot[self._place(second[i], d)] = i
         self.keys = [keys[i] if i >= 0 else b"" for i in self.slot]
 
     @staticmethod
@@ -67,11 +69,14 @@ class PerfectHash:
         h = xxhash.xxh3_128_intdigest(key)
         return h & 0xFFFFFFFFFFFFFFFF, h >> 64
 
+    def _place(self, h: int, seed: int) -> int:
+        return ((h ^ seed * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 >> 24 & 0xFFFFFFFFFF) % self.n
+
     def find(self, key: bytes) -> int:
         """The position of ``key`` among the keys, or -1."""
         low, high = self._hash(key)
         d = self.seed[low % self.buckets]
-        at = -d - 1 if d < 0 else (high + d * ((low >> 32) | 1)) % self.n
+        at = -d - 1 if d < 0 else self._place(high, d)
         return self.slot[at] if self.keys[at] == key else -1
 
 
