@@ -6,7 +6,7 @@ kind. Possessive and anchored forms give the same matches as the plain ones in t
 Bootstrapping: base finds are seeds. The two words before a find are its pattern. Tokens that look like identifiers but are
 not base finds are candidates, each with its pattern too. Patterns and the values they occur with form a graph. A pattern's
 confidence for a kind is the mean score of its distinct values, damped by ``PRIOR`` values of score 0; a value that is no
-seed has the score 1 - product(1 - confidence) over its patterns. ``ROUNDS`` rounds later, candidates of the kind's shape
+seed has for a pattern the score 1 - product(1 - confidence) over its other patterns. ``ROUNDS`` rounds later, candidates of the kind's shape
 are reported where they stand after a pattern of ``CONFIDENT`` or more.
 
 Edge cases: a null text is empty. Rows are told apart by the hash of id and text: equal rows have equal finds. Null ids are
@@ -114,9 +114,11 @@ def _score(graph: DataFrame) -> DataFrame:
 
     scored = confidence(firm)
     for _ in range(ROUNDS):
-        doubt = F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))
-        values = loose.join(scored, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("score"))
-        found = loose.join(values, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"))
+        # what a pattern says of a value does not come back to it: its own vote is taken out again
+        votes = materialize(loose.join(scored, "pattern").select("pattern", "value", "kind", F.log1p(-F.least("confidence", F.lit(0.999))).alias("vote")), "votes")
+        sums = materialize(votes.groupBy("value", "kind").agg(F.sum("vote").alias("all")), "values")
+        heard = loose.join(sums, "value").join(votes, ["pattern", "value", "kind"], "left")
+        found = heard.groupBy("pattern", "kind").agg(F.sum(1 - F.exp(F.col("all") - F.coalesce("vote", F.lit(0.0)))).alias("sum"))
         scored = materialize(confidence(firm.union(found).groupBy("pattern", "kind").agg(F.sum("sum").alias("sum"))), "scored")
     return scored
 
