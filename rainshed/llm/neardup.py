@@ -6,9 +6,10 @@
 3. Candidates are compared by batches of the signature. After each batch the posterior probability that the similarity
    reaches the threshold (uniform prior) is looked up; under ``MISS`` the pair is dropped. Survivors are verified on the
    full shingle sets of their texts. Links give components.
-4. Buckets that still hold several components are taken up again: nodes of different components are compared with one
-   another, in blocks of ``BLOCK`` nodes that are dealt over the tasks, and survivors are verified. At first only the best
-   pairs of two components are verified; if that left any out, the rounds go on with more, at last with all.
+4. Buckets that still hold several components are taken up again, in blocks of ``BLOCK`` nodes that are dealt over the
+   tasks. Nodes of different components are compared by their signatures in the first bucket they share. Nodes with a
+   survivor bring their texts to the same blocks, where the sizes of all intersections come from one product of matrices;
+   no pair becomes a row unless it is a link between components.
 
 With 26 bands of 5 a pair of similarity 0.85 shares no bucket with probability 2e-7, one of 0.8 with 3e-5.
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import materialize, packed, slices, table, unpacked
 from .components import components
 from .hashing import Substrings
 
@@ -132,67 +133,95 @@ def _prune(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return with_both.filter(possible("sa", "sb")).select("a", "b")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold."""
+def _verify(pairs: DataFrame, packs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full shingle sets reach the threshold. ``packs`` holds the compressed texts (id, data)."""
 
     @F.arrow_udf("boolean")
     def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         last: tuple[bytes, np.ndarray] = (b"", np.empty(0, np.uint64))
         for left, right in batches:
             out = []
-            for p, q in zip(slices(left.cast(pa.binary())), slices(right.cast(pa.binary())), strict=True):
-                for a, b in zip(p.to_pylist(), q.to_pylist(), strict=True):
-                    if a != last[0]:
-                        last = (a, shingles_of(a))
-                    other = shingles_of(b)
-                    common = len(np.intersect1d(last[1], other, assume_unique=True))
-                    out.append(100 * common >= percent * (len(last[1]) + len(other) - common))
+            for a, b in zip(unpacked(left), unpacked(right), strict=True):
+                if a != last[0]:
+                    last = (a, shingles_of(a))
+                other = shingles_of(b)
+                common = len(np.intersect1d(last[1], other, assume_unique=True))
+                out.append(100 * common >= percent * (len(last[1]) + len(other) - common))
             yield pa.array(out, pa.bool_())
 
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    with_both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    with_a = pairs.join(packs.select(F.col("id").alias("a"), F.col("data").alias("ta")), "a")
+    with_both = with_a.join(packs.select(F.col("id").alias("b"), F.col("data").alias("tb")), "b")
     return with_both.filter(similar("ta", "tb")).select("a", "b").distinct()
 
 
-def _compare_blocks(percent: int, most: int | None):
-    """For a block of a bucket: pairs of different components that the signatures leave possible, ``most`` of each two."""
+_DEALT = "band bigint, left int, right int, id bigint, component bigint, part int"
+
+
+def _crossing(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Components of a block's nodes, and the places of its two parts (the same twice, or two different ones)."""
+    part, left, right = group.column("part").to_numpy(), group.column("left")[0].as_py(), group.column("right")[0].as_py()
+    return group.column("component").to_numpy(), np.flatnonzero(part == left), np.flatnonzero(part == right)
+
+
+def _open_nodes(percent: int):
+    """Nodes of a block with a possible link to another component that no earlier band shows."""
     steps = least_matches(percent)
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, comps = group.column("id").to_numpy(), group.column("component").to_numpy()
-        part, left, right = group.column("part").to_numpy(), group.column("left")[0].as_py(), group.column("right")[0].as_py()
+        comps, first, second = _crossing(group)
         signatures = _signatures(group.column("signature").combine_chunks())
-        first, second = np.flatnonzero(part == left), np.flatnonzero(part == right)
-        found = []
+        bands = np.array(group.column("bands").to_pylist())
+        own = int(np.flatnonzero(bands[0] == group.column("band")[0].as_py())[0])
+        wanted = np.zeros(len(comps), bool)
         for i in first:
-            others = second[(comps[second] != comps[i]) & ((ids[second] > ids[i]) | (left != right))]
+            others = second[comps[second] != comps[i]]
+            others = others[~(bands[others, :own] == bands[i, :own]).any(1)]
             if len(others):
-                alive, matches = _plausible(np.broadcast_to(signatures[i], (len(others), signatures.shape[1])), signatures[others], steps)
-                found += [(int(m), int(i), int(others[k])) for k, m in zip(alive, matches, strict=True)]
-        found.sort(reverse=True)
-        seen: dict[tuple[int, int], int] = {}
-        out, more = [], False
-        for _, i, j in found:
-            pair = (min(comps[i], comps[j]), max(comps[i], comps[j]))
-            seen[pair] = seen.get(pair, 0) + 1
-            if most is not None and seen[pair] > most:
-                more = True
-                continue
-            out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), False))
-        if more:
-            out.append((-1, -1, True))
-        return pa.Table.from_arrays(
-            [pa.array([int(x[0]) for x in out], pa.int64()), pa.array([int(x[1]) for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_())],
-            names=["a", "b", "more"],
-        )
+                alive, _ = _plausible(np.broadcast_to(signatures[i], (len(others), signatures.shape[1])), signatures[others], steps)
+                wanted[others[alive]] = True
+                wanted[i] |= len(alive) > 0
+        return group.select(["band", "left", "right", "id", "component", "part"]).filter(pa.array(wanted))
 
     return compare
 
 
+def _exact_links(percent: int):
+    """Linked components (a, b) among the nodes of a block, by the intersections of their full shingle sets."""
+
+    def link(group: pa.Table) -> pa.Table:
+        comps, first, second = _crossing(group)
+        sets = [shingles_of(t) for t in unpacked(group.column("data").combine_chunks())]
+        sizes = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, column, copies = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # a shingle of one node adds to no intersection
+        keep = copies[column] > 1
+        owner, column = owner[keep], np.unique(column[keep], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        common = np.zeros((len(sets), len(sets)), np.float64)
+        width = 1 << 13
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [at, at + width])
+            held = np.zeros((len(sets), width), np.float32)
+            held[owner[a:b], column[a:b] - at] = 1
+            common += held @ held.T
+        linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        x, y = np.nonzero(linked[np.ix_(first, second)])
+        x, y = comps[first[x]], comps[second[y]]
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return link
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row: linked at a Jaccard similarity of ``percent`` or more."""
+    """(row, doc_id, n_shingles, component_id, kept) for every row: linked at a Jaccard similarity of ``percent`` or more.
+
+    ``row`` is a hash of id and text, by which the rows of ``docs`` can be joined even if they have no id.
+    """
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = materialize(source.select("id", sketch("text").alias("s")).select("id", "s.*"), "sketches")
+    rows = materialize(source.select(F.xxhash64("id", "text").alias("row"), "id", sketch("text").alias("s")).select("row", "id", "s.*"), "sketches")
     # one node for each set: the first of its ids
     firsts = materialize(rows.filter("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id")), "firsts")
     nodes = materialize(rows.join(firsts, ["key", "id"]).select("id", "signature", "bands"), "nodes")
@@ -200,40 +229,30 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     heads = materialize(buckets.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("size")).filter("size > 1"), "heads")
     shared = materialize(buckets.join(heads, "band"), "buckets")
     pairs = materialize(shared.filter("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    texts = source.join(firsts.select("id"), "id", "left_semi")
-    pairs = materialize(_prune(pairs, nodes, percent), "pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-    links = materialize(_verify(pairs, materialize(texts.join(wanted, "id", "left_semi"), "texts"), percent), "links")
+    # texts of nodes that share a bucket with another move once, compressed; how many these are is not bounded, so no broadcast
+    candidates = materialize(shared.select("id").distinct(), "candidates")
+    packs = materialize(source.select("id", packed("text").alias("data")).join(candidates.hint("merge"), "id", "left_semi"), "packs")
+    links = materialize(_verify(materialize(_prune(pairs, nodes, percent), "pairs"), packs, percent), "links")
     labels = components(links)
 
-    for most in (4, 64, None):
-        members = shared.filter("size > 2").select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-        members = materialize(members, "members")
-        mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high")
-        mixed = materialize(mixed.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "mixed")
-        open_rows = members.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-            "band", "id", "component", "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right")
-        )
-        compared = materialize(dealt.join(nodes.select("id", "signature"), "id"), "dealt").groupBy("band", "left", "right").applyInArrow(
-            _compare_blocks(percent, most), "a bigint, b bigint, more boolean"
-        )
-        compared = materialize(compared.distinct(), "compared")
-        again = compared.filter("more").limit(1).count() > 0
-        pairs = compared.filter("not more").select("a", "b")
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        found = materialize(_verify(pairs, materialize(texts.join(wanted, "id", "left_semi"), "texts"), percent), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
-        if not again:
-            break
+    members = shared.filter("size > 2").select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    members = materialize(members, "members")
+    mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high")
+    mixed = materialize(mixed.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "mixed")
+    dealt = members.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = materialize(dealt.select("band", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "id", "component", "part"), "dealt")
+    block = ["band", "left", "right"]
+    possible = materialize(dealt.join(nodes, "id").groupBy(*block).applyInArrow(_open_nodes(percent), _DEALT), "open")
+    found = materialize(possible.join(packs, "id").groupBy(*block).applyInArrow(_exact_links(percent), "a bigint, b bigint"), "links")
+    if not found.isEmpty():
+        labels = components(links.union(found))
     classes = materialize(firsts.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component")), "classes")
-    found = rows.select("id", F.col("n").cast("long").alias("n_shingles"), "key").join(classes, "key", "left")
+    found = rows.select("row", "id", F.col("n").cast("long").alias("n_shingles"), "key").join(classes, "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return found.select("row", F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked at 0.85, their smallest id kept."""
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("row")
