@@ -194,6 +194,9 @@ add("precip_comparison_sum", f"""
 SELECT event, product, CAST(day AS TIMESTAMP) AS time, round(c / 1000, 6) AS cum_m FROM {storm('coalesce(sum(g.ppt), 0)')} a
 UNION ALL
 SELECT event, 'WRF-hourly', time, round(c / 1000, 6) FROM {storm_hourly('coalesce(sum(ppt), 0)')} b""", *S, "v3_wrf")
+add("precip_by_grid", f"""
+SELECT event, product, day, round(c, 6) AS cum_ppt
+FROM {storm('coalesce(sum(g.ppt), 0)').replace("g.x = b.x", "g.x = b.x AND (g.product = 'PRISM' OR g.x % 2 = 0)")} a""", *S)
 add("product_compare", f"""
 SELECT event, day, round(max(CASE WHEN product = 'PRISM' THEN c END), 6) AS prism, round(max(CASE WHEN product = 'ORNL' THEN c END), 6) AS ornl,
        round(max(CASE WHEN product = 'WRF' THEN c END), 6) AS wrf FROM {storm('avg(g.ppt)')} a GROUP BY 1, 2""", *S)
@@ -269,6 +272,13 @@ WHERE product = 'ORNL' AND day BETWEEN DATE '1995-11-22' AND DATE '1996-02-06'
 UNION ALL
 SELECT {CELL}, ppt, NULL, round(t2 - CAST(273.15 AS DOUBLE), 6) FROM v2_grid WHERE product = 'WRF' AND day BETWEEN DATE '1999-10-31' AND DATE '1999-11-13'""", "v2_grid")
 add("cube_roundtrip", f"SELECT {CELL}, ppt, CAST(year(day) AS INT) AS year FROM v2_grid", "v2_grid")
+STORE = "(SELECT *, 'daily' AS frequency, CASE WHEN product = 'PRISM' THEN '4km' ELSE '9km' END AS resolution, CASE WHEN day >= DATE '1998-01-01' THEN tmax END AS late_tmax FROM v2_grid)"
+add("open_store", f"""
+SELECT {CELL}, frequency, resolution, ppt, late_tmax AS tmax FROM {STORE} s
+WHERE product IN ('PRISM', 'ORNL') AND day BETWEEN DATE '1995-11-22' AND DATE '2000-02-06'""", "v2_grid")
+add("event_slices_store", f"""
+SELECT f.form, w.event, {CELL}, ppt FROM v2_grid g JOIN v9_events_win w ON g.day BETWEEN w.start_day AND w.end_day
+CROSS JOIN (VALUES ('list'), ('table')) f(form)""", "v2_grid", "v9_events_win")
 add("text_grid", """
 SELECT s.product, s.scenario, s.day, CAST(l.yy - e.y0 AS INT) AS line_no,
        CASE WHEN l.yy > e.y1 THEN '' ELSE string_agg(coalesce(printf('%.2f', g.t2), 'nan'), ' ' ORDER BY l.xx) END AS line

@@ -385,12 +385,12 @@ def event_slices_table(spark, sf):
 
 def storm_totals(spark, sf, how="mean", basin=None):
     basin = v.basin(spark, sf) if basin is None else basin
-    return storms.daily_storm_totals(v.grid(spark, sf), v.WINDOWS, basin, "ppt", how, time="day", out="cum_ppt")
+    return storms.daily_storm_totals(v.grid(spark, sf), v.WINDOWS, basin, "ppt", how, ("event", "product"), "day", "cum_ppt", ("y", "x"))
 
 
 def hourly_totals(spark, sf, basin, how="mean", daily=True):
     rain = units.total_rain("rainc", "rainnc")
-    return storms.hourly_storm_totals(v.wrf(spark, sf), v.WINDOWS, basin, rain, True, how, out="cum_ppt", daily=daily)
+    return storms.hourly_storm_totals(v.wrf(spark, sf), v.WINDOWS, basin, rain, True, how, ("event",), ("y", "x"), out="cum_ppt", daily=daily)
 
 
 @query
@@ -539,6 +539,42 @@ def cube_roundtrip(spark, sf):
     return catalog.read_cube(spark, path).select(*CELL, "ppt", "year")
 
 
+def stored_grid(spark, sf):
+    """A store of two appends whose files differ in their variables."""
+    path = scratch_path(spark, "store")
+    grid = v.grid(spark, sf).withColumns({"frequency": F.lit("daily"), "resolution": F.when(F.col("product") == "PRISM", "4km").otherwise("9km")})
+    split = F.lit("1998-01-01").cast("date")
+    keys = [*CELL, "frequency", "resolution"]
+    catalog.write_cube(grid.filter(F.col("day") < split).select(*keys, "ppt"), path, "overwrite", time="day")
+    catalog.write_cube(grid.filter(F.col("day") >= split).select(*keys, "ppt", "tmax", "tmin"), path, "append", time="day")
+    return catalog.read_cube(spark, path)
+
+
+@query
+def open_store(spark, sf):
+    store = stored_grid(spark, sf)
+    chosen = [catalog.open_dataset(store, ("1995-11-22", "2000-02-06"), p, "daily", r, time="day") for p, r in (("PRISM", "4km"), ("ornl", "9km"), ("wrf", "4km"))]
+    return combine.concat_rows([c.select(*CELL, "frequency", "resolution", "ppt", "tmax") for c in chosen])
+
+
+@query
+def event_slices_store(spark, sf):
+    store = stored_grid(spark, sf)
+    table = spark.createDataFrame(v.WINDOWS, "event string, a string, b string").select("event", F.to_date("a").alias("start_day"), F.to_date("b").alias("end_day"))
+    both = [combine.event_slices(store, w, "day").select(F.lit(name).alias("form"), "event", *CELL, "ppt") for name, w in (("list", v.WINDOWS), ("table", table))]
+    return combine.concat_rows(both)
+
+
+@query
+def precip_by_grid(spark, sf):
+    """Products with masks of their own: the basin as it is, and every other column of it."""
+    basin = v.basin(spark, sf).select("y", "x")
+    every = F.array(*[F.lit(p) for p in PRODUCTS])
+    masks = basin.select(F.explode(every).alias("product"), "y", "x").filter((F.col("product") == "PRISM") | (F.col("x") % 2 == 0))
+    totals = storms.daily_storm_totals(v.grid(spark, sf), v.WINDOWS, masks, "ppt", "sum", ("event", "product"), "day", "cum_ppt")
+    return rounded(totals.select("event", "product", "day", "cum_ppt"), "cum_ppt")
+
+
 @query
 def text_grid(spark, sf):
     return textgrid.text_grid(v.grid(spark, sf), "t2", ["product", "scenario", "day"])

@@ -47,8 +47,15 @@ def _as_date(value: str | dt.date) -> dt.date:
     return value if isinstance(value, dt.date) and not isinstance(value, dt.datetime) else dt.date.fromisoformat(str(value)[:10])
 
 
+def within_years(df: DataFrame, start: str | dt.date, end: str | dt.date, year: str = "year") -> Column:
+    """The same years for a store partitioned by the calendar year of its time; true where there is no such column."""
+    if year not in df.columns:
+        return F.lit(True)
+    return F.col(year).between(_as_date(start).year, _as_date(end).year)
+
+
 def within_days(df: DataFrame, column: str, start: str | dt.date, end: str | dt.date) -> Column:
-    """From the start of the first day to the end of the last one."""
+    """From the start of the first day to the end of the last one; prunes the partitions of a store by year."""
     after = _as_date(end) + dt.timedelta(days=1)
     c = F.col(f"`{column}`")
-    return (c >= literal_for(df, column, _as_date(start))) & (c < literal_for(df, column, after))
+    return (c >= literal_for(df, column, _as_date(start))) & (c < literal_for(df, column, after)) & within_years(df, start, end)

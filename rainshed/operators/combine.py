@@ -147,13 +147,22 @@ def event_slices(df: DataFrame, windows: DataFrame | Sequence[tuple[str, str, st
     """One copy of the rows of each event window (both end days whole), with an ``event`` column.
 
     A list of windows becomes literal predicates: their union reaches the file scan and no join is
-    made. A table of windows of any size is joined on the day.
+    made. A table of windows of any size is joined on the day, and on the year where the store has it,
+    so that partitions are pruned by the windows at run time; first and last day of all windows are
+    scalars that reach the scan.
     """
     if isinstance(windows, DataFrame):
-        days = windows.select(
-            "event", F.explode(F.sequence("start_day", "end_day", F.expr("interval 1 day"))).alias("__day")
-        )
-        return df.withColumn("__day", F.to_date(F.col(time))).join(days, "__day").drop("__day")
+        windows = windows.filter(F.col("start_day") <= F.col("end_day"))
+        day = F.explode(F.sequence("start_day", "end_day", F.expr("interval 1 day")))
+        days = windows.select("event", day.alias("__day"))
+        ends = windows.agg(F.min("start_day").alias("a"), F.date_add(F.max("end_day"), 1).alias("b"))
+        kind = df.schema[time].dataType
+        low, high = (ends.select(F.col(c).cast(kind)).scalar() for c in ("a", "b"))
+        rows, keys = df.filter((F.col(time) >= low) & (F.col(time) < high)), ["__day"]
+        if "year" in df.columns and time != "year":
+            days, keys = days.withColumn("year", F.year("__day").cast(df.schema["year"].dataType)), ["year", "__day"]
+        joined = rows.withColumn("__day", F.to_date(F.col(time))).join(days, keys)
+        return joined.select(*df.columns, "event")
     if not windows:
         return df.withColumn("event", F.lit(None).cast("string")).limit(0)
     tests = [(name, times.within_days(df, time, start, end)) for name, start, end in windows]

@@ -32,36 +32,47 @@ def _nearest_index(at: Column, first: Column, last: Column, i0: Column, i1: Colu
 
 
 def _embed(
-    targets: DataFrame, dem: DataFrame, lon: str, lat: str, clamp: bool, x: str, y: str, ix: str, iy: str, elevation: str
+    targets: DataFrame, dem: DataFrame, lon: str, lat: str, clamp: bool, x: str, y: str, ix: str, iy: str, elevation: str, band: int
 ) -> DataFrame:
+    """One row for each target: of a raster with bands one band counts. Steps that are not regular are an error."""
+    if "band" in dem.columns:
+        dem = dem.filter(F.col("band") == band)
     header = dem.agg(F.struct(*_axis(dem, ix, x), *_axis(dem, iy, y))).scalar()
     head = lambda axis: [F.col(f"__h.{axis}_{part}") for part in ("0", "1", "i0", "i1")]
     located = targets.withColumn("__h", header).withColumns({
         "__ix": _nearest_index(F.col(lon), *head(x), clamp), "__iy": _nearest_index(F.col(lat), *head(y), clamp),
     }).drop("__h")
-    points = dem.select(F.col(ix).alias("__ix"), F.col(iy).alias("__iy"), F.col(elevation).alias("elevation"))
+
+    def off_lattice(at: str, index: str, axis: str) -> Column:
+        first, last, i0, i1 = head(axis)
+        step = (last - first) / F.when(i1 > i0, i1 - i0)
+        return F.coalesce(F.abs(F.col(at) - first - (F.col(index) - i0) * step) > F.abs(step) * 0.01, F.lit(False))
+
+    odd = off_lattice(x, ix, x) | off_lattice(y, iy, y)
+    checked = F.when(odd, F.raise_error(F.lit("the raster has no regular steps")).cast("double")).otherwise(F.col(elevation))
+    points = dem.withColumn("__h", header).select(F.col(ix).alias("__ix"), F.col(iy).alias("__iy"), checked.alias("elevation"))
     return located.join(points, ["__ix", "__iy"], "left").drop("__ix", "__iy")
 
 
 def embed_on_axes(
     targets: DataFrame, dem: DataFrame, lon: str = "lon", lat: str = "lat",
-    x: str = "x", y: str = "y", ix: str = "ix", iy: str = "iy", elevation: str = "elevation",
+    x: str = "x", y: str = "y", ix: str = "ix", iy: str = "iy", elevation: str = "elevation", band: int = 1,
 ) -> DataFrame:
     """Nearest raster value for cells of 1-D axes; missing outside the raster."""
-    return _embed(targets, dem, lon, lat, False, x, y, ix, iy, elevation)
+    return _embed(targets, dem, lon, lat, False, x, y, ix, iy, elevation, band)
 
 
 def embed_on_curves(
     targets: DataFrame, dem: DataFrame, lon: str = "lon", lat: str = "lat",
-    x: str = "x", y: str = "y", ix: str = "ix", iy: str = "iy", elevation: str = "elevation",
+    x: str = "x", y: str = "y", ix: str = "ix", iy: str = "iy", elevation: str = "elevation", band: int = 1,
 ) -> DataFrame:
     """Nearest raster value for cells with 2-D coordinates; never missing for want of a near point.
 
     Squared distance is a sum over the axes, so the nearest lattice point is the nearest one on each
-    axis, and outside the raster it is the one on the border. Ties go to the lowest index. A raster
+    axis, and outside the raster it is the one on the border. Ties go to the lower coordinate. A raster
     point whose value is missing gives a missing elevation.
     """
-    return _embed(targets, dem, lon, lat, True, x, y, ix, iy, elevation)
+    return _embed(targets, dem, lon, lat, True, x, y, ix, iy, elevation, band)
 
 
 def band_mean(dem: DataFrame, keys: Sequence[str] = ("iy", "ix", "y", "x")) -> DataFrame:

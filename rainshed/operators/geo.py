@@ -57,9 +57,12 @@ def _outline(edges: DataFrame) -> tuple[Bounds | None, int]:
     return (None if row[4] == 0 else Bounds(*row[:4])), row[4]
 
 
-def total_bounds(edges: DataFrame) -> Bounds | None:
-    """Bounds of a polygon as numbers, for literal predicates: one row from a static table."""
-    return _outline(edges)[0]
+def total_bounds(edges: DataFrame) -> Bounds:
+    """Bounds of all features as numbers, for literal predicates: one row from a static table."""
+    bounds = _outline(edges)[0]
+    if bounds is None:
+        raise ValueError("the polygon has no edges")
+    return bounds
 
 
 def in_box(bounds: Bounds, lon: str = "lon", lat: str = "lat") -> Column:

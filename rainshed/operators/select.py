@@ -66,11 +66,11 @@ def time_slice(df: DataFrame, start: str | dt.date, end: str | dt.date, time: st
 def hour_range(df: DataFrame, start: str, end: str, time: str = "time") -> DataFrame:
     """Times from ``start`` to ``end``, both included to the second (no whole last day)."""
     low, high = times.literal_for(df, time, start), times.literal_for(df, time, end)
-    return df.filter(F.col(time).between(low, high))
+    return df.filter(F.col(time).between(low, high) & times.within_years(df, start, end))
 
 
 def at_time(df: DataFrame, moment: str | dt.datetime, time: str = "time") -> DataFrame:
-    return df.filter(F.col(time) == times.literal_for(df, time, moment))
+    return df.filter((F.col(time) == times.literal_for(df, time, moment)) & times.within_years(df, moment, moment))
 
 
 def at_nearest_time(df: DataFrame, moment: str | dt.datetime, time: str = "time") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,15 +14,23 @@ from ..operators import combine, geo, select
 from ..sources import catalog, inventory
 
 
+def known_variables(request: str | Sequence[str], allowed: Sequence[str], defaults: Sequence[str] | None = None) -> list[str]:
+    """The known names of a request, the defaults of an empty one; a request of unknown names alone stops."""
+    names, unknown = select.choose_variables(request, allowed, defaults)
+    if not names:
+        raise ValueError(f"no known variable among {', '.join(unknown)}")
+    return names
+
+
 def hrrr_cube(
     raw: DataFrame, cells: DataFrame, edges: DataFrame, start: str, end: str, parameters: Sequence[str] | None = None
 ) -> DataFrame:
-    """Runs of a period -> polygon box -> forecast steps -> longitude -> mask that keeps the box.
+    """Runs of a period -> box of all polygons -> forecast steps -> longitude -> mask that keeps the box.
 
     The filters reach the scan and the step aggregate is the only shuffle of the data. ``cells``
     holds one row per grid cell with lon (-180..180) and lat.
     """
-    bounds = geo.total_bounds(edges.filter(F.col("feature") == 0))
+    bounds = geo.total_bounds(edges)  # the box is that of all features, the mask that of the first
     box = dataclasses.replace(bounds, min_lon=bounds.min_lon + 360.0, max_lon=bounds.max_lon + 360.0)
     rows = geo.box_filter(select.hour_range(raw, start, end), box, "lon360", "lat")
     cube = combine.merge_forecast_steps(missing.clean_table(rows))
@@ -40,8 +48,10 @@ def wrf_cube(
     """Text times -> hours; static coordinates; chosen variables; mask that keeps every cell. No shuffle."""
     rows = select.rename_axes(raw).withColumn("time", times.parse_wrf_time(stamp)).drop(stamp)
     rows = missing.clean_table(rows)
-    variables, _ = select.choose_variables(parameters, schema.WRF_VARIABLES)
+    variables = known_variables(parameters, schema.WRF_VARIABLES)
     variables = [v for v in variables if v in rows.columns]
+    if not variables:
+        raise ValueError("none of the variables is in the data")
     rows = select.select_variables(rows, variables, ["time", "y", "x"])
     marked = geo.mark_cells(cells, geo.basin_cells(cells, edges)).select("y", "x", "lat", "lon", "hgt", "in_basin")
     placed = geo.attach_cells(rows, marked, bound=cells)
@@ -49,22 +59,25 @@ def wrf_cube(
 
 
 def prism_cube(
-    raster: DataFrame, grid: DataFrame, edges: DataFrame, variables: Sequence[str],
+    raster: DataFrame, grid: DataFrame, edges: DataFrame, variables: str | Sequence[str] = "",
     frequency: str = "daily", nodata: float | None = -9999.0,
 ) -> DataFrame:
     """Single-variable raster rows (file_name, band, y, x, lat, lon, value) -> one column per variable."""
+    variables = known_variables(variables, schema.PRISM_VARIABLES)
     rows = select.only_band(raster).withColumn("value", missing.known("value", nodata))
     rows = inventory.prism_name_parts(rows, frequency=frequency).withColumnRenamed("date", "time").drop("file_name")
     return combine.merge_variables(geo.clip(rows, edges, ["y", "x"], grid=grid), ["time", "y", "x", "lat", "lon"], variables)
 
 
 def ornl_cube(
-    raster: DataFrame, grid: DataFrame, edges: DataFrame, variables: Sequence[str], nodata: float | None = -9999.0
+    raster: DataFrame, grid: DataFrame, edges: DataFrame, variables: str | Sequence[str] = "", nodata: float | None = -9999.0
 ) -> DataFrame:
     """Rows (variable, time, y, x, lat, lon, value); times become days.
 
-    Files that cannot be read are left out at the source with ``spark.sql.files.ignoreCorruptFiles``.
+    An empty request means the archive's seven main variables. Files that gave no rows are listed by
+    ``inventory.files_without_rows``.
     """
+    variables = known_variables(variables, schema.ORNL_VARIABLES, schema.ORNL_DEFAULTS)
     rows = raster.withColumn("value", missing.known("value", nodata)).withColumn("time", F.to_date("time"))
     cube = combine.merge_variables(geo.clip(rows, edges, ["y", "x"], grid=grid), ["time", "y", "x", "lat", "lon"], variables)
     return catalog.derive(cube, "ornl")
@@ -88,9 +101,7 @@ def snotel_cube(
     dates: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Station readings -> last per slot -> every site at every time -> coordinates by key."""
-    names, _ = select.choose_variables(variables, schema.SNOTEL_VARIABLES)
-    if not names:
-        raise ValueError("no valid station variables")
+    names = known_variables(variables, schema.SNOTEL_VARIABLES)
     rows = select.select_long(readings, names)
     if dates:
         rows = select.time_slice(rows, *dates)
@@ -107,13 +118,18 @@ def write(cube: DataFrame, product: str, path: str, mode: str = "overwrite") ->
 
 
 def build(
-    expected: DataFrame, listing: DataFrame, cube: DataFrame, product: str, path: str, mode: str = "overwrite", key: str = "path"
+    expected: DataFrame, listing: DataFrame, cube: DataFrame | Callable[[DataFrame], DataFrame], product: str, path: str,
+    mode: str = "overwrite", key: str = "path", raw: DataFrame | None = None,
 ) -> DataFrame:
     """A whole build: account for the files of a manifest, stop when none came, write the cube.
 
-    ``listing`` holds the files that arrived. The cube is not computed before the check. Returns the
-    arrival report.
+    ``listing`` holds the files that arrived. With ``raw``, rows that carry their file's name, ``cube``
+    is a function of the rows of those files that were asked for and arrived; no other row gets in. A
+    cube given as a table is taken as it is. It is not computed before the check. Returns the arrival
+    report.
     """
     inventory.require_arrivals(expected.select(key).join(listing.select(key), [key], "left_semi"))
+    if raw is not None:
+        cube = cube(inventory.arrived_rows(raw, expected, listing, key))
     write(cube, product, path, mode)
     return inventory.arrival_report(expected, listing, key=key)

@@ -15,27 +15,39 @@ Windows = DataFrame | Sequence[tuple[str, str, str]]
 
 def daily_storm_totals(
     grid: DataFrame, windows: Windows, basin: DataFrame, value: str, how: str = "mean",
-    keys: Sequence[str] = ("event", "product"), time: str = "day", out: str = "cum",
+    keys: Sequence[str] | None = None, time: str = "day", out: str = "cum", key: Sequence[str] | None = None, chunk: str | None = None,
 ) -> DataFrame:
     """Daily products: window -> cells of the basin -> mean or sum per day -> running total.
 
-    A series is at most as long as its storm window, so one task per series is enough.
+    ``key`` tells cells apart, ``keys`` series (event, product and scenario, as far as they are there).
+    A series is as long as its storm window; for windows of many years give ``chunk``.
     """
-    rows = geo.mask_drop(combine.event_slices(grid, windows, time), basin)
+    keys = [c for c in ("event", "product", "scenario") if c == "event" or c in grid.columns] if keys is None else list(keys)
+    rows = geo.mask_drop(combine.event_slices(grid, windows, time), basin, mask_key(grid, basin, key))
     step = (reduce.basin_mean if how == "mean" else reduce.basin_sum)(rows, [*keys, time], value, "__v")
-    return running.running_total(step, keys, "__v", time, out).drop("__v")
+    return running.running_total(step, keys, "__v", time, out, **({"chunk": chunk} if chunk else {})).drop("__v")
+
+
+def mask_key(grid: DataFrame, basin: DataFrame, key: Sequence[str] | None = None) -> list[str]:
+    """What tells cells apart. Products have grids of their own, so a mask without them needs the key in words."""
+    if key is not None:
+        return list(key)
+    if "product" in grid.columns and "product" not in basin.columns:
+        raise ValueError("the mask does not tell products apart: give key=('y', 'x') if they share one grid")
+    return ["product", "y", "x"] if "product" in grid.columns else ["y", "x"]
 
 
 def hourly_storm_totals(
     grid: DataFrame, windows: Windows, basin: DataFrame, value: str | Column, accumulated: bool,
-    how: str = "mean", keys: Sequence[str] = ("event",), key: Sequence[str] = ("y", "x"), time: str = "time",
+    how: str = "mean", keys: Sequence[str] | None = None, key: Sequence[str] | None = None, time: str = "time",
     out: str = "cum", daily: bool = True, clip_negative: bool = False,
 ) -> DataFrame:
-    """Hourly products: as above, taking accumulated rain apart per cell first, then the daily highest.
+    """Hourly products: as above, taking accumulated rain apart per cell and series first, then the daily highest.
 
     The change per cell is taken inside its storm window, which bounds the series.
     """
-    keys = list(keys)
+    keys = [c for c in ("event", "product", "scenario") if c == "event" or c in grid.columns] if keys is None else list(keys)
+    key = mask_key(grid, basin, key)
     rows = geo.mask_drop(combine.event_slices(grid, windows, time), basin, key)
     if accumulated:
         rows = running.step_change(rows, [*keys, *key], value, time, "__p", clip_negative)

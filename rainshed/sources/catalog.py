@@ -30,10 +30,12 @@ def ornl_cube_name(
 
 
 def write_cube(
-    df: DataFrame, path: str, mode: str = "errorifexists", partitions: Sequence[str] = ("product", "year"), time: str = "time"
+    df: DataFrame, path: str, mode: str = "errorifexists", partitions: Sequence[str] = ("product", "frequency", "resolution", "year"), time: str = "time"
 ) -> str:
     """Write a long cube, partitioned and sorted by time inside the files; NaN becomes NULL on the way.
 
+    Of ``partitions`` those count that the table has (``year`` is made from the time).
+
     The rebalance hint lets AQE cut large partitions and join small ones into files of its target
     size, so a product that holds most rows does not end up in one task.
     """
@@ -48,15 +50,15 @@ def write_cube(
     return path
 
 
-def read_cube(spark: SparkSession, *paths: str, schema: StructType | str | None = None, merge: bool = False) -> DataFrame:
+def read_cube(spark: SparkSession, *paths: str, schema: StructType | str | None = None) -> DataFrame:
     """One or many cube files or folders as one table: time is a column, so this is the concatenation.
 
-    Values come as they are stored, so that box and time filters reach the files. Give the schema of
-    the product where files differ in their variables; ``merge`` finds it by reading every footer,
-    which suits small stores only. For files of other writers apply ``missing.clean_table`` after
-    the filters.
+    Values come as they are stored, so that box and time filters reach the files. Files may differ in
+    their variables, so the columns are never taken from one of them: they are those of ``schema``, or
+    without it those of all footers. Give the schema for large stores, it spares that pass. For files
+    of other writers apply ``missing.clean_table`` after the filters.
     """
-    reader = spark.read.option("mergeSchema", merge)
+    reader = spark.read.option("mergeSchema", schema is None)
     return (reader.schema(schema) if schema is not None else reader).parquet(*paths)
 
 
@@ -85,15 +87,14 @@ def open_dataset(
     """One product between two days, with its derived columns.
 
     The year filter prunes partitions, the time filter reaches the files. Product names compare
-    without case.
+    without case. A frequency or resolution that the store does not tell apart is an error.
     """
     chosen = df.filter(F.lower("product") == product.lower())
-    if frequency and "frequency" in df.columns:
-        chosen = chosen.filter(F.col("frequency") == frequency)
-    if resolution and "resolution" in df.columns:
-        chosen = chosen.filter(F.col("resolution") == resolution)
-    if "year" in df.columns:
-        chosen = chosen.filter(F.col("year").between(int(dates[0][:4]), int(dates[1][:4])))
+    for name, wanted in (("frequency", frequency), ("resolution", resolution)):
+        if wanted and name not in df.columns:
+            raise ValueError(f"the store has no column {name}, so {wanted} cannot be chosen")
+        if wanted:
+            chosen = chosen.filter(F.col(name) == wanted)
     return derive(time_slice(chosen, *dates, time=time), product)
 
 

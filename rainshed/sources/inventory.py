@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import schema
-
 
 def search_pattern(parameters: Sequence[str] | Mapping[str, str]) -> str:
     """Lines that begin with ``:NAME`` or ``:NAME:level``. Given text is used as a pattern, unescaped."""
@@ -39,6 +37,18 @@ def arrival_report(expected: DataFrame, arrived: DataFrame, by: Sequence[str] =
     )
 
 
+def arrived_rows(raw: DataFrame, expected: DataFrame, arrived: DataFrame, key: str = "path", name: str = "file_name") -> DataFrame:
+    """Rows of ``raw`` whose file was asked for and has arrived, by the name at the end of its path."""
+    last = lambda df: df.select(F.element_at(F.split(F.col(key), "/"), -1).alias(name)).distinct()
+    files = last(expected).join(last(arrived), [name], "left_semi")
+    return raw.join(files, [name], "left_semi")
+
+
+def files_without_rows(raw: DataFrame, arrived: DataFrame, key: str = "path", name: str = "file_name") -> DataFrame:
+    """Arrived files from which no row was read: empty or unreadable ones, to be reported."""
+    return arrived.withColumn(name, F.element_at(F.split(F.col(key), "/"), -1)).join(raw.select(name).distinct(), [name], "left_anti").select(*arrived.columns)
+
+
 def require_arrivals(arrived: DataFrame) -> DataFrame:
     """Stop before any work when nothing came."""
     if arrived.isEmpty():
@@ -47,9 +57,24 @@ def require_arrivals(arrived: DataFrame) -> DataFrame:
 
 
 def prism_name_parts(df: DataFrame, name: str = "file_name", frequency: str = "daily") -> DataFrame:
-    """Variable (second part) and date (fifth part, up to the dot) of a PRISM file name."""
+    """Variable (second part) and date (fifth part, up to the dot) of a PRISM file name.
+
+    A name without a date stops the job: rows of files without a time would meet as one.
+    ``bad_prism_names`` lists such names beforehand.
+    """
+    variable, date = _prism_parts(name, frequency)
+    wrong = F.raise_error(F.concat(F.lit("no date in the file name "), F.coalesce(F.col(name), F.lit("NULL"))))
+    return df.withColumns({"variable": variable, "date": F.coalesce(date, wrong.cast("date"))})
+
+
+def bad_prism_names(df: DataFrame, name: str = "file_name", frequency: str = "daily") -> DataFrame:
+    """The distinct file names that hold no date."""
+    return df.select(name).distinct().filter(_prism_parts(name, frequency)[1].isNull())
+
+
+def _prism_parts(name: str, frequency: str) -> tuple[Column, Column]:
     parts = F.split(F.element_at(F.split(F.col(name), "/"), -1), "_")
-    key = F.split(parts[4], r"\.")[0]
+    key = F.split(F.get(parts, F.lit(4)), r"\.")[0]
     pad = {"daily": "", "monthly": "01", "annual": "0101"}[frequency]
     digits = F.concat(key, F.lit(pad))
     good = F.length(digits) == 8
@@ -57,7 +82,7 @@ def prism_name_parts(df: DataFrame, name: str = "file_name", frequency: str = "d
         good,
         F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)).try_cast("date"),
     )
-    return df.withColumns({"variable": parts[1], "date": date})
+    return F.get(parts, F.lit(1)), date
 
 
 def with_file_name(df: DataFrame) -> DataFrame:

@@ -60,6 +60,14 @@ def test_floor_does_not_depend_on_the_session_zone(spark, zone):
     assert list(row) == [dt.datetime(2024, 3, 10, 2), dt.datetime(2024, 3, 10), dt.datetime(2024, 3, 10, 2), None]
 
 
+def test_two_decimals_is_exact_at_every_size(spark):
+    values = [1e13 + 0.125, 10000000000000.375, 2.0**45 + 0.125, 2.0**52 + 0.5, 2.0**53, -(2.0**60) - 512, 2.0**62, 2.0**63, 1e22, 1.5e30, 3.9e37, 0.995, 0.999, 1.995, 99.995, float("inf"), float("-inf"), -0.001]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert one(df.select(two_decimals("v"))) == ["%.2f" % v for v in values]
+    with pytest.raises(Exception, match="too large"):
+        spark.createDataFrame([(1e38,)], "v double").select(two_decimals("v")).collect()
+
+
 def test_two_decimals_prints_like_c(spark):
     rng = random.Random(7)
     values = [0.125, 0.295, 0.375, -0.001, -2.675, 1.005, 0.0, 1e9 + 0.125, 123456.785, 2.5, 99.995, 8192.015625]

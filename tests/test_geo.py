@@ -133,3 +133,17 @@ def test_first_layer_and_stations(spark):
     assert [r["site"] for r in geo.stations_inside(stations, edges).collect()] == [0]
     assert sorted(r["site"] for r in geo.stations_in_extent(stations, edges, 0.5).collect()) == [0, 1]
     assert geo.total_bounds(edges) == geo.Bounds(0.0, 4.0, 0.0, 4.0)
+
+
+def test_one_band_of_a_raster_counts(spark):
+    dem = lattice(spark, 9, 5)
+    two = dem.unionByName(dem.withColumns({"band": F.lit(2), "elevation": F.col("elevation") + 1000}))
+    for op in (elevation.embed_on_axes, elevation.embed_on_curves):
+        assert [r["elevation"] for r in op(points(spark, [(-5.0, 10.0)]), two).collect()] == [-490.0]
+        assert [r["elevation"] for r in op(points(spark, [(-5.0, 10.0)]), two, band=2).collect()] == [510.0]
+
+
+def test_a_raster_without_regular_steps_is_an_error(spark):
+    dem = lattice(spark, 9, 5).withColumn("x", F.when(F.col("ix") == 3, F.col("x") + 0.1).otherwise(F.col("x")))
+    with pytest.raises(Exception, match="regular steps"):
+        elevation.embed_on_axes(points(spark, [(-5.0 + 0.25 * k, 10.0) for k in range(8)]), dem).collect()

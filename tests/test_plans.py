@@ -139,3 +139,77 @@ def test_stream_equals_batch(spark, tmp_path):
     assert query.awaitTermination(120)
     got = {r["day"].day: r["value"] for r in spark.read.parquet(out).collect()}
     assert got and all(v == 24.0 for v in got.values()) and set(got) <= set(range(1, 8)) and {1, 2, 3} <= set(got)
+
+
+def stored(spark, tmp_path):
+    rows = [("PRISM", dt.datetime(1999 + i % 4, 1, 1 + i % 5, 6), i % 2, 0, float(i)) for i in range(40)]
+    catalog.write_cube(spark.createDataFrame(rows, "product string, time timestamp_ntz, y int, x int, ppt double"), str(tmp_path / "store"))
+    return catalog.read_cube(spark, str(tmp_path / "store"))
+
+
+def partition_filters(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:]]
+
+
+def test_years_prune_the_partitions_of_a_store(spark, tmp_path):
+    from rainshed.operators import combine, select
+    from rainshed.plans import maps
+
+    store = stored(spark, tmp_path)
+    windows = [("a", "2000-01-02", "2000-01-03"), ("b", "2001-01-01", "2001-01-01")]
+    table = spark.createDataFrame(windows, "event string, a string, b string").select("event", F.to_date("a").alias("start_day"), F.to_date("b").alias("end_day"))
+    table.write.parquet(str(tmp_path / "windows"))
+    table = spark.read.parquet(str(tmp_path / "windows"))
+    tried = {
+        "slice": select.time_slice(store, "2000-01-01", "2000-01-31"),
+        "hours": select.hour_range(store, "2000-01-01 00:00:00", "2000-01-31 00:00:00"),
+        "time": select.at_time(store, "2000-01-02 06:00:00"),
+        "events": combine.event_slices(store, windows),
+        "map": maps.storm_map(store, ("2000-01-01", "2000-01-02"), "ppt", "sum"),
+    }
+    for name, df in tried.items():
+        assert any("year#" in f for f in partition_filters(df)), name
+    by_table = combine.event_slices(store, table)
+    assert sorted(map(tuple, tried["events"].select("event", "time", "ppt").collect())) == sorted(map(tuple, by_table.select("event", "time", "ppt").collect()))
+    assert any("dynamicpruning" in f and "year#" in f for f in partition_filters(by_table))
+    assert tried["time"].count() == store.filter("time = timestamp_ntz'2000-01-02 06:00:00'").count() > 0
+
+
+def test_masks_tell_products_apart(spark):
+    rows = [(p, dt.date(2020, 1, d), 0, x, 100.0) for p in ("PRISM", "WRF") for d in (1, 2) for x in (0, 1)]
+    grid = spark.createDataFrame(rows, "product string, day date, y int, x int, ppt double")
+    windows = [("s", "2020-01-01", "2020-01-02")]
+    plain = spark.createDataFrame([(0, 0)], "y int, x int")
+    keyed = spark.createDataFrame([("PRISM", 0, 0)], "product string, y int, x int")
+    with pytest.raises(ValueError, match="products apart"):
+        storms.daily_storm_totals(grid, windows, plain, "ppt")
+    assert {r["product"] for r in storms.daily_storm_totals(grid, windows, keyed, "ppt").collect()} == {"PRISM"}
+    assert {r["product"] for r in storms.daily_storm_totals(grid, windows, plain, "ppt", key=("y", "x")).collect()} == {"PRISM", "WRF"}
+    runs = grid.withColumn("scenario", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    assert {(r["scenario"], r["cum"]) for r in storms.daily_storm_totals(runs, windows, keyed, "ppt").collect()} == {("a", 100.0), ("b", 100.0), ("a", 200.0), ("b", 200.0)}
+
+
+def test_builds_refuse_unknown_variables_and_empty_polygons(spark):
+    from rainshed import schema
+    from rainshed.operators import geo
+
+    assert cubes.known_variables("", schema.ORNL_VARIABLES, schema.ORNL_DEFAULTS) == schema.ORNL_DEFAULTS
+    assert cubes.known_variables("PRMS_swe, prcp,bogus", schema.ORNL_VARIABLES) == ["PRMS_swe", "prcp"]
+    with pytest.raises(ValueError, match="bogus"):
+        cubes.known_variables("bogus", schema.PRISM_VARIABLES)
+    edges = geo.edges_from_rings(spark, [[(0, 0), (1, 0), (1, 1)]])
+    with pytest.raises(ValueError, match="no edges"):
+        geo.total_bounds(edges.limit(0))
+    raw = spark.createDataFrame([("2000-01-01_00:00:00", 0, 0, 1.0)], "Times string, y int, x int, T2 double")
+    cells = spark.createDataFrame([(0, 0, 0.5, 0.5, 1.0)], "y int, x int, lat double, lon double, hgt double")
+    with pytest.raises(ValueError):
+        cubes.wrf_cube(raw, cells, edges, "BOGUS")
+
+
+def test_a_build_takes_only_files_asked_for_that_arrived(spark, tmp_path):
+    paths = lambda *names: spark.createDataFrame([(f"/a/{n}",) for n in names], "path string")
+    raw = hourly_rain(spark).withColumn("file_name", F.concat(F.lit("d"), F.dayofmonth("time").cast("string")))
+    report = cubes.build(paths("d1", "d2"), paths("d2", "d3"), lambda rows: rows.drop("file_name"), "WRF", str(tmp_path / "c"), raw=raw)
+    assert report.first().asDict() == {"expected": 2, "fetched": 1, "failed": 1}
+    assert {r["time"].day for r in catalog.read_cube(spark, str(tmp_path / "c")).collect()} == {2}

@@ -85,13 +85,45 @@ def test_arrivals(spark):
         inventory.require_arrivals(arrived.limit(0))
 
 
-@pytest.mark.parametrize("frequency, key, day", [("daily", "20200229", dt.date(2020, 2, 29)), ("monthly", "202002", dt.date(2020, 2, 1)), ("annual", "2020", dt.date(2020, 1, 1)), ("daily", "2020", None)])
+@pytest.mark.parametrize("frequency, key, day", [("daily", "20200229", dt.date(2020, 2, 29)), ("monthly", "202002", dt.date(2020, 2, 1)), ("annual", "2020", dt.date(2020, 1, 1))])
 def test_prism_names(spark, frequency, key, day):
     df = spark.createDataFrame([(f"/x/PRISM_ppt_stable_4kmM3_{key}_bil.nc".replace("_bil", ""),)], "file_name string")
     row = inventory.prism_name_parts(df, frequency=frequency).first()
     assert row["variable"] == "ppt" and row["date"] == day
 
 
+@pytest.mark.parametrize("name", ["/x/PRISM_ppt_stable_4kmM3_2020.nc", "PRISM_ppt_stable_4kmM3_20201341.nc", "short.nc", None])
+def test_prism_names_without_a_date_stop_the_job(spark, name):
+    df = spark.createDataFrame([(name,), ("PRISM_ppt_stable_4kmM3_20200101.nc",)], "file_name string")
+    assert [r[0] for r in inventory.bad_prism_names(df).collect()] == [name]
+    with pytest.raises(Exception, match="no date in the file name"):
+        inventory.prism_name_parts(df).collect()
+
+
+def test_only_rows_of_requested_files_that_arrived(spark):
+    paths = lambda *names: spark.createDataFrame([(f"/a/{n}",) for n in names], "path string")
+    raw = spark.createDataFrame([(n, i) for i, n in enumerate(["one", "one", "two", "three"])], "file_name string, v int")
+    got = inventory.arrived_rows(raw, paths("one", "two", "four"), paths("one", "three", "four", "one"))
+    assert sorted(r.v for r in got.collect()) == [0, 1]
+    assert [r.path for r in inventory.files_without_rows(raw, paths("one", "four")).collect()] == ["/a/four"]
+
+
+def test_appended_variables_are_read_whatever_the_file_names(spark, tmp_path):
+    path = str(tmp_path / "cube")
+    for k in range(4):
+        rows = spark.createDataFrame([("PRISM", dt.datetime(2000 + k, 1, 1), 1.0)], f"product string, time timestamp_ntz, v{k} double")
+        catalog.write_cube(rows, path, "append")
+    assert {"v0", "v1", "v2", "v3"} <= set(catalog.read_cube(spark, path).columns)
+    assert catalog.read_cube(spark, path, schema="product string, time timestamp_ntz, v2 double, year int").columns == ["time", "v2", "product", "year"]
+
+
+def test_open_dataset_refuses_what_the_store_does_not_tell_apart(spark):
+    df = spark.createDataFrame([("PRISM", dt.datetime(2000, 1, 1))], "product string, time timestamp_ntz")
+    for asked in ({"frequency": "monthly"}, {"resolution": "800m"}):
+        with pytest.raises(ValueError, match="no column"):
+            catalog.open_dataset(df, ("2000-01-01", "2000-02-01"), "prism", **asked)
+
+
 POINTS = {"type": "FeatureCollection", "features": [
     {"type": "Feature", "properties": {"name": "High Meadow", "id": "1:XX:SNTL", "datasource": "NRCS"}, "geometry": {"type": "Point", "coordinates": [-121.25, 48.5, 3600.0]}},
     {"type": "Feature", "properties": {"name": "Bare", "id": "2:XX:SNTL", "datasource": "NRCS"}, "geometry": {"type": "Point", "coordinates": []}},
