@@ -73,7 +73,7 @@ class Model:
         letters = sum(scripts.values(), np.zeros(len(at)))
         self.uses = {s: v >= SCRIPT_SHARE * np.maximum(letters, 1) for s, v in scripts.items()}
         self.row = {g: i + 1 for i, g in enumerate(sorted(seen))}
-        table = np.array([seen[g] for g in sorted(seen)]).reshape(-1, len(at)) + 0.5
+        table = np.array([seen[g] for g in sorted(seen)]).reshape(len(seen), len(at)) + 0.5
         lengths = np.array([len(g) for g in sorted(seen)])
         for n in set(lengths.tolist()):
             table[lengths == n] /= table[lengths == n].sum(0)
