@@ -106,9 +106,11 @@ class Model:
 
     def label(self, rows: list[np.ndarray]) -> list[np.ndarray]:
         """The language of every word of several texts: one Viterbi step moves all texts on by a word."""
+        if not any(map(len, rows)):
+            return rows
         order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
         lengths = np.array([len(rows[i]) for i in order])
-        steps = int(lengths[0]) if len(order) else 0
+        steps = int(lengths[0])
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # texts longer than the step
         start = np.concatenate([[0], np.cumsum(active)])
         by_step = np.empty(start[-1], np.int64)

@@ -8,10 +8,18 @@ from .fingerprint import op2_fingerprints
 from .htmltext import op4_main_text
 from .langid import op9_language_id
 from .neardup import op3_near_duplicates
+from .oracle import SQL
 from .pii import op6_personal_data
 from .repeats import op10_repeated_passages
-from . import tokencounts
+from .tokencounts import op7_token_counts
 from .warc import op1_warc_roundtrip
 
-QUERIES = {f.__name__: f for f in (op1_warc_roundtrip, op2_fingerprints, op3_near_duplicates, op4_main_text, op5_decontaminate, op6_personal_data, tokencounts.op7_token_counts, op8_bpe_roundtrip, op9_language_id, op10_repeated_passages)}
-SQL: dict[str, str] = {"op7_token_counts": tokencounts.SQL}
+__all__ = ["QUERIES", "SQL"]
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_roundtrip, op2_fingerprints, op3_near_duplicates, op4_main_text, op5_decontaminate, op6_personal_data,
+        op7_token_counts, op8_bpe_roundtrip, op9_language_id, op10_repeated_passages,
+    )
+}
