@@ -76,6 +76,11 @@ def value_range(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Five numbers of a box plot: exact, interpolated quartiles."""
+    """Five numbers of a box plot: exact, interpolated quartiles.
+
+    A task keeps the distinct values of its groups, once for all five: for groups such as the products
+    of an event, not for whole records.
+    """
     marks = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
-    return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in marks.items()])
+    found = df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, marks.values()))).alias("__p"))
+    return found.select(*keys, *[F.get("__p", F.lit(i)).alias(n) for i, n in enumerate(marks)])

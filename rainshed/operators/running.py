@@ -61,8 +61,16 @@ def step_change(
     return result.withColumn(out, F.when(F.col(out) >= 0, F.col(out))) if clip_negative else result
 
 
-def series_change(df: DataFrame, keys: Sequence[str], value: str, time: str = "time", out: str = "change") -> DataFrame:
-    """The same on a reduced series, which loses its first row."""
+def series_change(
+    df: DataFrame, keys: Sequence[str], value: str, time: str = "time", out: str = "change", chunk: str | None = None
+) -> DataFrame:
+    """The same on a reduced series, which loses its first row. Give ``chunk`` where a series may be long."""
+    keys = list(keys)
+    if chunk is not None:
+        first = df.groupBy(*keys).agg(F.min(time).alias("__first"))
+        changed = step_change(df, keys, value, time, out, chunk=chunk)
+        joined = changed.join(first, keys) if keys else changed.withColumn("__first", df.agg(F.min(time)).scalar())
+        return joined.filter(F.col(time) != F.col("__first")).drop("__first")
     w = Window.partitionBy(*keys).orderBy(time)
     return (
         df.withColumn(out, F.col(value) - F.lag(value).over(w))

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import two_decimals
 
 
-def text_grid(df: DataFrame, value: str, steps: Sequence[str] = ("time",), y: str = "y", x: str = "x") -> DataFrame:
+def text_grid(
+    df: DataFrame, value: str, steps: Sequence[str] = ("time",), y: str = "y", x: str = "x", cells: DataFrame | None = None
+) -> DataFrame:
     """Lines (steps..., line_no, line) of the grid, from at most one row per step and cell.
 
-    A line gathers the cells of one grid row, so its size is the width of the grid. Absent cells
-    print as ``nan``; every step has all grid rows and the empty line.
+    A line gathers the cells of one grid row and a step its lines, so rows are bounded by the grid.
+    Absent cells print as ``nan``; every step has all grid rows and the empty line. The limits of the
+    grid come from ``cells``, the static table of it, or else from a pass over the data.
     """
     steps = list(steps)
-    ends = df.agg(F.struct(*[f(c).alias(n) for n, f, c in (
+    ends = (df if cells is None else cells).agg(F.struct(*[f(c).alias(n) for n, f, c in (
         ("x0", F.min, x), ("x1", F.max, x), ("y0", F.min, y), ("y1", F.max, y))])).scalar()
     x0, x1, row = F.col("__e.x0"), F.col("__e.x1"), F.col("__r")
     gap = lambda n: F.repeat(F.lit("nan "), n)
@@ -29,25 +32,41 @@ def text_grid(df: DataFrame, value: str, steps: Sequence[str] = ("time",), y: st
         .withColumn("__e", ends)
         .select(*steps, y, F.concat(known, F.repeat(F.lit(" nan"), x1 - F.element_at(row, -1)["x"])).alias("line"))
     )
-    frame = (
-        df.select(*steps).distinct().withColumn("__e", ends)
-        .select(*steps, F.explode(F.sequence(F.col("__e.y0"), F.col("__e.y1") + 1)).alias(y), "__e")
+    whole = (
+        written.groupBy(*steps).agg(F.map_from_entries(F.collect_list(F.struct(y, "line"))).alias("__lines"))
+        .withColumn("__e", ends)
+        .select(*steps, "__e", "__lines", F.explode(F.sequence(F.col("__e.y0"), F.col("__e.y1") + 1)).alias(y))
     )
     blank = F.when(F.col(y) > F.col("__e.y1"), F.lit("")).otherwise(F.rtrim(gap(x1 - x0 + 1)))
-    return frame.join(written, [*steps, y], "left").select(
-        *steps, (F.col(y) - F.col("__e.y0")).cast("int").alias("line_no"), F.coalesce("line", blank).alias("line")
-    )
+    line = F.coalesce(F.element_at("__lines", F.col(y)), blank)
+    return whole.select(*steps, (F.col(y) - F.col("__e.y0")).cast("int").alias("line_no"), line.alias("line"))
 
 
-def write_text_grid(lines: DataFrame, path: str, steps: Sequence[str] = ("time",), mode: str = "errorifexists") -> str:
-    """One folder per step with its lines in order. Steps are spread over tasks, never gathered."""
+def write_text_grid(lines: DataFrame, path: str, steps: Sequence[str] = ("time",), mode: str = "errorifexists", time: str | None = None) -> str:
+    """The lines of all steps in order: files sorted by name follow each other in time.
+
+    One folder per year of ``time`` (the last of ``steps``) and further ones for the other steps, such
+    as product or scenario. Tasks hold ranges of steps, so no folder is one task's.
+    """
     steps = list(steps)
-    keys = [F.regexp_replace(F.col(c).cast("string"), "[ :]", "-").alias(c) for c in steps]
+    time = time or steps[-1]
+    folders = [s for s in steps if s != time]
     (
-        lines.select(*keys, "line_no", "line")
-        .repartition(*steps)
-        .sortWithinPartitions(*steps, "line_no")
-        .select(*steps, "line")
-        .write.mode(mode).partitionBy(*steps).text(path)
+        lines.withColumn("year", F.year(time))
+        .repartitionByRange(*folders, time, "line_no")
+        .sortWithinPartitions(*folders, "year", time, "line_no")
+        .select(*folders, "year", "line")
+        .write.mode(mode).partitionBy(*folders, "year").text(path)
     )
     return path
+
+
+def read_text_grid(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of written grids: the folders' columns, the file and the place of the line in it, both in order.
+
+    A file is read as a whole, so it should be the size of a task.
+    """
+    rows = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_name"))
+    names = [c for c in rows.columns if c not in ("value", "file")]
+    each = F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("place", "line")
+    return rows.select(*names, "file", each)

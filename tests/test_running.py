@@ -23,6 +23,15 @@ def test_step_change_keeps_rows_and_resets_show(spark, chunk):
     assert column(running.step_change(df, ["k"], "v", chunk=chunk, clip_negative=True), "change") == [None, 2.0, 3.0, None, 3.0]
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_series_change_in_pieces_is_that_of_the_whole(spark, keys):
+    rows = [("a", dt.datetime(2019, 12, 30) + dt.timedelta(hours=7 * i), float(i * i % 17)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, time timestamp_ntz, v double")
+    whole = running.series_change(df, ["k"], "v").orderBy("time").collect()
+    for chunk in ("day", "month", "year"):
+        assert running.series_change(df, keys, "v", chunk=chunk).select("k", "time", "v", "change").orderBy("time").collect() == whole
+
+
 def test_series_change_drops_the_first_row(spark):
     assert column(running.series_change(series(spark, [0.0, 2.0, None, 1.0]), ["k"], "v"), "change") == [2.0, None, None]
 

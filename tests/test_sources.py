@@ -195,8 +195,21 @@ def test_text_grid(spark, tmp_path):
     expected = ["1.00 nan 0.12", "nan nan nan", "nan -3.46 nan", ""]
     assert [r["line"] for r in lines.orderBy("line_no").collect()] == expected
     path = textgrid.write_text_grid(lines, str(tmp_path / "out"))
-    (file,) = glob.glob(f"{path}/time=2020-01-01-03-00-00/*.txt")
-    assert open(file).read().split("\n")[:4] == expected
+    written = "".join(open(f).read() for f in sorted(glob.glob(f"{path}/year=2020/*.txt")))
+    assert written.split("\n")[:4] == expected
+    back = textgrid.read_text_grid(spark, path).orderBy("year", "file", "place").collect()
+    assert [r["line"] for r in back] == expected
+
+
+def test_text_grids_of_many_steps_stay_in_order(spark, tmp_path):
+    rows = [(dt.datetime(2019 + i // 12, 1 + i % 12, 1), p, y, x, float(i + 100 * y + x)) for i in range(36) for p in ("a", "b") for y in (0, 1) for x in (0, 1)]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, p string, y int, x int, v double").repartition(5)
+    cells = spark.createDataFrame([(0, 0), (1, 2)], "y int, x int")
+    lines = textgrid.text_grid(df, "v", ["p", "time"], cells=cells)
+    path = textgrid.write_text_grid(lines, str(tmp_path / "out"), ["p", "time"])
+    back = textgrid.read_text_grid(spark, path).orderBy("p", "year", "file", "place").collect()
+    assert [r["line"] for r in back] == [r["line"] for r in lines.orderBy("p", "time", "line_no").collect()]
+    assert len(back) == 36 * 2 * 3 and all(r["line"].endswith(" nan") for r in back if r["line"])
 
 
 def test_station_request(spark):
