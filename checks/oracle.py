@@ -110,6 +110,11 @@ KM = """2 * 6371 * asin(sqrt(least(1, pow(sin(radians(c.lat - p.plat) / 2), 2)
 HRRR_MERGED = """(SELECT time, y, x, max(lon360) AS lon360, max(lat) AS lat, max(CASE WHEN step_h = 0 THEN t END) AS t, max(CASE WHEN step_h = 0 THEN r2 END) AS r2,
        max(CASE WHEN step_h = 1 THEN tp END) AS tp, max(CASE WHEN step_h = 1 THEN max_10si END) AS max_10si
 FROM v4_hrrr_raw GROUP BY 1, 2, 3)"""
+add("nearest_cells_table", f"""
+SELECT point, y, x, round(km, 6) AS km FROM (
+  SELECT p.point, c.y, c.x, {KM} AS km, row_number() OVER (PARTITION BY p.point ORDER BY {KM}, c.y, c.x) AS n FROM v5_cells c
+  CROSS JOIN (SELECT c_custkey AS point, CAST(47.0 AS DOUBLE) + (c_custkey * 7919 % 4000) / CAST(1000.0 AS DOUBLE) AS plat,
+                     CAST(-124.5 AS DOUBLE) + (c_custkey * 104729 % 7000) / CAST(1000.0 AS DOUBLE) AS plon FROM customer) p) r WHERE n = 1""", "v5_cells")
 add("nearest_cell_series", f"""
 SELECT n.point, m.time, m.y, m.x, round(m.tp, 6) AS tp, round(m.t - CAST(273.15 AS DOUBLE), 6) AS t_c
 FROM {HRRR_MERGED} m JOIN (

@@ -276,6 +276,16 @@ def nearest_cell_series(spark, sf):
     return rounded(rows, "t_c", "tp").select("point", "time", "y", "x", "tp", "t_c").orderBy("point", "time")
 
 
+@query
+def nearest_cells_table(spark, sf):
+    """A place for each customer, many of them far from any cell."""
+    key = F.col("c_custkey")
+    places = v.table(spark, sf, "customer").select(
+        key.alias("point"), (F.lit(47.0) + (key * 7919 % 4000) / F.lit(1000.0)).alias("plat"), (F.lit(-124.5) + (key * 104729 % 7000) / F.lit(1000.0)).alias("plon")
+    )
+    return rounded(geo.nearest_cells_of(v.cells(spark, sf), places).select("point", "y", "x", "km"), "km")
+
+
 @query
 def embed_dem_regular(spark, sf):
     return elevation.embed_on_axes(v.cells(spark, sf), v.dem(spark, sf)).select("y", "x", "lat", "lon", "elevation")

@@ -78,13 +78,16 @@ def station_slots(readings: DataFrame, variables: Sequence[str], frequency: str
     Of several readings of a variable in one slot the last one counts; of readings at the same
     instant the highest.
     """
-    last = lambda v: F.max(
-        F.when(F.col("variable") == v, F.struct(F.col("time").alias("t"), F.col("value").alias("v")))
-    )["v"].alias(v)
-    kept = readings.filter(F.col("variable").isin(list(variables)) & F.col("value").isNotNull())
-    return kept.groupBy(F.col("site").cast("string").alias("site"), slot("time", frequency).alias("time")).agg(
-        *[last(v) for v in variables]
+    kept = readings.filter(F.col("variable").isin(list(variables)) & F.col("value").isNotNull()).select(
+        F.col("site").cast("string").alias("site"), slot("time", frequency).alias("__slot"), "time", "variable", "value"
     )
+    # both aggregates follow one shuffle by slot, and are hash aggregates: a maximum of structs would sort all readings
+    names = {v: f"__v{i}" for i, v in enumerate(variables)}
+    instants = kept.repartition("site", "__slot").groupBy("site", "__slot", "time").agg(
+        *[F.max(F.when(F.col("variable") == v, F.col("value"))).alias(n) for v, n in names.items()]
+    )
+    last = lambda v, n: F.max_by(n, F.when(F.col(n).isNotNull(), F.col("time"))).alias(v)
+    return instants.groupBy("site", F.col("__slot").alias("time")).agg(*[last(v, n) for v, n in names.items()])
 
 
 def densify(

@@ -235,6 +235,40 @@ def nearest_cells(
     return best.select("point", "b.cell.*", F.col("b.km").alias("km"))
 
 
+# tiles around the globe in the passes of a search: half a degree, four, 45, and at last one tile of everything
+TILES = (720, 90, 8, 1)
+
+
+def nearest_cells_of(
+    cells: DataFrame, places: DataFrame, key: Sequence[str] = ("y", "x"), lon: str = "lon", lat: str = "lat", tiles: Sequence[int] = TILES
+) -> DataFrame:
+    """For each place of a table (point, plat, plon) the nearest cell; of equally near ones that with the lowest key.
+
+    Cells and places meet in equi-joins on tiles: a place looks into its tile and the eight around it.
+    What lies beyond is at least a tile away, so a cell nearer than that is the nearest. Places
+    without one go on to wider tiles. Longitudes are -180..180; a place has one row.
+    """
+    out = None
+    for n in tiles:
+        size = 360.0 / n
+        column = lambda c: F.pmod(F.floor((F.col(c) + 180.0) / size), F.lit(n))  # noqa: B023, E731
+        row = lambda c: F.floor((F.col(c) + 90.0) / size)  # noqa: B023, E731
+        around = [F.struct(F.pmod(column("plon") + i, F.lit(n)).alias("__tx"), (row("plat") + j).alias("__ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        near = places.select("point", "plat", "plon", F.inline(F.array_distinct(F.array(*around))))
+        tiled = cells.select(*key, F.col(lat).alias("lat"), F.col(lon).alias("lon"), column(lon).alias("__tx"), row(lat).alias("__ty"))
+        km = great_circle_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))
+        met = near.join(tiled, ["__tx", "__ty"]).withColumn("km", km)
+        best = met.groupBy("point", "plat").agg(F.min("km").alias("km"))
+        # the distance to a meridian a tile away; a parallel as far away is not nearer
+        beyond = F.asin(F.cos(F.radians("plat")) * F.sin(F.radians(F.lit(size)))) * F.lit(6371.0 * (1 - 1e-9))
+        sure = F.lit(True) if n == 1 else F.col("km") < beyond
+        found = best.filter(sure).select("point", "km")
+        first = met.join(found, ["point", "km"]).groupBy("point", "km").agg(F.min(F.struct(*key, "lat", "lon")).alias("b")).select("point", "b.*", "km")
+        out = first if out is None else out.unionByName(first)
+        places = places.join(found.select("point"), "point", "left_anti")
+    return out
+
+
 def offset_from(df: DataFrame, at_lat: float, at_lon: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Absolute distance in degrees from a place, per axis."""
     return df.withColumns({"abslat": F.abs(F.col(lat) - F.lit(at_lat)), "abslon": F.abs(F.col(lon) - F.lit(at_lon))})

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -147,3 +148,22 @@ def test_a_raster_without_regular_steps_is_an_error(spark):
     dem = lattice(spark, 9, 5).withColumn("x", F.when(F.col("ix") == 3, F.col("x") + 0.1).otherwise(F.col("x")))
     with pytest.raises(Exception, match="regular steps"):
         elevation.embed_on_axes(points(spark, [(-5.0 + 0.25 * k, 10.0) for k in range(8)]), dem).collect()
+
+
+def test_nearest_cells_of_a_table_against_brute_force(spark):
+    rng = random.Random(8)
+    cells = [(i // 10, i % 10, rng.choice([rng.uniform(-180, 180), rng.uniform(5, 9), 179.9, -179.9]), rng.choice([rng.uniform(-90, 90), rng.uniform(40, 44), 89.5])) for i in range(200)]
+    places = [(k, rng.choice([rng.uniform(-90, 90), 41.0, 90.0, -90.0]), rng.choice([rng.uniform(-180, 180), 7.0, 180.0, -180.0])) for k in range(300)]
+    cells += [(90, 0, 7.0, 41.5), (80, 0, 7.0, 40.5)]
+    places.append((999, 41.0, 7.0))
+
+    def km(a, o, b, p):
+        h = math.sin(math.radians(b - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(b)) * math.sin(math.radians(p - o) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(h, 1.0)))
+
+    df = spark.createDataFrame(cells, "y int, x int, lon double, lat double")
+    got = {r["point"]: r for r in geo.nearest_cells_of(df, spark.createDataFrame(places, "point int, plat double, plon double")).collect()}
+    assert len(got) == len(places)
+    for k, a, o in places:
+        assert got[k]["km"] == pytest.approx(min(km(a, o, c[3], c[2]) for c in cells), abs=1e-6)
+    assert got[999]["y"] in (80, 90)
