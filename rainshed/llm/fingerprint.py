@@ -86,7 +86,13 @@ def _blocks(docs: DataFrame) -> Column:
     cuts = sorted(set(cuts))
     fine = [cuts[i : i + COARSE] for i in range(0, len(cuts), COARSE)] or [[]]
     below = lambda values: F.size(F.filter(values, lambda c: c < F.col("doc_id")))
-    numbers = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
+    def numbers(values: list[int]) -> Column:
+        """A literal array in one expression, however long."""
+        text = F.split(F.lit(",".join(map(str, values))), ",") if values else F.array()
+        return text.cast("array<bigint>")
+
     coarse = below(numbers([f[0] for f in fine[1:]]))
     table = F.array(*map(numbers, fine))
     return F.when(F.col("doc_id").isNull(), -1).otherwise(coarse * COARSE + below(F.element_at(table, coarse + 1)))
@@ -126,14 +132,16 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and the next document are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(docs).withColumn("edited", edited("text", "next_text"))
-    facts = rows.select("doc_id", "block", "rank", "next_block", "next_rank", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    facts = materialize(facts, "facts")
-    both = rows.select("block", "rank", F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("v"))
-    found = materialize(signatures(both.select("block", "rank", "v.side", "v.text"), ["block", "rank", "side"]), "signatures")
+    n_chars, digest = F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")
+    facts = materialize(rows.select("doc_id", "block", "rank", "next_block", "next_rank", n_chars, digest), "facts")
+    version = lambda side, text: F.struct(F.lit(side).alias("side"), F.col(text).alias("text"))
+    both = rows.select("block", "rank", F.inline(F.array(version(0, "text"), version(1, "edited"))))
+    found = materialize(signatures(both, ["block", "rank", "side"]), "signatures")
     own = found.filter("side = 0").select("block", "rank", F.col("signature").alias("own"))
     other = found.filter("side = 1").select("block", "rank", F.col("signature").alias("changed"))
     after = own.select(F.col("block").alias("next_block"), F.col("rank").alias("next_rank"), F.col("own").alias("next"))
-    joined = reduce(lambda d, x: d.join(x[0], x[1], "left"), [(own, ["block", "rank"]), (other, ["block", "rank"]), (after, ["next_block", "next_rank"])], facts)
+    sides = [(own, ["block", "rank"]), (other, ["block", "rank"]), (after, ["next_block", "next_rank"])]
+    joined = reduce(lambda d, x: d.join(x[0], x[1], "left"), sides, facts)
     return joined.select(
         "doc_id", "n_chars", "edited_sha256",
         fingerprint("own").alias("fingerprint"), fingerprint("changed").alias("edited_fingerprint"),

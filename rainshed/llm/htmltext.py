@@ -61,13 +61,16 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _is_noise(tag: str, attributes: dict[str, str]) -> bool:
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
+    hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true"
+    if hidden or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
     if attributes.get("role", "").lower() in ROLES:
         return True
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
         parts = re.split(r"[-_]+", name)
-        if name in NOISE or parts[-1] in NOISE and parts[0] not in ("has", "no", "with") or parts[0] in NOISE and len(parts) > 1 and parts[0] not in ("share", "related"):
+        last = parts[-1] in NOISE and parts[0] not in ("has", "no", "with")
+        first = parts[0] in NOISE and parts[0] not in ("share", "related")
+        if name in NOISE or last or first:
             return True
     return False
 
@@ -252,7 +255,8 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str =
     """``pages`` with the main text of each in the column ``out``."""
     names = [c for c in pages.columns if c != out]
     keyed = pages.select(F.struct(*names).alias("page"), F.xxhash64(url, html).alias("k"), F.col(html).alias("html"))
-    shared = materialize(shared_lines(pages.select(F.xxhash64(url, html).alias("k"), F.col(url).alias("url"), F.col(html).alias("html")), "url", "html"), "shared")
+    rows = pages.select(F.xxhash64(url, html).alias("k"), F.col(url).alias("url"), F.col(html).alias("html"))
+    shared = materialize(shared_lines(rows, "url", "html"), "shared")
 
     @F.arrow_udf("array<struct<text:string,inside:boolean,at:int>>")
     def content(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -83,7 +83,8 @@ def sketch(text: Column | str) -> Column:
                         continue
                     lowest = minhash(s)
                     bands = [xxhash.xxh3_64_intdigest(lowest[b * ROWS : (b + 1) * ROWS].tobytes(), b) - 2**63 for b in range(BANDS)]
-                    out.append({"n": len(s), "key": xxhash.xxh3_128_digest(s.tobytes()), "signature": (lowest >> np.uint64(48)).astype(np.uint16).tobytes(), "bands": bands})
+                    signature = (lowest >> np.uint64(48)).astype(np.uint16).tobytes()
+                    out.append({"n": len(s), "key": xxhash.xxh3_128_digest(s.tobytes()), "signature": signature, "bands": bands})
             yield pa.array(out, kind)
 
     return sketch_of(text)
@@ -235,13 +236,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     links = materialize(_verify(materialize(_prune(pairs, nodes, percent), "pairs"), packs, percent), "links")
     labels = components(links)
 
-    members = shared.filter("size > 2").select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    component = F.coalesce("component", "id").alias("component")
+    members = shared.filter("size > 2").select("band", "id").join(labels, "id", "left").select("band", "id", component)
     members = materialize(members, "members")
-    mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high")
+    ends = [F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")]
+    mixed = members.groupBy("band").agg(*ends).filter("low < high")
     mixed = materialize(mixed.select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "mixed")
     dealt = members.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = materialize(dealt.select("band", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "id", "component", "part"), "dealt")
+    sides = F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right")
+    dealt = materialize(dealt.select("band", *sides, "id", "component", "part"), "dealt")
     block = ["band", "left", "right"]
     possible = materialize(dealt.join(nodes, "id").groupBy(*block).applyInArrow(_open_nodes(percent), _DEALT), "open")
     found = materialize(possible.join(packs, "id").groupBy(*block).applyInArrow(_exact_links(percent), "a bigint, b bigint"), "links")
@@ -250,7 +254,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = materialize(firsts.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component")), "classes")
     found = rows.select("row", "id", F.col("n").cast("long").alias("n_shingles"), "key").join(classes, "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
-    return found.select("row", F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    kept = F.col("id").eqNullSafe(component).alias("kept")
+    return found.select("row", F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), kept)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

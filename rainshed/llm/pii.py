@@ -95,7 +95,8 @@ def base_finds(docs: DataFrame, text: str = "text", out: str = "base") -> DataFr
 
     def valid(kind: str) -> Column:
         right = F.filter(f"_{kind}", lambda m: _valid(kind, m["value"]))
-        return F.transform(right, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+        place = lambda m: [m[c].alias(c) for c in ("start", "end", "value")]
+        return F.transform(right, lambda m: F.struct(F.lit(kind).alias("kind"), *place(m)))
 
     kinds = [valid(k) for k in KINDS]
     return docs.withColumn(out, F.concat(*kinds)).drop(*[f"_{k}" for k in KINDS])
@@ -115,7 +116,8 @@ def _score(graph: DataFrame) -> DataFrame:
     scored = confidence(firm)
     for _ in range(ROUNDS):
         # what a pattern says of a value does not come back to it: its own vote is taken out again
-        votes = materialize(loose.join(scored, "pattern").select("pattern", "value", "kind", F.log1p(-F.least("confidence", F.lit(0.999))).alias("vote")), "votes")
+        vote = F.log1p(-F.least("confidence", F.lit(0.999))).alias("vote")
+        votes = materialize(loose.join(scored, "pattern").select("pattern", "value", "kind", vote), "votes")
         sums = materialize(votes.groupBy("value", "kind").agg(F.sum("vote").alias("all")), "values")
         heard = loose.join(sums, "value").join(votes, ["pattern", "value", "kind"], "left")
         found = heard.groupBy("pattern", "kind").agg(F.sum(1 - F.exp(F.col("all") - F.coalesce("vote", F.lit(0.0)))).alias("sum"))
@@ -129,12 +131,17 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = base_finds(rows).withColumn("_tokens", F.when(t.rlike("[0-9@]"), matches(t, _CANDIDATE)).otherwise(F.array().cast(_FIND)))
     free = F.filter("_tokens", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+
+    def occurrence(m: Column, seed: Column) -> Column:
+        place = [m[c].alias(c) for c in ("start", "end", "value")]
+        return F.struct(_pattern(t, m["start"]).alias("pattern"), seed.alias("seed"), *place)
+
     met = F.concat(
-        F.transform("base", lambda m: F.struct(_pattern(t, m["start"]).alias("pattern"), m["kind"].alias("seed"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))),
-        F.transform(free, lambda m: F.struct(_pattern(t, m["start"]).alias("pattern"), F.lit(None).cast("string").alias("seed"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))),
+        F.transform("base", lambda m: occurrence(m, m["kind"])),
+        F.transform(free, lambda m: occurrence(m, F.lit(None).cast("string"))),
     )
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.transform("base", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"))).alias("base"), met.alias("met"))
-    rows = materialize(rows, "finds")
+    base = F.transform("base", lambda m: F.struct(*[m[c].alias(c) for c in ("kind", "start", "end")]))
+    rows = materialize(rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", base.alias("base"), met.alias("met")), "finds")
     # finds with values of their own stay in the table above; the graph is of those in patterns that seeds share
     met = rows.select("row", F.explode("met").alias("m")).select("row", "m.*").filter("pattern is not null")
     edges = materialize(met.groupBy("pattern", "value", "seed").agg(F.count("*").alias("n")), "occurrences")
@@ -149,7 +156,8 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     joined = rows.select("row", "doc_id", "base").join(materialize(new, "learned"), "row", "left")
     place = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"])
     order = lambda a, b: F.when(F.struct(place(a), a["start"], a["end"]) < F.struct(place(b), b["start"], b["end"]), -1).otherwise(1)
-    every = F.when(F.col("new").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.coalesce("new", F.array().cast("array<struct<kind:string,start:int,end:int>>"))), order))
+    new = F.coalesce("new", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+    every = F.when(F.col("new").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", new), order))
     return joined.select("row", "doc_id", "base", every.alias("finds"))
 
 

@@ -44,7 +44,8 @@ def deltas(changes: DataFrame) -> DataFrame:
     once = changes.select("change_id", "before", "after").dropDuplicates(["change_id"])
     signed = F.array(F.struct(F.lit(-1).alias("sign"), F.col("before").alias("side")), F.struct(F.lit(1).alias("sign"), F.col("after").alias("side")))
     rows = once.select(F.explode(signed).alias("r")).filter("r.side is not null").select("r.sign", "r.side.*")
-    sums = rows.groupBy(*GROUP).agg(F.sum("sign").cast("bigint").alias("n_docs"), F.sum(F.col("sign") * F.coalesce("n_tokens", F.lit(0))).cast("bigint").alias("n_tokens"))
+    tokens = F.sum(F.col("sign") * F.coalesce("n_tokens", F.lit(0)))
+    sums = rows.groupBy(*GROUP).agg(F.sum("sign").cast("bigint").alias("n_docs"), tokens.cast("bigint").alias("n_tokens"))
     return sums.filter("n_docs != 0 or n_tokens != 0")
 
 

@@ -194,15 +194,18 @@ def parse_record(record: bytes) -> dict:
     digest = base64.b32decode(digest).hex() if scheme == "sha1" else None
     if fields["warc-type"] == "response" and digest and hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError(f"the payload of {fields.get('warc-record-id')} does not have its digest")
+    refers_to = fields["warc-refers-to"].strip("<>") if "warc-refers-to" in fields else None
     return {
-        "record_type": fields["warc-type"], "record_id": fields.get("warc-record-id", "").strip("<>"), "refers_to": fields["warc-refers-to"].strip("<>") if "warc-refers-to" in fields else None,
-        "target_uri": fields.get("warc-target-uri"), "payload_digest": digest, "payload_bytes": size, "payload": None if fields["warc-type"] == "revisit" else payload,
+        "record_type": fields["warc-type"], "record_id": fields.get("warc-record-id", "").strip("<>"), "refers_to": refers_to,
+        "target_uri": fields.get("warc-target-uri"), "payload_digest": digest, "payload_bytes": size,
+        "payload": None if fields["warc-type"] == "revisit" else payload,
     }
 
 
 def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The records of the archives listed in ``manifest`` (archive, bytes), as in ``RECORD``. Each range is a task's."""
-    ranges = manifest.filter("bytes > 0").select("archive", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))
+    ranges = manifest.filter("bytes > 0").select("archive", F.explode(starts).alias("start"))
     n = manifest.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / range_bytes)), F.lit(1))).first()[0]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
