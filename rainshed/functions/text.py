@@ -34,8 +34,10 @@ def two_decimals(value: Column | str) -> Column:
     # the carry of a fraction that rounds to one; above 2**62 a double has no fraction and is cut into two exact halves
     small = (F.when(v < F.lit(_HALF), floor).cast("bigint") + (rounded == F.lit(100)).cast("bigint")).cast("string")
     upper = F.floor(v / F.lit(_HALF))
-    pieces = upper.cast("decimal(19,0)") * F.lit(int(_HALF)).cast("decimal(19,0)") + (v - upper.cast("double") * F.lit(_HALF)).cast("bigint").cast("decimal(19,0)")
-    large = F.when(v < F.lit(4e37), pieces.cast("decimal(38,0)").cast("string")).otherwise(F.raise_error(F.lit("too large a number for text with two decimals")))
+    lower = (v - upper.cast("double") * F.lit(_HALF)).cast("bigint")
+    pieces = upper.cast("decimal(19,0)") * F.lit(int(_HALF)).cast("decimal(19,0)") + lower.cast("decimal(19,0)")
+    too_large = F.raise_error(F.lit("too large a number for text with two decimals"))
+    large = F.when(v < F.lit(4e37), pieces.cast("decimal(38,0)").cast("string")).otherwise(too_large)
     digits = F.when(v < F.lit(_HALF), small).otherwise(large)
     exact = F.concat(sign, digits, F.lit("."), F.lpad((rounded % F.lit(100)).cast("string"), 2, "0"))
     known = _col(value).isNotNull() & ~F.isnan(_col(value))
