@@ -14,8 +14,10 @@ within the text.
    same is done for the reversed bytes before the anchor. In the tree of common prefixes a node of depth r joins suffixes
    with r bytes in common; a member that shares l bytes to the left with another one of the node, l + r >= length, is
    covered from l bytes before the anchor to r bytes after its start. Texts are judged as they came in.
-3. An anchor with more than ``WIDE`` contexts (a passage at which many texts begin to differ) is not sorted in one task:
-   each window through it becomes a row with its hash, and windows are counted in Spark, which splits by windows.
+3. An anchor with more than ``WIDE`` contexts (a passage at which many texts begin to differ) is not sorted in one task.
+   Its windows are counted by hash in Spark, ``RUN`` neighbouring ones at a time: if the bytes that the windows of a run
+   cover together occur twice, all are repeated; if the bytes that all of them share occur once, none is; only the windows
+   of other runs, those at the ends of repeated passages, become rows of their own.
 
 Contexts and windows are told apart by 64-bit hashes, seeds differing; suffixes are compared byte by byte.
 
@@ -39,6 +41,7 @@ LENGTH = 400
 ANCHOR = 64
 SHALLOW = 32
 WIDE = 512
+RUN = 16
 PIECE = 1 << 20  # bytes whose anchors are sought at a time
 
 
@@ -238,12 +241,34 @@ def _compare(length: int):
     return compare
 
 
-_CUT = "row bigint, key bigint, at bigint, before binary, after binary, start bigint, hash bigint"
+_CUT = "row bigint, key bigint, at bigint, before binary, after binary, low bigint, cover bigint, core bigint, start bigint, hashes array<bigint>"
+
+
+def _runs(sub: Substrings, at: int, low: int, high: int, length: int) -> Iterator[tuple]:
+    """Runs of windows [start, start + length) through an anchor, told by their distance to it.
+
+    (lowest start of the whole run, hash of what it covers or None if the text ends before, hash of what its windows
+    share, first start within the text, hashes of the windows within the text)
+    """
+    first, last = low, min(at, high - length)
+    if last < first:
+        return
+    top = at - np.arange((at - last) // RUN, (at - first) // RUN + 1) * RUN
+    bottom = top - RUN + 1
+    starts = np.arange(first, last + 1)
+    hashes = sub.of(starts, starts + length).view(np.int64).tolist()
+    cores = sub.of(top, bottom + length).view(np.int64).tolist()
+    whole = (bottom >= first) & (top <= last)
+    covers = iter(sub.of(bottom[whole], top[whole] + length).view(np.int64).tolist())
+    for core, full, s, e in zip(cores, whole.tolist(), bottom.tolist(), top.tolist(), strict=True):
+        start = max(s, first)
+        yield s, next(covers) if full else None, core, start, hashes[start - first : min(e, last) - first + 1]
 
 
 def _cut_out(length: int):
-    """Contexts of a text's anchors as bytes; of wide anchors the windows through them, as (start, hash)."""
-    schema = pa.schema([(n, pa.binary() if n in ("before", "after") else pa.int64()) for n in "row key at before after start hash".split()])
+    """Contexts of a text's anchors as bytes; of wide anchors the runs of windows through them."""
+    kinds = {"before": pa.binary(), "after": pa.binary(), "hashes": pa.list_(pa.int64())}
+    schema = pa.schema([(n, kinds.get(n, pa.int64())) for n in "row key at before after low cover core start hashes".split()])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,12 +282,11 @@ def _cut_out(length: int):
                         at = a["at"]
                         low, high = max(0, at - (length - ANCHOR)), min(len(t), at + length)
                         if a["contexts"] <= WIDE:
-                            out.append((row, a["key"], at, t[low:at], t[at:high], None, None))
+                            out.append((row, a["key"], at, t[low:at], t[at:high], None, None, None, None, None))
                         else:
-                            start = np.arange(low, min(at, high - length) + 1)
-                            hashes = sub.of(start, start + length).view(np.int64)
-                            out += [(row, None, None, None, None, s, h) for s, h in zip(start.tolist(), hashes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
+                            out += [(row, None, None, None, None, *r) for r in _runs(sub, at, low, high, length)]
+                columns = [pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return rows
 
@@ -284,9 +308,22 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     cuts = materialize(packs.join(wanted, "row").select("row", "data", "anchors").mapInArrow(_cut_out(length), _CUT), "cuts")
     narrow = cuts.filter("key is not null").select("row", "key", "at", "before", "after")
     narrow = narrow.groupBy("key").applyInArrow(_compare(length), "row bigint, start bigint, end bigint")
-    windows = cuts.filter("key is null").select("row", "start", "hash").distinct()
+    # a run without a cover gets a key that nothing else has, lest all of them meet in one task
+    cover = F.coalesce("cover", F.xxhash64("row", "low", "core")).alias("cover")
+    runs = cuts.filter("key is null").select("row", "low", cover, "core", "start", "hashes")
+    twice_of = lambda df, c: df.select("row", "low", c).distinct().groupBy(c).count().filter("count > 1").select(c)
+    cores = materialize(twice_of(runs, "core"), "cores")
+    runs = materialize(runs.join(cores, "core"), "runs")
+    covers = materialize(twice_of(runs, "cover"), "covers")
+    covered = runs.join(covers, "cover").select("row", F.col("low").alias("start"), (F.col("low") + RUN - 1 + length).alias("end"))
+    # the twin of a window may lie in a covered run, so one run of each cover is counted too
+    undecided = runs.join(covers, "cover", "left_anti").select("row", "start", "hashes")
+    samples = runs.join(covers, "cover").dropDuplicates(["cover"]).select("row", "start", "hashes")
+    undecided = materialize(undecided.union(samples), "undecided")
+    windows = undecided.select("row", "start", F.posexplode("hashes").alias("n", "hash"))
+    windows = materialize(windows.select("row", (F.col("start") + F.col("n")).alias("start"), "hash").distinct(), "windows")
     seen = materialize(windows.groupBy("hash").count().filter("count > 1").select("hash"), "seen")
-    wide = windows.join(seen, "hash").select("row", "start", (F.col("start") + length).alias("end"))
+    wide = windows.join(seen, "hash").select("row", "start", (F.col("start") + length).alias("end")).union(covered)
     return whole.union(narrow).union(wide)
 
 
