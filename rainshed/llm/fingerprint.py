@@ -6,8 +6,9 @@ sample is the term of the least a together with its t, and two texts have the sa
 generalised Jaccard similarity (sum of least weights over sum of largest). As a is a function of k and t, the least value
 of ln a stands for both, so that a sample is a ``min``.
 
-Terms are dealt into ``BINS`` by their hash and each bin is sampled ``SAMPLES`` times, so that a term is drawn for
-SAMPLES rather than for BINS * SAMPLES times; the likeness is the mean over the bins that either text has terms in.
+Each of the ``SAMPLES`` samples is drawn over all terms of a text, so that the likeness, the share of equal samples, has the
+generalised Jaccard similarity as its expected value, however unlike the weights are. What is drawn for a term serves all
+versions of a text; only t and a depend on the weight.
 
 Texts move once: rows are dealt into blocks of neighbouring ids, and the words of a text are counted where it lies.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-BINS, SAMPLES = 8, 8
+SAMPLES = 32
 BLOCK_BYTES = 64 << 20
 MOST_BLOCKS = 10_000
 COARSE = 64
@@ -38,43 +39,47 @@ def _uniform(h: Column, shift: int) -> Column:
 
 def log_sample(term: Column, log_weight: Column, sample: int) -> Column:
     """ln a of a term (a hash) for a sample."""
-    h1, h2, h3 = (F.xxhash64(term, F.lit(3 * sample + i)) for i in range(3))
+    h1, h2 = (F.xxhash64(term, F.lit(2 * sample + i)) for i in range(2))
     r = -F.ln(_uniform(h1, 0) * _uniform(h1, 24))
     c = -F.ln(_uniform(h2, 0) * _uniform(h2, 24))
-    b = _uniform(h3, 0)
+    # the bits that the others leave
+    b = _uniform(F.shiftrightunsigned(h1, 48).bitwiseXOR(F.shiftleft(F.shiftrightunsigned(h2, 48), 8)), 0)
     t = F.floor(log_weight / r + b)
     return F.ln(c) - r * (t - b) - r
 
 
-def signatures(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, signature): BINS * SAMPLES values for each text with words, null where a bin has no terms.
+def signatures(texts: DataFrame, keys: list[str], text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, signature): SAMPLES values for each text, null for one without words; rows without any word are left out.
 
-    ``texts`` should be partitioned by some of ``keys``; then nothing is shuffled here. ``keys`` tell texts apart.
+    ``others`` are columns with other versions of the text, their signatures named by the column. ``texts`` should be
+    partitioned by some of ``keys``; then nothing is shuffled here. ``keys`` tell texts apart.
     """
-    words = texts.select(*keys, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("word")).filter("word != ''")
-    terms = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
-    terms = terms.select(*keys, "term", F.ln("n").alias("w"), F.pmod(F.shiftrightunsigned("term", 8), F.lit(BINS)).cast("int").alias("bin"))
-    least = terms.groupBy(*keys, "bin").agg(*[F.min(log_sample(F.col("term"), F.col("w"), i)).alias(f"m{i}") for i in range(SAMPLES)])
-    values = F.array(*[F.xxhash64(f"m{i}").bitwiseAND(F.lit(0xFFFFFFFF)) for i in range(SAMPLES)])
-    bins = least.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", values))).alias("bins"))
-    none = F.array(*[F.lit(None).cast("bigint")] * SAMPLES)
-    at = F.sequence(F.lit(0), F.lit(BINS - 1))
-    return bins.select(*keys, F.flatten(F.transform(at, lambda b: F.coalesce(F.element_at("bins", b), none))).alias("signature"))
+    columns = [text, *others]
+    versions = F.array(*[F.struct(F.lit(v).alias("v"), F.col(c).alias("t")) for v, c in enumerate(columns)])
+    texts = texts.select(*keys, F.inline(versions))
+    words = texts.select(*keys, "v", F.explode(F.split(F.lower("t"), r"[^\p{L}\p{N}]+")).alias("word")).filter("word != ''")
+    counts = [F.count_if(F.col("v") == v).alias(f"n{v}") for v in range(len(columns))]
+    terms = words.select(*keys, "v", F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(*counts)
+    # the logarithm of 0 is null, so that a version has no sample of a term it lacks
+    terms = terms.select(*keys, "term", *[F.ln(f"n{v}").alias(f"w{v}") for v in range(len(columns))])
+    least = [F.min(log_sample(F.col("term"), F.col(f"w{v}"), i)).alias(f"m{v}_{i}") for v in range(len(columns)) for i in range(SAMPLES)]
+    value = lambda m: F.xxhash64(m).bitwiseAND(F.lit(0xFFFFFFFF))
+    values = lambda v: F.when(F.col(f"m{v}_0").isNotNull(), F.array(*[value(f"m{v}_{i}") for i in range(SAMPLES)]))
+    names = ["signature", *others]
+    return terms.groupBy(*keys).agg(*least).select(*keys, *[values(v).alias(n) for v, n in enumerate(names)])
 
 
 def likeness(a: Column | str, b: Column | str) -> Column:
-    """Share of equal values among the places that either signature has; null signatures are those of texts without words."""
+    """Share of equal values; null signatures are those of texts without words."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    count = lambda flags: F.aggregate(flags, F.lit(0), lambda n, x: n + x)
-    same = count(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)))
-    either = count(F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), 1).otherwise(0)))
-    return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same / either)
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+    return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same / F.lit(SAMPLES))
 
 
 def fingerprint(signature: Column | str) -> Column:
-    """Eight hexadecimal digits for each value, dashes where there is none."""
-    one = lambda x: F.coalesce(F.lpad(F.lower(F.hex(x)), 8, "0"), F.lit("-" * 8))
-    return F.coalesce(F.array_join(F.transform(signature, one), ""), F.lit("-" * 8 * BINS * SAMPLES))
+    """Eight hexadecimal digits for each value, dashes for a text without words."""
+    one = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
+    return F.coalesce(F.array_join(F.transform(signature, one), ""), F.lit("-" * 8 * SAMPLES))
 
 
 def _blocks(docs: DataFrame) -> Column:
@@ -134,13 +139,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(docs).withColumn("edited", edited("text", "next_text"))
     n_chars, digest = F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")
     facts = materialize(rows.select("doc_id", "block", "rank", "next_block", "next_rank", n_chars, digest), "facts")
-    version = lambda side, text: F.struct(F.lit(side).alias("side"), F.col(text).alias("text"))
-    both = rows.select("block", "rank", F.inline(F.array(version(0, "text"), version(1, "edited"))))
-    found = materialize(signatures(both, ["block", "rank", "side"]), "signatures")
-    own = found.filter("side = 0").select("block", "rank", F.col("signature").alias("own"))
-    other = found.filter("side = 1").select("block", "rank", F.col("signature").alias("changed"))
+    found = materialize(signatures(rows, ["block", "rank"], "text", ("edited",)), "signatures")
+    own = found.select("block", "rank", F.col("signature").alias("own"), F.col("edited").alias("changed"))
     after = own.select(F.col("block").alias("next_block"), F.col("rank").alias("next_rank"), F.col("own").alias("next"))
-    sides = [(own, ["block", "rank"]), (other, ["block", "rank"]), (after, ["next_block", "next_rank"])]
+    sides = [(own, ["block", "rank"]), (after, ["next_block", "next_rank"])]
     joined = reduce(lambda d, x: d.join(x[0], x[1], "left"), sides, facts)
     return joined.select(
         "doc_id", "n_chars", "edited_sha256",

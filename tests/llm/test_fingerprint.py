@@ -36,6 +36,26 @@ def test_collisions_follow_the_generalised_jaccard_similarity(spark):
     assert abs(statistics.mean(errors)) < 0.03 and statistics.pstdev(errors) < 0.15
 
 
+def test_heavy_terms_count_by_their_weight(spark):
+    """A word that makes up nearly the whole text decides; the error of each pair is small, not only the mean."""
+    heavy = lambda i, side: "x " * 1000 + " ".join(f"r{i}x{side}x{k}" for k in range(7))
+    texts = [(i, heavy(i, 0), heavy(i, 1)) for i in range(40)]
+    df = spark.createDataFrame(texts, "i int, text string, other string")
+    found = fingerprint.signatures(df, ["i"], "text", ("other",)).select("i", fingerprint.likeness("signature", "other").alias("like"))
+    got = {r.i: r.like for r in found.collect()}
+    errors = [abs(got[i] - jaccard(a, b)) for i, a, b in texts]
+    assert max(errors) < 0.15 and statistics.mean(errors) < 0.05
+
+
+def test_versions_have_the_signatures_of_texts_alone(spark):
+    rows = [(0, "a b b c", "a c c d"), (1, "", "x"), (2, "y y", " "), (3, None, None)]
+    df = spark.createDataFrame(rows, "i int, text string, other string")
+    both = {r.i: (r.signature, r.other) for r in fingerprint.signatures(df, ["i"], "text", ("other",)).collect()}
+    for n, column in enumerate(("text", "other")):
+        alone = {r.i: r.signature for r in fingerprint.signatures(df, ["i"], column).collect()}
+        assert {i: s[n] for i, s in both.items() if s[n]} == alone
+
+
 def test_rows_and_their_next(spark, edge):
     docs = edge.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()), reverse=True)
