@@ -24,7 +24,6 @@ KINDS = ["email", "ip", "card", "phone"]
 ROUNDS = 3
 PRIOR = 2
 CONFIDENT = 0.8
-SEEDS = 2  # distinct seeds a pattern needs to be looked at
 LEFT = 80  # code points before a find in which its pattern is sought
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -108,7 +107,10 @@ def _score(graph: DataFrame) -> DataFrame:
     seeds = graph.filter("seed is not null").select("pattern", "value", F.col("seed").alias("kind")).distinct()
     firm = materialize(seeds.groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("sum")), "firm")
     sizes = materialize(sizes, "sizes")
+    # a value of one pattern is told nothing by others: it counts in ``sizes`` alone
     loose = materialize(graph.filter("seed is null").select("pattern", "value").distinct(), "loose")
+    spread = materialize(loose.groupBy("value").count().filter("count > 1").select("value"), "spread")
+    loose = materialize(loose.join(spread, "value").select("pattern", "value"), "shared")
 
     def confidence(sums: DataFrame) -> DataFrame:
         return sums.join(sizes, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("n") + PRIOR)).alias("confidence"))
@@ -142,11 +144,9 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     )
     base = F.transform("base", lambda m: F.struct(*[m[c].alias(c) for c in ("kind", "start", "end")]))
     rows = materialize(rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", base.alias("base"), met.alias("met")), "finds")
-    # finds with values of their own stay in the table above; the graph is of those in patterns that seeds share
+    # every pattern is in the graph: one without seeds may share values with confident ones
     met = rows.select("row", F.explode("met").alias("m")).select("row", "m.*").filter("pattern is not null")
-    edges = materialize(met.groupBy("pattern", "value", "seed").agg(F.count("*").alias("n")), "occurrences")
-    shared = edges.filter("seed is not null").groupBy("pattern").agg(F.countDistinct("value").alias("seeds")).filter(F.col("seeds") >= SEEDS)
-    graph = materialize(edges.join(materialize(shared.select("pattern"), "patterns"), "pattern"), "graph")
+    graph = materialize(met.select("pattern", "value", "seed").distinct(), "graph")
     firm = materialize(_score(graph).filter(F.col("confidence") >= CONFIDENT).select("pattern", "kind"), "confident")
     new = met.filter("seed is null").join(firm, "pattern")
     fits = F.lit(False)

@@ -66,6 +66,17 @@ def test_contexts_find_what_patterns_do_not(contexts):
     assert extra == {100: "email:27:45", 101: "email:15:18,phone:20:35"}
 
 
+def test_patterns_without_seeds_learn_from_shared_values(spark):
+    rows = [f"my mailbox is user{i}@host{i}.org now" for i in range(400)]
+    rows += [f"{where} user{i}@localhost now" for i in range(40) for where in ("my mailbox is", "the internal login")]
+    rows += ["the internal login unseen1@localhost now", "the internal login unseen2@localhost now"]
+    # as many shared values do not make a pattern of other things confident
+    rows += [f"some other thing user{i}@localhost now" for i in range(10)] + [f"some other thing no{i}@where now" for i in range(90)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r.doc_id for r in found(pii.find(df)) if r.finds != r.base}
+    assert got == set(range(400, 482))
+
+
 def test_mask(contexts):
     got = {r.doc_id: r for r in pii.masked(contexts).collect()}
     assert len(got) == contexts.count() and pii.masked(contexts).columns == contexts.columns
