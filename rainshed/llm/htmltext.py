@@ -1,11 +1,12 @@
-"""Main text of HTML pages: containers by tag, and page differencing with the nearest URL for what lies outside them.
+"""Main text of HTML pages: containers by tag, and page differencing with the nearest URL.
 
 A page becomes a list of blocks. Scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments are told by tag, role and class and never give text. If the page has an article or main container, its blocks are
-the text. Otherwise page differencing decides about the rest: pages are paired by URL path within their host (the
-neighbours in the order of paths; the one with the longer common path counts, else the former), the lines of both are
-aligned by longest common subsequence, and shared lines are deleted. Lines inside a container are not deleted: copies of
-an article on one host share them rightly. If nearly all lines are shared the pages are copies, and nothing is deleted.
+the content, otherwise all blocks are. Page differencing decides about every page: pages are paired by URL path within
+their host (the neighbours in the order of paths; the one with the longer common path counts, else the former), the lines
+of both are aligned by longest common subsequence, and shared lines are deleted, in a main container too but not in an
+article: articles of one host may share paragraphs, and on the test tables such lines are text of the article. Pages of equal
+content are copies, which share it rightly: nothing is deleted. Any other page loses what it shares, at any share.
 
 Neighbours are found by one sort of narrow rows (line hashes, no text) over all hosts, so a host of any size is spread
 over tasks; the rows at the edges of tasks meet in a table of two rows a task.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
 
-COPY_SHARE = 0.9  # pages that share this part of their lines are copies
+COPY_SHARE = 1.0  # only pages that share all their content are copies (told by its hash)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S
 )
@@ -75,12 +76,12 @@ def _is_noise(tag: str, attributes: dict[str, str]) -> bool:
     return False
 
 
-def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, is content, is inside a container) of each block that has text, in page order."""
-    out: list[tuple[str, bool, bool]] = []
+def blocks_of(page: str) -> list[tuple[str, bool, int]]:
+    """(text, is content, 2 inside an article, 1 inside another container, else 0) of each block that has text, in page order."""
+    out: list[tuple[str, bool, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, content, inside, header
-    content, inside, header, met = True, False, False, False
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, content, inside, header
+    content, inside, header, met = True, 0, False, False
     at, size = 0, len(page)
 
     def close_block():
@@ -130,18 +131,19 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
                 if stack[depth][0] == "li":
                     pop_to(depth)
                     break
-        container = tag in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
+        article = tag == "article" or attributes.get("itemprop") == "articleBody"
+        container = 2 if article else 1 if tag == "main" or attributes.get("role") == "main" else 0
         noise = tag in DROPPED or tag not in ("body", "html", "main") and _is_noise(tag, attributes) or tag == "header" and not inside
         if noise and tag not in BLOCK:
             close_block()
         stack.append((tag, content, inside, header))
         if container and not noise and not met:
             # the first container ends whatever was not closed before it
-            content, inside, header, met = True, True, False, True
+            content, inside, header, met = True, container, False, True
         elif noise:
             content = False
         elif container and content:
-            inside = True
+            inside = max(inside, container)
         elif tag == "header":
             header = True
         elif header and tag in HEADINGS:
@@ -207,17 +209,22 @@ def _shared_with_nearest(own: dict, before: dict | None, after: dict | None) ->
     p, q = common_path(before), common_path(after)
     if max(p, q) < 0:
         return []
-    other = (before if p >= q else after)["lines"]
-    found = common_lines(own["lines"], other)
-    return [] if len(found) >= COPY_SHARE * max(len(own["lines"]), len(other)) else found
+    other = before if p >= q else after
+    return [] if own["content"] == other["content"] else common_lines(own["lines"], other["lines"])
 
 
-_NARROW = "k bigint, host string, path string, plain boolean, lines array<bigint>"
-_SCHEMA = pa.schema([("k", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("plain", pa.bool_()), ("lines", pa.list_(pa.int64()))])
+def content_of(found: list[tuple[str, bool, int]]) -> list[tuple[int, str, bool]]:
+    """(position, text, is inside an article) of the content blocks of a page: those inside its containers if it has any."""
+    inside = [(n, t, i == 2) for n, (t, c, i) in enumerate(found) if c and i]
+    return inside or [(n, t, False) for n, (t, c, _) in enumerate(found) if c]
+
+
+_NARROW = "k bigint, host string, path string, open boolean, content bigint, lines array<bigint>"
+_SCHEMA = pa.schema([("k", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("open", pa.bool_()), ("content", pa.int64()), ("lines", pa.list_(pa.int64()))])
 
 
 def shared_lines(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(k, shared): for pages without a container, the positions of blocks shared with the nearest page."""
+    """(k, shared): the positions of blocks shared with the nearest page, if its content is another."""
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,17 +232,18 @@ def shared_lines(pages: DataFrame, url: str, html: str) -> DataFrame:
                 rows = batch.slice(at, 256).to_pylist()
                 for r in rows:
                     found = blocks_of(r.pop("html") or "")
-                    r |= {"plain": not any(x[2] for x in found), "lines": [line_hash(x[0]) for x in found]}
+                    content = content_of(found)
+                    r |= {"open": not all(x[2] for x in content), "content": line_hash("\n".join(x[1] for x in content)), "lines": [line_hash(x[0]) for x in found]}
                 yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
     rows = pages.select("k", _host_of(F.col(url)).alias("host"), _path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
     rows = materialize(rows.mapInArrow(narrow, _NARROW), "lines").dropDuplicates(["k"])
     # sorted by URL over all tasks; neighbours within a task, then those across the edges of tasks (two rows a task)
     sorted_rows = materialize(rows.repartitionByRange("host", "path", "k").withColumn("task", F.spark_partition_id()), "sorted")
-    page = F.struct("host", "path", "lines")
+    page = F.struct("host", "path", "content", "lines")
     within = Window.partitionBy("task").orderBy("host", "path", "k")
     paired = sorted_rows.withColumns({"own": page, "before": F.lag(page).over(within), "after": F.lead(page).over(within)})
-    paired = materialize(paired.select("k", "task", "plain", "own", "before", "after"), "neighbours")
+    paired = materialize(paired.select("k", "task", "open", "own", "before", "after"), "neighbours")
     edge = F.col("before").isNull() | F.col("after").isNull()
     across = Window.orderBy("task", "own.host", "own.path", "k")
     edges = paired.filter(edge).withColumns(
@@ -247,7 +255,7 @@ def shared_lines(pages: DataFrame, url: str, html: str) -> DataFrame:
         rows = zip(own.to_pylist(), before.to_pylist(), after.to_pylist(), strict=True)
         return pa.array([_shared_with_nearest(*r) for r in rows], pa.list_(pa.int32()))
 
-    open_pages = paired.filter(~edge).union(edges).filter("plain")
+    open_pages = paired.filter(~edge).union(edges).filter("open")
     return open_pages.select("k", shared("own", "before", "after").alias("shared")).filter(F.size("shared") > 0)
 
 
@@ -258,20 +266,18 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str =
     rows = pages.select(F.xxhash64(url, html).alias("k"), F.col(url).alias("url"), F.col(html).alias("html"))
     shared = materialize(shared_lines(rows, "url", "html"), "shared")
 
-    @F.arrow_udf("array<struct<text:string,inside:boolean,at:int>>")
+    @F.arrow_udf("array<struct<text:string,article:boolean,at:int>>")
     def content(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_()), ("at", pa.int32())]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("at", pa.int32())]))
         for batch in batches:
             parsed = []
             for piece in slices(batch):
                 for page in piece.to_pylist():
-                    found = [{"text": t, "inside": i, "at": n} for n, (t, c, i) in enumerate(blocks_of(page or "")) if c]
-                    inside = [x for x in found if x["inside"]]
-                    parsed.append(inside or found)
+                    parsed.append([{"text": t, "article": a, "at": n} for n, t, a in content_of(blocks_of(page or ""))])
             yield pa.array(parsed, kind)
 
     parsed = keyed.select("page", "k", content("html").alias("blocks")).join(shared, "k", "left")
-    kept = F.filter("blocks", lambda b: b["inside"] | F.col("shared").isNull() | ~F.array_contains("shared", b["at"]))
+    kept = F.filter("blocks", lambda b: b["article"] | F.col("shared").isNull() | ~F.array_contains("shared", b["at"]))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return parsed.select("page.*", text.alias(out))
 

@@ -90,6 +90,23 @@ def test_differencing(spark):
     assert h.main_text(df.limit(0)).count() == 0
 
 
+def texts(spark, pages, parts=3):
+    df = spark.createDataFrame(pages, "url string, html string").repartition(parts)
+    return {r.url: r.text for r in h.main_text(df).collect()}
+
+
+def test_lines_shared_inside_a_main_container_go(spark):
+    site = "<main><p>Read more on our site</p><p>{}</p><p>Tell a friend</p></main>"
+    got = texts(spark, [(f"http://a.org/{i}", site.format(f"story {i}")) for i in range(9)])
+    assert got == {f"http://a.org/{i}": f"story {i}" for i in range(9)}
+
+
+def test_template_heavy_pages_are_no_copies(spark):
+    template = "".join(f"<p>template {k}</p>" for k in range(34))
+    got = texts(spark, [(f"http://a.org/{i}", f"{template}<p>own {i}</p><p>more {i}</p>") for i in range(9)])
+    assert got == {f"http://a.org/{i}": f"own {i} more {i}" for i in range(9)}
+
+
 def test_query(spark, sf_dir):
     rows = h.op4_main_text(spark, sf_dir).collect()
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
