@@ -16,6 +16,8 @@ from .common import materialize, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of an undetermined language (no letters) go."""
     model = langid.fit(langid.training_rows(docs))
+    if not model.langs:  # nothing to learn from: letters alone decide
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return docs.filter(langid.identify("text", model)["lang"] != langid.UNDETERMINED)
 
 

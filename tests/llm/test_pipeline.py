@@ -37,6 +37,12 @@ def test_stages_on_edge_rows_and_nothing(spark, sf_dir, edge, none, name, stage)
     assert again.count() == 0 and again.columns == out.columns
 
 
+def test_texts_stay_where_no_language_can_be_learned(spark, sf_dir, edge):
+    kept = stages.identify_language(spark, edge.withColumn("lang", F.lit(None).cast("string")), sf_dir)
+    want = [r for r in edge.collect() if any(map(str.isalpha, r.text or ""))]
+    assert want and sorted(map(str, (r.text for r in kept.collect()))) == sorted(str(r.text) for r in want)
+
+
 def test_one_of_repeated_rows_stays(spark, sf_dir, edge):
     kept = stages.drop_near_duplicates(spark, edge, sf_dir)
     assert kept.filter("doc_id = 5").groupBy("text").count().filter("count > 1").count() == 0
