@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,14 @@ def slices(array: pa.Array, rows: int = ROWS_PER_BATCH) -> Iterator[pa.Array]:
         yield array.slice(at, rows)
 
 
+def joined(words: pa.Array, chosen: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """The chosen words (BINARY) after each other, and where each begins and the last one ends."""
+    taken = words.take(pa.array(chosen, pa.int32()))
+    if not len(taken):
+        return pa.py_buffer(b""), np.zeros(1, np.int32)
+    return taken.buffers()[2] or pa.py_buffer(b""), np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, 4 * taken.offset)
+
+
 def packed(text: Column | str) -> Column:
     """BINARY text, compressed: for texts that are shuffled more than once. Null is the empty text."""
 
