@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import tokencounts
+from . import ranked, tokencounts
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP1 = """
@@ -43,4 +43,5 @@ SQL: dict[str, str] = {
     "op3_near_duplicates": _OP3,
     "op5_decontaminate": _OP5,
     "op7_token_counts": tokencounts.SQL,
+    "op11_ranked_search": ranked.SQL,
 }

@@ -11,6 +11,7 @@ from .neardup import op3_near_duplicates
 from .oracle import SQL
 from .pieces import op13_sentencepiece
 from .pii import op6_personal_data
+from .ranked import op11_ranked_search
 from .repeats import op10_repeated_passages
 from .tokencounts import op7_token_counts
 from .warc import op1_warc_roundtrip
@@ -22,6 +23,6 @@ QUERIES = {
     for f in (
         op1_warc_roundtrip, op2_fingerprints, op3_near_duplicates, op4_main_text, op5_decontaminate, op6_personal_data,
         op7_token_counts, op8_bpe_roundtrip, op9_language_id, op10_repeated_passages,
-        op13_sentencepiece,
+        op11_ranked_search, op13_sentencepiece,
     )
 }
