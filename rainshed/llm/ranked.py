@@ -68,13 +68,14 @@ class Plan(NamedTuple):
     owners: np.ndarray
     items: list[list[list[int]]]  # item -> owner -> terms
     rest: np.ndarray  # item, owner: the most that this and later owners can add
+    width: int  # items of a bundle
 
     def bundle(self, b: int) -> range:
-        return range(b * BUNDLE, min(len(self.items), (b + 1) * BUNDLE))
+        return range(b * self.width, min(len(self.items), (b + 1) * self.width))
 
     @property
     def bundles(self) -> int:
-        return -(-len(self.items) // BUNDLE)
+        return -(-len(self.items) // self.width)
 
 
 def make_plan(items: list[list[int]], df: np.ndarray, documents: int, words: int) -> Plan:
@@ -88,7 +89,7 @@ def make_plan(items: list[list[int]], df: np.ndarray, documents: int, words: int
     rest = np.zeros((len(items), OWNERS + 1), np.int64)
     for s in reversed(range(OWNERS)):
         rest[:, s] = rest[:, s + 1] + [MOST * int(weights[item[s]].sum()) for item in split]
-    return Plan(documents, words, weights, owners, split, rest)
+    return Plan(documents, words, weights, owners, split, rest, BUNDLE)
 
 
 def item_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -120,7 +121,7 @@ def blocks_of(pairs: Iterator[tuple[Any, bytes]], limit: int = BLOCK_PAIRS) -> I
 
 def postings(docs: DataFrame, numbers: dict[bytes, int], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Packed postings of the numbered terms, a row per shard: documents with a term at all, their sizes, and sorted (term, place, times)."""
-    sent = docs.sparkSession.sparkContext.broadcast(numbers)
+    sent, most_docs, most_words = docs.sparkSession.sparkContext.broadcast(numbers), SHARD_DOCS, SHARD_WORDS
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, shard = sent.value.get, TaskContext.get().partitionId() << 32
@@ -152,7 +153,7 @@ def postings(docs: DataFrame, numbers: dict[bytes, int], key: str = "doc_id", te
                     sizes.append(n)
                     terms.append(np.concatenate(found))
                     held += len(terms[-1])
-                    if len(ids) >= SHARD_DOCS or held >= SHARD_WORDS:
+                    if len(ids) >= most_docs or held >= most_words:
                         yield flush()
                         ids, sizes, terms, held, shard = [], [], [], 0, shard + 1
         if ids:
