@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_tokenizer_alignment
 from .bpe import op8_bpe_roundtrip
 from .decontaminate import op5_decontaminate
 from .fingerprint import op2_fingerprints
@@ -23,6 +24,6 @@ QUERIES = {
     for f in (
         op1_warc_roundtrip, op2_fingerprints, op3_near_duplicates, op4_main_text, op5_decontaminate, op6_personal_data,
         op7_token_counts, op8_bpe_roundtrip, op9_language_id, op10_repeated_passages,
-        op11_ranked_search, op13_sentencepiece,
+        op11_ranked_search, op12_tokenizer_alignment, op13_sentencepiece,
     )
 }
