@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -259,8 +260,8 @@ class Model:
 
     def decode_all(self, ids: pa.ListArray) -> pa.Array:
         """Texts of lists of ids. What was made by ``encode`` needs no Python object per id; the rest goes id by id."""
-        flat, at = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-        at = at - at[0]
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        at = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).fill_null(0))])
         data, places = joined(self.surfaces, flat)
         data, cuts = memoryview(data), places[at].tolist()
         out, missing = [], ids.is_null().to_numpy(zero_copy_only=False)
@@ -325,8 +326,7 @@ def encode(text: Column | str, model, end_id: bool = False) -> Column:
     @F.arrow_udf(ENCODED)
     def pieces_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model_of(model)
-        for batch in batches:
-            done = []
+        for batch in batches:  # what goes back is sent in small parts, as it is larger than the texts
             for piece in slices(batch):
                 parts, counts = [], [0]
                 for s in piece.to_pylist():
@@ -338,8 +338,7 @@ def encode(text: Column | str, model, end_id: bool = False) -> Column:
                     counts.append(len(ids))
                 flat, at = np.concatenate(parts, axis=1), pa.array(np.cumsum(counts), pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(row, pa.int32())) for row in flat]
-                done.append(pa.StructArray.from_arrays(lists, ["ids", "starts", "ends"]))
-            yield pa.concat_arrays(done) if done else pa.array([], pa.struct([(n, pa.list_(pa.int32())) for n in ("ids", "starts", "ends")]))
+                yield pa.StructArray.from_arrays(lists, ["ids", "starts", "ends"])
 
     return pieces_of(text)
 
@@ -351,8 +350,7 @@ def decode(ids: Column | str, model) -> Column:
     def texts_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model_of(model)
         for batch in batches:
-            done = [m.decode_all(piece) for piece in slices(batch)]
-            yield pa.concat_arrays(done) if done else pa.array([], pa.string())
+            yield from map(m.decode_all, slices(batch))
 
     return texts_of(ids)
 
