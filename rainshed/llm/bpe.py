@@ -18,16 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import joined, slices, table
 
-MEMO_TOKENS = 400_000  # resolved pre-tokens a worker keeps; then it starts anew
+MEMO_TOKENS = 250_000  # resolved pre-tokens of a generation; a worker keeps two
 MEMO_LENGTH = 64  # longer pre-tokens are not kept
 _LOADED: dict[str, Vocabulary] = {}
+_WORDS: dict[str, tuple[pa.Array, np.ndarray]] = {}
 
 
 class PerfectHash:
@@ -99,13 +101,16 @@ def _latin_pattern(pattern: str) -> str | None:
     return out
 
 
+def ranked_words(source: bytes) -> list[tuple[bytes, int]]:
+    return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, source.splitlines())]
+
+
 class Vocabulary:
     """Ranks of byte strings; the rank is the id. ``source`` holds lines of base64 bytes and rank."""
 
     def __init__(self, source: bytes, pattern: str):
-        pairs = [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, source.splitlines())]
+        pairs = ranked_words(source)
         self.words, self.ids = [w for w, _ in pairs], [i for _, i in pairs]
-        self.by_id = dict(zip(self.ids, self.words, strict=True))
         self.whole = PerfectHash(self.words)
         self.split_any = regex.compile(pattern).findall
         self.split_latin = re.compile(latin).findall if (latin := _latin_pattern(pattern)) else self.split_any
@@ -114,7 +119,8 @@ class Vocabulary:
         self.merged = {
             rank[w[:cut]] << 32 | rank[w[cut:]]: i for w, i in pairs for cut in range(1, len(w)) if w[:cut] in rank and w[cut:] in rank
         }
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Merge the bytes of ``word``, the pair of lowest rank first, from the left among equals."""
@@ -154,19 +160,20 @@ class Vocabulary:
         return (self.ids[at],) if at >= 0 else self.merge(word)
 
     def encode(self, text: str) -> list[int]:
-        tokens, memo = self.split(text), self.memo
-        found = list(map(memo.get, tokens))
+        tokens, young, old = self.split(text), self.young, self.old
+        found = list(map(young.get, tokens))
         if None in found:
             for k, ids in enumerate(found):
                 if ids is None:
                     token = tokens[k]
-                    if (ids := memo.get(token)) is None:
-                        ids = self.resolve(token)
+                    if (ids := young.get(token)) is None:
+                        if (ids := old.get(token)) is None:
+                            ids = self.resolve(token)
                         if len(token) <= MEMO_LENGTH:
-                            memo[token] = ids
+                            young[token] = ids
                     found[k] = ids
-            if len(memo) > MEMO_TOKENS:
-                memo.clear()
+            if len(young) > MEMO_TOKENS:  # what is in use moves on from the old generation
+                self.old, self.young = young, {}
         return list(itertools.chain.from_iterable(found))
 
 
@@ -187,23 +194,43 @@ def _vocabulary(sent) -> Vocabulary:
     return _LOADED[key]
 
 
+def _words(sent) -> tuple[pa.Array, np.ndarray]:
+    """The words, and where each id has its word; decoding needs no more."""
+    key, source, _ = sent.value
+    if key not in _WORDS:
+        _WORDS.clear()
+        pairs = ranked_words(source)
+        place = np.full(max((i for _, i in pairs), default=0) + 1, -1)
+        place[[i for _, i in pairs]] = np.arange(len(pairs))
+        _WORDS[key] = pa.array([w for w, _ in pairs], pa.binary()), place
+    return _WORDS[key]
+
+
+def decoded(ids: pa.ListArray, words: pa.Array, place: np.ndarray) -> pa.Array:
+    """BINARY: the words of each list after each other; null stays null."""
+    flat, at = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).fill_null(0))])
+    if len(flat) and not (0 <= flat.min() and flat.max() < len(place) and (found := place[flat]).min() >= 0):
+        raise KeyError("an id that is not in the vocabulary")
+    data, starts = joined(words, found if len(flat) else flat)
+    known = None if not ids.null_count else ids.is_valid().cast(pa.uint8()).to_numpy()
+    valid = None if known is None else pa.py_buffer(np.packbits(known, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(ids), [valid, pa.py_buffer(starts[at].astype(np.int32).tobytes()), data])
+
+
 def encode(text: Column | str, vocabulary) -> Column:
     """ARRAY<INT> of the ids of a text. ``vocabulary`` comes from ``load``."""
 
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = _vocabulary(vocabulary)
-        for batch in batches:
-            values, ends, done = [], [0], 0
+        for batch in batches:  # what goes back is sent in small parts, as it is larger than the texts
             for piece in slices(batch):
-                part: list[int] = []
+                ids: list[int] = []
+                ends = [0]
                 for s in piece.to_pylist():
-                    part += v.encode(s) if s else []
-                    ends.append(done + len(part))
-                values.append(np.array(part, dtype=np.int32))
-                done += len(part)
-            flat = np.concatenate(values) if values else np.empty(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                    ids += v.encode(s) if s else []
+                    ends.append(len(ids))
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.int32)))
 
     return ids_of(text)
 
@@ -213,12 +240,9 @@ def decode(ids: Column | str, vocabulary) -> Column:
 
     @F.arrow_udf("binary")
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        word = _vocabulary(vocabulary).by_id.__getitem__
+        words, place = _words(vocabulary)
         for batch in batches:
-            out = []
-            for piece in slices(batch):
-                out += [None if x is None else b"".join(map(word, x)) for x in piece.to_pylist()]
-            yield pa.array(out, pa.binary())
+            yield from (decoded(piece, words, place) for piece in slices(batch))
 
     return bytes_of(ids)
 

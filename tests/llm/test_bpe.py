@@ -2,7 +2,9 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -47,7 +49,19 @@ def test_ids_are_those_of_the_library(vocabulary, library):
         assert vocabulary.encode(text) == library.encode_ordinary(text)
 
 
-def test_memo_starts_anew(vocabulary, library, monkeypatch):
+def test_decoding_lists(vocabulary):
+    words, place = pa.array(vocabulary.words, pa.binary()), np.full(max(vocabulary.ids) + 1, -1)
+    place[vocabulary.ids] = np.arange(len(vocabulary.ids))
+    lists = pa.array([[31373], None, [], [995, 0, 255]], pa.list_(pa.int32()))
+    want = [vocabulary.words[vocabulary.ids.index(31373)], None, b"", b"".join(vocabulary.words[vocabulary.ids.index(i)] for i in (995, 0, 255))]
+    for at in range(4):
+        assert bpe.decoded(lists.slice(at), words, place).to_pylist() == want[at:]
+    for wrong in (-1, 10**6):
+        with pytest.raises(KeyError):
+            bpe.decoded(pa.array([[wrong]], pa.list_(pa.int32())), words, place)
+
+
+def test_memo_generations(vocabulary, library, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_TOKENS", 3)
     text = "several unusual prewordtokens xqzt inhere"
     assert vocabulary.encode(text) == vocabulary.encode(text) == library.encode_ordinary(text)
