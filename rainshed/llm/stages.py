@@ -22,10 +22,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a similarity of 0.8 that with the smallest id stays."""
-    kept = neardup.near_duplicates(docs, percent=80).filter("kept").select(F.col("row").alias("_row")).distinct()
+    """Of documents linked at a similarity of 0.8 that with the smallest id stays (one without an id only if none has one).
+
+    What is linked is texts, not ids: rows that share an id, or have none, are told apart by their text.
+    """
     keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    return keyed.join(materialize(kept, "kept"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    classes = neardup.near_duplicates(keyed.select("_row", "text"), doc_id="_row", percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = keyed.select("_row", F.col("doc_id").cast("long").alias("_id")).distinct()
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("first")
+    kept = classes.distinct().join(ids, "_row").groupBy("component_id").agg(first).select("first._row", "first._id")
+    same = keyed["_row"].eqNullSafe(F.col("kept._row")) & keyed["doc_id"].cast("long").eqNullSafe(F.col("kept._id"))
+    stay = keyed.join(materialize(kept, "kept").alias("kept"), same, "left_semi")
+    return stay.dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def decontaminate_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

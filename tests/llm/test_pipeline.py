@@ -1,4 +1,5 @@
 import importlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,8 +50,18 @@ def test_one_of_repeated_rows_stays(spark, sf_dir, edge):
     assert {r.doc_id for r in kept.filter(F.col("text").isNull()).collect()} == {0, None}
 
 
+def test_texts_are_linked_not_ids(spark, sf_dir):
+    rng = random.Random(8)
+    a, z, q = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (5, a + " tail"), (5, z), (9, q), (None, q + " end"), (None, z[::-1]), (None, z[::-1] + "x")]
+    docs = spark.createDataFrame([(*r, None, None, 0) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {(r.doc_id, r.text) for r in stages.drop_near_duplicates(spark, docs, sf_dir).collect()}
+    assert {(1, a), (5, z), (9, q)} < kept and len(kept) == 4
+    assert len([t for d, t in kept if d is None]) == 1
+
+
 def test_entry_registers_all(spark):
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(entry.oracle_sql()) <= names
