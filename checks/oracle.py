@@ -258,6 +258,17 @@ add("inventory_search", """
 SELECT * FROM (SELECT event_id, concat(':', CASE event_type WHEN 'click' THEN 'TMP:surface' WHEN 'view' THEN 'RH:2 m above ground'
     WHEN 'error' THEN 'APCP:surface:0-1 hour acc fcst' WHEN 'signup' THEN 'TMP:2 m above ground' ELSE 'WIND:10 m above ground' END, ':', props) AS line FROM events) t
 WHERE regexp_matches(line, '^(?::TMP:surface|:APCP:surface:0-1 hour acc fcst)')""")
+add("download_plan", """
+WITH l AS (SELECT user_id AS file, CAST(floor(event_id / 3) AS BIGINT) * 1000 AS o, concat(':', CASE event_type WHEN 'click' THEN 'TMP:surface' WHEN 'view' THEN 'RH:2 m above ground'
+    WHEN 'error' THEN 'APCP:surface:0-1 hour acc fcst' WHEN 'signup' THEN 'TMP:2 m above ground' ELSE 'WIND:10 m above ground' END, ':', CAST(event_id AS VARCHAR)) AS line FROM events),
+h AS (SELECT *, starts_with(line, ':TMP:surface') OR starts_with(line, ':APCP:surface:0-1 hour acc fcst') AS hit FROM l),
+m AS (SELECT file, o, bool_or(hit) AS hit FROM h GROUP BY file, o),
+n AS (SELECT *, lead(o) OVER w AS after, sum(CASE WHEN hit AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER w AS r
+      FROM (SELECT *, lag(hit) OVER (PARTITION BY file ORDER BY o) AS before FROM m) x WINDOW w AS (PARTITION BY file ORDER BY o)),
+t AS (SELECT n.file, n.r, string_agg(line, ' ' ORDER BY n.o, line) AS lines FROM n JOIN h ON n.file = h.file AND n.o = h.o AND h.hit GROUP BY n.file, n.r)
+SELECT g.file, g.first_byte, g.last_byte, g.messages, t.lines
+FROM (SELECT file, r, min(o) AS first_byte, arg_max(coalesce(after, -1), o) AS a, CASE WHEN a >= 0 THEN a - 1 END AS last_byte, count(*) AS messages FROM n WHERE hit GROUP BY file, r) g
+JOIN t ON g.file = t.file AND g.r = t.r""")
 add("filename_meta", f"""
 SELECT {CELL}, CASE WHEN x % 2 = 0 THEN 'ppt' ELSE 'tmean' END AS variable, day AS date,
        concat('https://hydrosource2.ornl.gov/files/SWA9505V3/DaymetV4/prcp/DaymetV4_VIC4_prcp_', CAST(year(day) AS STRING), '.nc') AS url FROM v2_grid""", "v2_grid")
@@ -277,6 +288,12 @@ WHERE product = 'ORNL' AND day BETWEEN DATE '1995-11-22' AND DATE '1996-02-06'
 UNION ALL
 SELECT {CELL}, ppt, NULL, round(t2 - CAST(273.15 AS DOUBLE), 6) FROM v2_grid WHERE product = 'WRF' AND day BETWEEN DATE '1999-10-31' AND DATE '1999-11-13'""", "v2_grid")
 add("cube_roundtrip", f"SELECT {CELL}, ppt, CAST(year(day) AS INT) AS year FROM v2_grid", "v2_grid")
+add("store_replace", f"""
+SELECT {CELL}, CASE product WHEN 'ORNL' THEN ppt * 2 ELSE ppt END AS ppt, CAST(year(day) AS INT) AS year FROM v2_grid
+WHERE product <> 'ORNL' OR day >= DATE '1995-01-01'""", "v2_grid")
+add("store_merge", f"""
+SELECT {CELL}, CASE WHEN year(day) = 1995 AND month(day) = 3 THEN ppt + 1 ELSE ppt END AS ppt,
+       concat(product, '_', scenario, '_', strftime(day, '%Y%m')) AS load, CAST(year(day) AS INT) AS year FROM v2_grid""", "v2_grid")
 STORE = "(SELECT *, 'daily' AS frequency, CASE WHEN product = 'PRISM' THEN '4km' ELSE '9km' END AS resolution, CASE WHEN day >= DATE '1998-01-01' THEN tmax END AS late_tmax FROM v2_grid)"
 add("open_store", f"""
 SELECT {CELL}, frequency, resolution, ppt, late_tmax AS tmax FROM {STORE} s

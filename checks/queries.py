@@ -11,7 +11,7 @@ from rainshed.functions import humidity, missing, times, units
 from rainshed.operators import combine, elevation, geo, reduce, running, select
 from rainshed.plans import cubes, maps, storms, wateryears
 from rainshed.session import scratch_path
-from rainshed.sources import catalog, geojson, inventory, manifests, textgrid
+from rainshed.sources import catalog, geojson, inventory, manifests, store, textgrid
 
 from . import views as v
 
@@ -495,6 +495,17 @@ def inventory_search(spark, sf):
     return inventory.search(index, {"TMP": "surface", "APCP": "surface:0-1 hour acc fcst"})
 
 
+@query
+def download_plan(spark, sf):
+    """Every user a file, its events the messages; some messages share their offset."""
+    level = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(t)) for k, t in INDEX_LEVELS.items()], F.lit("WIND:10 m above ground"))
+    index = v.table(spark, sf, "events").select(
+        F.col("user_id").alias("file"), (F.floor(F.col("event_id") / 3) * 1000).alias("offset"), F.concat(F.lit(":"), level, F.lit(":"), F.col("event_id").cast("string")).alias("line")
+    )
+    plan = inventory.download_plan(index, {"TMP": "surface", "APCP": "surface:0-1 hour acc fcst"})
+    return plan.select("file", "first_byte", "last_byte", "messages", F.array_join("lines", " ").alias("lines"))
+
+
 @query
 def filename_meta(spark, sf):
     rows = v.grid(spark, sf).select(*CELL)
@@ -567,6 +578,30 @@ def open_store(spark, sf):
     return combine.concat_rows([c.select(*CELL, "frequency", "resolution", "ppt", "tmax") for c in chosen])
 
 
+@query
+def store_replace(spark, sf):
+    """ORNL written again with doubled rain and from 1995 on; the other products stay."""
+    path = scratch_path(spark, "store_replace")
+    grid = v.grid(spark, sf).select(*CELL, "ppt")
+    catalog.write_cube(grid, path, "overwrite", time="day")
+    late = grid.filter((F.col("product") == "ORNL") & (F.col("day") >= F.lit("1995-01-01").cast("date")))
+    store.replace(late.withColumn("ppt", F.col("ppt") * 2), path, time="day")
+    return catalog.read_cube(spark, path).select(*CELL, "ppt", "year")
+
+
+@query
+def store_merge(spark, sf):
+    """Monthly files: all but December 1995, then those of 1995 with that month and a corrected March, twice."""
+    path = scratch_path(spark, "store_merge")
+    month = F.date_format("day", "yyyyMM")
+    grid = v.grid(spark, sf).select(*CELL, "ppt").withColumn("file_name", F.concat_ws("_", "product", "scenario", month))
+    store.merge(grid.filter(month != "199512"), path, time="day")
+    late = grid.filter(F.year("day") == 1995).withColumn("ppt", F.col("ppt") + F.when(month == "199503", 1.0).otherwise(0.0))
+    for _ in range(2):
+        store.merge(late, path, time="day")
+    return catalog.read_cube(spark, path).select(*CELL, "ppt", "load", "year")
+
+
 @query
 def event_slices_store(spark, sf):
     store = stored_grid(spark, sf)

@@ -154,11 +154,11 @@ def clip(
     raster: DataFrame, edges: DataFrame, key: Sequence[str], lon: str = "lon", lat: str = "lat",
     grid: DataFrame | None = None,
 ) -> DataFrame:
-    """Cells of a raster whose centre is inside any feature; the box filter reaches the scan.
+    """Cells of a raster whose centre is inside any feature; the box filter reaches the scan. No edges, no cells.
 
     ``grid``: one row per cell, when the raster itself repeats cells over time or variables.
     """
-    bounds = total_bounds(edges)
+    bounds = _outline(edges)[0]
     if bounds is None:
         return raster.limit(0)
     near = box_filter(raster, bounds, lon, lat)
@@ -178,8 +178,8 @@ def stations_inside(
 
 
 def stations_in_extent(stations: DataFrame, edges: DataFrame, buffer: float = 0.0) -> DataFrame:
-    """Stations in the polygon's box, widened by ``buffer`` degrees."""
-    bounds = total_bounds(edges)
+    """Stations in the polygon's box, widened by ``buffer`` degrees. No edges, no stations."""
+    bounds = _outline(edges)[0]
     return stations.limit(0) if bounds is None else box_filter(stations, bounds.grown(buffer))
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import missing, times, units
 from ..operators import combine, geo, select
-from ..sources import catalog, inventory
+from ..sources import catalog, inventory, store
 
 
 def known_variables(request: str | Sequence[str], allowed: Sequence[str], defaults: Sequence[str] | None = None) -> list[str]:
@@ -22,22 +22,31 @@ def known_variables(request: str | Sequence[str], allowed: Sequence[str], defaul
     return names
 
 
+def hrrr_columns(parameters: str | Sequence[str]) -> list[str]:
+    """The cube's columns of a request: a parameter stands for all columns it gives."""
+    given = schema.HRRR_COLUMNS
+    names = known_variables(parameters, [*given, *[c for columns in given.values() for c in columns]])
+    return [c for n in names for c in given.get(n, [n])]
+
+
 def hrrr_cube(
-    raw: DataFrame, cells: DataFrame, edges: DataFrame, start: str, end: str, parameters: Sequence[str] | None = None
+    raw: DataFrame, cells: DataFrame, edges: DataFrame, start: str, end: str, parameters: str | Sequence[str] = ""
 ) -> DataFrame:
     """Runs of a period -> box of all polygons -> forecast steps -> longitude -> mask that keeps the box.
 
     The filters reach the scan and the step aggregate is the only shuffle of the data. ``cells``
-    holds one row per grid cell with lon (-180..180) and lat.
+    holds one row per grid cell with lon (-180..180) and lat. ``parameters``: names of the inventory (TMP) or of the cube
+    (t), as a comma list or names; none means all.
     """
+    chosen = hrrr_columns(parameters) if parameters else None
     bounds = geo.total_bounds(edges)  # the box is that of all features, the mask that of the first
     box = dataclasses.replace(bounds, min_lon=bounds.min_lon + 360.0, max_lon=bounds.max_lon + 360.0)
     rows = geo.box_filter(select.hour_range(raw, start, end), box, "lon360", "lat")
     cube = combine.merge_forecast_steps(missing.clean_table(rows))
     cube = cube.withColumn("lon", units.lon_from_360("lon360")).drop("lon360")
     variables = [c for c in cube.columns if c not in ("time", "y", "x", "lon", "lat")]
-    if parameters:
-        variables = [v for v in variables if v in parameters]
+    if chosen is not None:
+        variables = [v for v in variables if v in chosen]
         cube = select.select_variables(cube, variables, ["time", "y", "x", "lon", "lat"])
     return geo.mask_keep(cube, geo.basin_cells(cells, edges), variables)
 
@@ -113,23 +122,29 @@ def snotel_cube(
     return combine.attach_sites(dense, combine.site_coordinates(stations, ["site_name"]))
 
 
-def write(cube: DataFrame, product: str, path: str, mode: str = "overwrite") -> str:
-    return catalog.write_cube(cube.withColumn("product", F.lit(product)), path, mode)
+def write(cube: DataFrame, product: str, path: str, mode: str = "replace") -> str:
+    """Write one product's cube. ``replace`` puts it in the place of that product alone; else a mode of ``write_cube``."""
+    cube = cube.withColumn("product", F.lit(product))
+    if mode != "replace":
+        return catalog.write_cube(cube, path, mode)
+    store.replace(cube, path)
+    return path
 
 
 def build(
     expected: DataFrame, listing: DataFrame, cube: DataFrame | Callable[[DataFrame], DataFrame], product: str, path: str,
-    mode: str = "overwrite", key: str = "path", raw: DataFrame | None = None,
+    mode: str = "replace", key: str = "path", raw: DataFrame | None = None, name: str = "file_path",
+    local: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """A whole build: account for the files of a manifest, stop when none came, write the cube.
 
-    ``listing`` holds the files that arrived. With ``raw``, rows that carry their file's name, ``cube``
-    is a function of the rows of those files that were asked for and arrived; no other row gets in. A
-    cube given as a table is taken as it is. It is not computed before the check. Returns the arrival
+    ``listing`` holds the files that arrived. With ``raw``, rows that carry their file's path (column ``name``, compared
+    as ``inventory.arrived_rows`` says), ``cube`` is a function of the rows of those files that were asked for and
+    arrived; no other row gets in. A cube given as a table is taken as it is. It is not computed before the check. Returns the arrival
     report.
     """
     inventory.require_arrivals(expected.select(key).join(listing.select(key), [key], "left_semi"))
     if raw is not None:
-        cube = cube(inventory.arrived_rows(raw, expected, listing, key))
+        cube = cube(inventory.arrived_rows(raw, expected, listing, key, name, local))
     write(cube, product, path, mode)
     return inventory.arrival_report(expected, listing, key=key)

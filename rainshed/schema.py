@@ -13,6 +13,9 @@ HRRR_PARAMETERS = {
     "DSWRF": "surface",
     "DLWRF": "surface",
 }
+HRRR_COLUMNS = {
+    "TMP": ["t"], "RH": ["r2"], "WIND": ["si10", "max_10si"], "APCP": ["tp"], "DSWRF": ["sdswrf"], "DLWRF": ["sdlwrf"],
+}
 HRRR_INSTANT = ["t", "r2", "si10", "sdswrf", "sdlwrf"]
 PRISM_VARIABLES = ["tmean", "tmax", "tmin", "ppt", "vpdmax", "vpdmin", "tdmean"]
 WRF_VARIABLES = ["T2", "RAINC", "RAINNC", "U10", "V10", "LWDNB", "SWDNB", "Q2", "PSFC"]

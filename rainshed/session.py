@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -42,6 +43,11 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> D
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow))
 
 
+@functools.cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="rainshed-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder named by ``spark.checkpoint.dir``, which all executors must see.
 
@@ -51,6 +57,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="rainshed-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_scratch()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

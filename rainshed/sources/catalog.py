@@ -12,6 +12,7 @@ from ..functions import missing, units
 from ..operators.select import time_slice
 
 MODES = ("overwrite", "append", "errorifexists")
+PARTITIONS = ("product", "frequency", "resolution", "year")
 
 
 def cube_name(product: str, start: str, end: str, *parts: str) -> str:
@@ -30,26 +31,30 @@ def ornl_cube_name(
 
 
 def write_cube(
-    df: DataFrame, path: str, mode: str = "errorifexists", partitions: Sequence[str] = ("product", "frequency", "resolution", "year"), time: str = "time"
+    df: DataFrame, path: str, mode: str = "errorifexists", partitions: Sequence[str] = PARTITIONS, time: str = "time"
 ) -> str:
     """Write a long cube, partitioned and sorted by time inside the files; NaN becomes NULL on the way.
 
-    Of ``partitions`` those count that the table has (``year`` is made from the time).
+    ``overwrite`` empties the whole store; ``store.replace`` leaves its other products alone.
 
     The rebalance hint lets AQE cut large partitions and join small ones into files of its target
     size, so a product that holds most rows does not end up in one task.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    if "year" in partitions and "year" not in df.columns:
-        df = df.withColumn("year", F.year(time))
-    df = missing.clean_table(df)
-    parts = [p for p in partitions if p in df.columns]
+    df, parts = prepared(df, partitions, time)
     order = [*parts, time, *[c for c in ("y", "x", "site") if c in df.columns]]
     df.hint("rebalance", *parts).sortWithinPartitions(*order).write.mode(mode).partitionBy(*parts).parquet(path)
     return path
 
 
+def prepared(df: DataFrame, partitions: Sequence[str] = PARTITIONS, time: str = "time") -> tuple[DataFrame, list[str]]:
+    """A cube as it is stored, and its partition columns: those of ``partitions`` that it has (``year`` is made from the time)."""
+    if "year" in partitions and "year" not in df.columns:
+        df = df.withColumn("year", F.year(time))
+    return missing.clean_table(df), [p for p in partitions if p in df.columns]
+
+
 def read_cube(spark: SparkSession, *paths: str, schema: StructType | str | None = None) -> DataFrame:
     """One or many cube files or folders as one table: time is a column, so this is the concatenation.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def search_pattern(parameters: Sequence[str] | Mapping[str, str]) -> str:
@@ -37,16 +38,69 @@ def arrival_report(expected: DataFrame, arrived: DataFrame, by: Sequence[str] =
     )
 
 
-def arrived_rows(raw: DataFrame, expected: DataFrame, arrived: DataFrame, key: str = "path", name: str = "file_name") -> DataFrame:
-    """Rows of ``raw`` whose file was asked for and has arrived, by the name at the end of its path."""
-    last = lambda df: df.select(F.element_at(F.split(F.col(key), "/"), -1).alias(name)).distinct()
-    files = last(expected).join(last(arrived), [name], "left_semi")
+def last_part(path: Column) -> Column:
+    """The name at the end of a path. It tells files apart only where no folder of another model or domain repeats it."""
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def _named(files: DataFrame, key: str, name: str, local: Callable[[Column], Column] | None) -> DataFrame:
+    return files.select((F.col(key) if local is None else local(F.col(key))).alias(name)).distinct()
+
+
+def arrived_rows(
+    raw: DataFrame, expected: DataFrame, arrived: DataFrame, key: str = "path", name: str = "file_path",
+    local: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Rows of ``raw`` whose file was asked for and has arrived.
+
+    Rows carry the whole path of their file (``with_file_path``), as the manifest has it; paths of other models, scenarios or
+    domains end in the same name. ``local`` maps a path of the manifest to what the rows carry instead, such as the name of
+    the fetched copy.
+    """
+    files = _named(expected, key, name, local).join(_named(arrived, key, name, local), [name], "left_semi")
     return raw.join(files, [name], "left_semi")
 
 
-def files_without_rows(raw: DataFrame, arrived: DataFrame, key: str = "path", name: str = "file_name") -> DataFrame:
+def files_without_rows(
+    raw: DataFrame, arrived: DataFrame, key: str = "path", name: str = "file_path", local: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """Arrived files from which no row was read: empty or unreadable ones, to be reported."""
-    return arrived.withColumn(name, F.element_at(F.split(F.col(key), "/"), -1)).join(raw.select(name).distinct(), [name], "left_anti").select(*arrived.columns)
+    own = F.col(key) if local is None else local(F.col(key))
+    return arrived.withColumn(name, own).join(raw.select(name).distinct(), [name], "left_anti").select(*arrived.columns)
+
+
+def read_arrived(spark: SparkSession, root: str, paths: Sequence[str], schema: StructType | str) -> DataFrame:
+    """Rows of Parquet files below ``root``, with ``file_path``; files that cannot be read are passed over, not the job's end.
+
+    ``files_without_rows`` names them. The schema is given, as no footer may be needed for it. A file is a unit: with a part
+    of it unreadable, the rows before that part are read, so rewrite a reported or doubtful file whole.
+    """
+    reader = spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    return with_file_path(reader.parquet(*[f"{root.rstrip('/')}/{p.lstrip('/')}" for p in paths]), root)
+
+
+def download_plan(
+    index: DataFrame, parameters: Sequence[str] | Mapping[str, str], file: str = "file", offset: str = "offset", line: str = "line"
+) -> DataFrame:
+    """The byte ranges to fetch of each file: file, first_byte, last_byte, messages, lines.
+
+    ``index`` holds the inventory lines of files with the byte where their message begins. A message ends before the next one
+    of its file, whatever that holds; the last runs to the end of the file (last_byte is missing). Messages that follow each
+    other join into one range. Lines of one message (same offset) are fetched if one of them is asked for; ``lines`` are those
+    asked for, in order. A file's inventory is small, so its lines are one window.
+    """
+    wanted = F.coalesce(F.col(line).rlike(search_pattern(parameters)), F.lit(False))
+    asked = F.array_sort(F.collect_list(F.when(wanted, F.col(line))))
+    messages = index.groupBy(file, offset).agg(asked.alias("lines")).withColumn("__hit", F.size("lines") > 0)
+    by = Window.partitionBy(file).orderBy(offset)
+    fresh = F.col("__hit") & ~F.lag("__hit", 1, False).over(by)
+    placed = messages.withColumns({"__next": F.lead(offset).over(by), "__range": F.sum(fresh.cast("int")).over(by)})
+    inside = F.transform(F.array_sort(F.collect_list(F.struct(offset, "lines"))), lambda m: m["lines"])
+    # the next message of the last one tells the end; without one the range is open
+    return placed.filter("__hit").groupBy(file, "__range").agg(
+        F.min(offset).alias("first_byte"), (F.max_by("__next", offset) - 1).alias("last_byte"),
+        F.count("*").alias("messages"), F.flatten(inside).alias("lines"),
+    ).drop("__range")
 
 
 def require_arrivals(arrived: DataFrame) -> DataFrame:
@@ -88,3 +142,10 @@ def _prism_parts(name: str, frequency: str) -> tuple[Column, Column]:
 def with_file_name(df: DataFrame) -> DataFrame:
     """The name of the file each row was read from."""
     return df.withColumn("file_name", F.col("_metadata.file_name"))
+
+
+def with_file_path(df: DataFrame, root: str) -> DataFrame:
+    """The path of the file each row was read from, below ``root``, unescaped as a manifest has it."""
+    path = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/*", "/"), F.lit("+"), F.lit("%2B")))
+    base = "/" + root.split(":", 1)[-1].strip("/") + "/"
+    return df.withColumn("file_path", F.replace(path, F.lit(base), F.lit("")))

@@ -207,9 +207,25 @@ def test_builds_refuse_unknown_variables_and_empty_polygons(spark):
         cubes.wrf_cube(raw, cells, edges, "BOGUS")
 
 
+def test_hrrr_parameters_of_the_inventory_and_of_the_cube():
+    assert cubes.hrrr_columns("tp,t2,t") == ["tp", "t"]
+    assert cubes.hrrr_columns("APCP, WIND") == ["tp", "si10", "max_10si"]
+    assert cubes.hrrr_columns(["tp"]) == ["tp"]  # not a part of another name
+    with pytest.raises(ValueError, match="t2"):
+        cubes.hrrr_columns("t2")
+
+
+def test_empty_polygons_hold_nothing(spark):
+    from rainshed.operators import geo
+
+    none = geo.edges_from_rings(spark, [[(0, 0), (1, 0), (1, 1)]]).limit(0)
+    cells = spark.createDataFrame([(0, 0, 0.5, 0.5)], "y int, x int, lat double, lon double")
+    assert geo.clip(cells, none, ["y", "x"]).count() == 0 == geo.stations_in_extent(cells, none).count() == geo.points_inside(cells, none).count()
+
+
 def test_a_build_takes_only_files_asked_for_that_arrived(spark, tmp_path):
     paths = lambda *names: spark.createDataFrame([(f"/a/{n}",) for n in names], "path string")
-    raw = hourly_rain(spark).withColumn("file_name", F.concat(F.lit("d"), F.dayofmonth("time").cast("string")))
-    report = cubes.build(paths("d1", "d2"), paths("d2", "d3"), lambda rows: rows.drop("file_name"), "WRF", str(tmp_path / "c"), raw=raw)
+    raw = hourly_rain(spark).withColumn("file_path", F.concat(F.lit("/a/d"), F.dayofmonth("time").cast("string")))
+    report = cubes.build(paths("d1", "d2"), paths("d2", "d3"), lambda rows: rows.drop("file_path"), "WRF", str(tmp_path / "c"), raw=raw)
     assert report.first().asDict() == {"expected": 2, "fetched": 1, "failed": 1}
     assert {r["time"].day for r in catalog.read_cube(spark, str(tmp_path / "c")).collect()} == {2}

@@ -102,10 +102,48 @@ def test_prism_names_without_a_date_stop_the_job(spark, name):
 
 def test_only_rows_of_requested_files_that_arrived(spark):
     paths = lambda *names: spark.createDataFrame([(f"/a/{n}",) for n in names], "path string")
-    raw = spark.createDataFrame([(n, i) for i, n in enumerate(["one", "one", "two", "three"])], "file_name string, v int")
+    raw = spark.createDataFrame([(f"/a/{n}", i) for i, n in enumerate(["one", "one", "two", "three"])], "file_path string, v int")
     got = inventory.arrived_rows(raw, paths("one", "two", "four"), paths("one", "three", "four", "one"))
     assert sorted(r.v for r in got.collect()) == [0, 1]
     assert [r.path for r in inventory.files_without_rows(raw, paths("one", "four")).collect()] == ["/a/four"]
+    short = raw.select(inventory.last_part(F.col("file_path")).alias("name"), "v")
+    got = inventory.arrived_rows(short, paths("one", "two"), paths("one", "three"), name="name", local=inventory.last_part)
+    assert sorted(r.v for r in got.collect()) == [0, 1]
+
+
+def test_files_of_another_model_or_domain_are_kept_out(spark):
+    ask = lambda model, domain: manifests.wrf_files(manifests.wrf_request(spark, model, "2020-01-01", "2020-01-01", domain=domain)).select("path")
+    wanted, other, inner = ask("era5", 2), ask("cesm2_r11i1p1f1_ssp245", 2), ask("era5", 3)
+    assert wanted.select(inventory.last_part(F.col("path"))).first() == other.select(inventory.last_part(F.col("path"))).first()
+    raw = wanted.union(other).union(inner).withColumnRenamed("path", "file_path")
+    got = {r.file_path for r in inventory.arrived_rows(raw, wanted, wanted.union(other).union(inner)).collect()}
+    assert got == {r.path for r in wanted.collect()} and len(got) == 1
+
+
+def test_an_unreadable_file_is_reported_and_the_rest_read(spark, tmp_path):
+    for k in range(10):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k} x+y"))
+    files = [str(p.relative_to(tmp_path)) for p in sorted((tmp_path / "in").rglob("part-*.parquet"))]
+    (tmp_path / files[3]).write_bytes(b"PAR1 not a file")
+    rows = inventory.read_arrived(spark, str(tmp_path), files, "id bigint").persist()
+    assert sorted(r.id for r in rows.collect()) == [i for i in range(100) if i // 10 != 3]
+    listing = spark.createDataFrame([(f,) for f in files], "path string")
+    assert [r.path for r in inventory.files_without_rows(rows, listing).collect()] == [files[3]]
+
+
+def test_download_plan(spark):
+    lines = [
+        ("a", 0, ":TMP:surface:x"), ("a", 100, ":RH:2 m above ground:x"), ("a", 250, ":TMP:surface:y"), ("a", 300, ":TMP:surface:z"),
+        ("a", 300, ":UGRD:10 m:z"), ("a", 420, ":WIND:10 m:x"), ("a", 500, ":TMP:surface:last"), ("b", 7, ":UGRD:10 m"), ("b", 9, None),
+        ("c", 5, ":VGRD:z"), ("c", 5, ":TMP:surface:c"), ("c", 8, ":VGRD:z"),
+    ]
+    index = spark.createDataFrame(lines, "file string, offset bigint, line string").repartition(3)
+    got = sorted((r.file, r.first_byte, r.last_byte, r.messages, r.lines) for r in inventory.download_plan(index, {"TMP": "surface"}).collect())
+    assert got == [
+        ("a", 0, 99, 1, [":TMP:surface:x"]), ("a", 250, 419, 2, [":TMP:surface:y", ":TMP:surface:z"]),
+        ("a", 500, None, 1, [":TMP:surface:last"]), ("c", 5, 7, 1, [":TMP:surface:c"]),
+    ]
+    assert inventory.download_plan(index.limit(0), ["TMP"]).count() == 0
 
 
 def test_appended_variables_are_read_whatever_the_file_names(spark, tmp_path):
