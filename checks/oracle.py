@@ -123,6 +123,17 @@ FROM {HRRR_MERGED} m JOIN (
     FROM v4_cells c CROSS JOIN (SELECT * FROM (VALUES ('Glacier Peak', CAST(48.1048 AS DOUBLE), CAST(-121.1124 AS DOUBLE)),
       ('Mount Baker', CAST(48.7758 AS DOUBLE), CAST(-121.8199 AS DOUBLE))) AS q(point, plat, plon)) p) r WHERE n = 1) n
 ON m.y = n.y AND m.x = n.x""", "v4_hrrr_raw", "v4_cells")
+add("point_series_store", f"""
+SELECT n.point, g.product, g.scenario, g.day, g.y, g.x, g.ppt, round(g.t2 - CAST(273.15 AS DOUBLE), 6) AS t_c
+FROM v2_grid g JOIN (
+  SELECT point, y, x FROM (
+    SELECT p.point, c.y, c.x, row_number() OVER (PARTITION BY p.point ORDER BY {KM}, c.y, c.x) AS n
+    FROM v5_cells c CROSS JOIN (SELECT * FROM (VALUES ('Glacier Peak', CAST(48.1048 AS DOUBLE), CAST(-121.1124 AS DOUBLE)),
+      ('Mount Baker', CAST(48.7758 AS DOUBLE), CAST(-121.8199 AS DOUBLE))) AS q(point, plat, plon)) p) r WHERE n = 1) n
+ON g.y = n.y AND g.x = n.x""", "v2_grid", "v5_cells")
+add("series_scan", """
+SELECT pos, quantity, sum(quantity) OVER (ORDER BY pos) AS total, quantity - lag(quantity) OVER (ORDER BY pos) AS change
+FROM (SELECT l_orderkey AS pos, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1) l""")
 REGULAR = """
 SELECT c.y, c.x, {columns} FROM (
   SELECT c.*, CASE WHEN c.lon BETWEEN h.x0 AND h.x1 AND c.lat BETWEEN h.y0 AND h.y1 THEN ceil((c.lon - h.x0) / h.dx - 0.5) END AS ix,

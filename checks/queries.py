@@ -276,6 +276,24 @@ def nearest_cell_series(spark, sf):
     return rounded(rows, "t_c", "tp").select("point", "time", "y", "x", "tp", "t_c").orderBy("point", "time")
 
 
+@query
+def point_series_store(spark, sf):
+    """The series of two places out of a store in curve order."""
+    path = scratch_path(spark, "by_cell")
+    catalog.write_cube(v.grid(spark, sf).select(*CELL, "ppt", "t2"), path, time="day", by_cell=True)
+    rows = maps.stored_point_series(catalog.read_cube(spark, path), v.cells(spark, sf), PEAKS, kelvin="t2")
+    return rounded(rows, "t_c").select("point", *CELL, "ppt", "t_c")
+
+
+@query
+def series_scan(spark, sf):
+    """Running total and change over all orders as one series without keys, in pieces of 2,048 rows."""
+    orders = v.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("pos")).agg(F.sum("l_quantity").alias("quantity"))
+    cut = running.pieces(orders, "pos", 2048)
+    total = running.running_total(orders, [], "quantity", "pos", "total", cut)
+    return running.step_change(total, [], "quantity", "pos", chunk=cut)
+
+
 @query
 def nearest_cells_table(spark, sf):
     """A place for each customer, many of them far from any cell."""

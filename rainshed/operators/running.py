@@ -1,7 +1,7 @@
 """Differences and running totals over time.
 
-A series is one key and its times. Where a series can be long, ``chunk`` cuts it by calendar: each
-piece is handled on its own and one row per piece carries the last value or the total on to the
+A series is one key and its times. Where a series can be long, ``chunk`` cuts it by calendar, or by
+row count (``pieces``): each piece is handled on its own and one row per piece carries the last value or the total on to the
 next. A hot key is then spread over many tasks. Without ``chunk`` the keys must already bound the
 series (a storm, a water year). Key and time columns hold no missing values, and a key has one row
 per time.
@@ -17,15 +17,43 @@ from pyspark.sql import functions as F
 _CHUNK = "__chunk"
 
 
-def _piece(time: str, chunk: str) -> Column:
+class Pieces(tuple):
+    """Borders that cut times into pieces of about equally many rows (``pieces``)."""
+
+
+def pieces(df: DataFrame, time: str = "time", rows: int = 1_000_000) -> Pieces:
+    """A ``chunk`` by row count, for series of any length and spacing: also one without keys is worked on by many tasks.
+
+    The borders are quantiles of the times of all rows, found in one pass, so no piece of any key holds much more than
+    ``rows`` rows, whatever the key's share. Times are dates, timestamps or integers. At most 10,000 pieces.
+    """
+    count = df.count()
+    n = min(10_000, -(-count // rows))
+    if n < 2:
+        return Pieces()
+    cuts = F.percentile_approx(time, [k / n for k in range(1, n)], 100 * n)
+    return Pieces(sorted(set(df.agg(cuts).first()[0])))
+
+
+def _border_tree(c: Column, borders: Sequence, low: int, high: int) -> Column:
+    """How many borders lie below a time, by halving."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(c <= F.lit(borders[middle]), _border_tree(c, borders, low, middle)).otherwise(_border_tree(c, borders, middle + 1, high))
+
+
+def _piece(time: str, chunk: str | Pieces) -> Column:
     c = F.col(time)
+    if isinstance(chunk, Pieces):
+        return _border_tree(c, chunk, 0, len(chunk))
     if chunk == "year":
         return F.year(c)
     if chunk == "month":
         return F.year(c) * 12 + F.month(c)
     if chunk == "day":
         return F.unix_date(F.to_date(c))
-    raise ValueError(f"chunk must be year, month or day, not {chunk}")
+    raise ValueError(f"chunk must be year, month, day or pieces, not {chunk}")
 
 
 def _total(value: Column, window) -> Column:
@@ -35,7 +63,7 @@ def _total(value: Column, window) -> Column:
 
 def step_change(
     df: DataFrame, keys: Sequence[str], value: str | Column, time: str = "time",
-    out: str = "change", clip_negative: bool = False, chunk: str | None = None,
+    out: str = "change", clip_negative: bool = False, chunk: str | Pieces | None = None,
 ) -> DataFrame:
     """Value minus the value one step earlier. Every row stays; the first of a series is missing.
 
@@ -62,7 +90,7 @@ def step_change(
 
 
 def series_change(
-    df: DataFrame, keys: Sequence[str], value: str, time: str = "time", out: str = "change", chunk: str | None = None
+    df: DataFrame, keys: Sequence[str], value: str, time: str = "time", out: str = "change", chunk: str | Pieces | None = None
 ) -> DataFrame:
     """The same on a reduced series, which loses its first row. Give ``chunk`` where a series may be long."""
     keys = list(keys)
@@ -82,13 +110,13 @@ def series_change(
 
 def running_total(
     df: DataFrame, keys: Sequence[str], value: str | Column, time: str = "time",
-    out: str = "total", chunk: str | None = None,
+    out: str = "total", chunk: str | Pieces | None = None,
 ) -> DataFrame:
     return running_totals(df, keys, {out: value}, time, chunk)
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], values: Mapping[str, str | Column], time: str = "time", chunk: str | None = None
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, str | Column], time: str = "time", chunk: str | Pieces | None = None
 ) -> DataFrame:
     """Running totals of several values (new column -> value) over one sort of the rows."""
     keys = list(keys)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import missing, units
+from ..sources import catalog
 from ..operators import geo, reduce, select
 
 
@@ -34,3 +35,12 @@ def point_series(
     nearest = F.broadcast(geo.nearest_cells(cells, points, key))  # one row per place of the request
     rows = grid.join(nearest.select("point", *key), list(key))
     return rows.withColumn("t_c", units.kelvin_to_celsius(kelvin)) if kelvin else rows
+
+
+def stored_point_series(
+    store: DataFrame, cells: DataFrame, points: Sequence[tuple[str, float, float]], key: Sequence[str] = ("y", "x"), kelvin: str | None = "t"
+) -> DataFrame:
+    """The same from a store written ``by_cell``: only the pages of the places' cells are read."""
+    nearest = geo.nearest_cells(cells, points, key)
+    rows = catalog.cells_of(store, nearest, key).join(F.broadcast(nearest.select("point", *key)), list(key))
+    return rows.withColumn("t_c", units.kelvin_to_celsius(kelvin)) if kelvin else rows

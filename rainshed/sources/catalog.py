@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions import missing, units
+from ..functions import curve, missing, units
+from ..operators import sizing
 from ..operators.select import time_slice
 
 MODES = ("overwrite", "append", "errorifexists")
+CELL = "cell"  # the curve code of a store written by cell
+PAGE_ROWS = 2000  # rows of a page there: what is read at least
+MOST_CELLS = 1000  # cells looked up by ranges
 PARTITIONS = ("product", "frequency", "resolution", "year")
 
 
@@ -31,10 +35,14 @@ def ornl_cube_name(
 
 
 def write_cube(
-    df: DataFrame, path: str, mode: str = "errorifexists", partitions: Sequence[str] = PARTITIONS, time: str = "time"
+    df: DataFrame, path: str, mode: str = "errorifexists", partitions: Sequence[str] = PARTITIONS, time: str = "time", by_cell: bool = False
 ) -> str:
     """Write a long cube, partitioned and sorted by time inside the files; NaN becomes NULL on the way.
 
+    ``by_cell`` sorts by the curve code of (y, x) instead (column ``cell``): files then hold neighbouring cells with all their
+    times, and small pages let ``cells_of`` and ``box_of`` skip the rest. It suits series of places, the default maps.
+
+
     ``overwrite`` empties the whole store; ``store.replace`` leaves its other products alone.
 
     The rebalance hint lets AQE cut large partitions and join small ones into files of its target
@@ -43,6 +51,12 @@ def write_cube(
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     df, parts = prepared(df, partitions, time)
+    if by_cell:
+        df = df.withColumn(CELL, curve.code("y", "x"))
+        # ranges are cut by rows, also inside a cell, so neither a large product nor a long series ends up in one task
+        placed = df.repartitionByRange(*parts, CELL, time).sortWithinPartitions(*parts, CELL, time)
+        placed.write.mode(mode).option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy(*parts).parquet(path)
+        return path
     order = [*parts, time, *[c for c in ("y", "x", "site") if c in df.columns]]
     df.hint("rebalance", *parts).sortWithinPartitions(*order).write.mode(mode).partitionBy(*parts).parquet(path)
     return path
@@ -55,6 +69,26 @@ def prepared(df: DataFrame, partitions: Sequence[str] = PARTITIONS, time: str =
     return missing.clean_table(df), [p for p in partitions if p in df.columns]
 
 
+def cells_of(store: DataFrame, cells: DataFrame, key: Sequence[str] = ("y", "x")) -> DataFrame:
+    """Rows of a store written ``by_cell`` that lie in the given cells (a table with ``key``; repeats do not matter).
+
+    A few cells become literal ranges of the curve, so that only their pages are read; many are joined.
+    """
+    wanted = cells.select(*key).distinct()
+    few = wanted.limit(MOST_CELLS + 1).collect()  # a bounded number of rows
+    if len(few) > MOST_CELLS:
+        return store.join(sizing.broadcast_if_small(wanted), list(key), "left_semi")
+    known = [(r[0], r[1]) for r in few if r[0] is not None and r[1] is not None]
+    near = store.filter(curve.in_ranges(curve.cell_ranges(known), CELL))
+    return near.join(F.broadcast(wanted), list(key), "left_semi")
+
+
+def box_of(store: DataFrame, y0: int, y1: int, x0: int, x1: int) -> DataFrame:
+    """Rows of a store written ``by_cell`` in a box of indices, ends included."""
+    near = store.filter(curve.in_ranges(curve.box_ranges(y0, y1, x0, x1), CELL))
+    return near.filter(F.col("y").between(y0, y1) & F.col("x").between(x0, x1))
+
+
 def read_cube(spark: SparkSession, *paths: str, schema: StructType | str | None = None) -> DataFrame:
     """One or many cube files or folders as one table: time is a column, so this is the concatenation.
 
