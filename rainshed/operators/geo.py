@@ -7,6 +7,7 @@ never per time step. A polygon is a table of edges (feature, x1, y1, x2, y2).
 from __future__ import annotations
 
 import dataclasses
+import json
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -235,38 +236,73 @@ def nearest_cells(
     return best.select("point", "b.cell.*", F.col("b.km").alias("km"))
 
 
-# tiles around the globe in the passes of a search: half a degree, four, 45, and at last one tile of everything
-TILES = (720, 90, 8, 1)
+# tiles around the globe: 45 degrees at the widest, each level of a directory cut into eight by eight
+WIDEST, FAN = 8, 8
+CELLS_PER_TILE, TOP_TILES = 64, 256
+
+
+def _tile_levels(cells: DataFrame, lon: str, lat: str) -> tuple[list[int], int]:
+    """Levels from the finest that has at most TOP_TILES over the grid's box down to tiles of about CELLS_PER_TILE cells
+    by the grid's mean density; and the number of cells."""
+    n, x0, x1, y0, y1 = cells.agg(F.count("*"), F.min(lon), F.max(lon), F.min(lat), F.max(lat)).first()
+    every = [WIDEST * FAN**k for k in range(6)]
+    if not n or x0 is None or y0 is None:
+        return every[:1], n
+    density = n / (max(x1 - x0, 1e-3) * max(y1 - y0, 1e-3))
+    over = lambda tiles: ((x1 - x0) * tiles / 360 + 2) * ((y1 - y0) * tiles / 360 + 2)
+    finest = next((k for k, tiles in enumerate(every) if density * (360.0 / tiles) ** 2 <= CELLS_PER_TILE), len(every) - 1)
+    top = max([k for k in range(finest + 1) if over(every[k]) <= TOP_TILES], default=0)
+    return every[top : finest + 1], n
 
 
 def nearest_cells_of(
-    cells: DataFrame, places: DataFrame, key: Sequence[str] = ("y", "x"), lon: str = "lon", lat: str = "lat", tiles: Sequence[int] = TILES
+    cells: DataFrame, places: DataFrame, key: Sequence[str] = ("y", "x"), lon: str = "lon", lat: str = "lat", tiles: Sequence[int] | None = None
 ) -> DataFrame:
     """For each place of a table (point, plat, plon) the nearest cell; of equally near ones that with the lowest key.
 
-    Cells and places meet in equi-joins on tiles: a place looks into its tile and the eight around it.
-    What lies beyond is at least a tile away, so a cell nearer than that is the nearest. Places
-    without one go on to wider tiles. Longitudes are -180..180; a place has one row.
+    A directory holds the occupied tiles of each level with the greatest distance of a cell from the middle of its tile, so
+    a tile's cells are no nearer than middle minus that, and one is no farther than middle plus that. Level by level a
+    place keeps the tiles that can still beat the best bound and meets only their children, at last only the cells of the
+    few tiles left: equi-joins on tiles, at most FAN x FAN rows per tile kept. The top level, a few hundred tiles, is held
+    by every row as literals. Longitudes are -180..180; a place has one row. Places and cells without coordinates meet
+    nothing.
     """
-    out = None
-    for n in tiles:
-        size = 360.0 / n
-        column = lambda c: F.pmod(F.floor((F.col(c) + 180.0) / size), F.lit(n))  # noqa: B023, E731
-        row = lambda c: F.floor((F.col(c) + 90.0) / size)  # noqa: B023, E731
-        around = [F.struct(F.pmod(column("plon") + i, F.lit(n)).alias("__tx"), (row("plat") + j).alias("__ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-        near = places.select("point", "plat", "plon", F.inline(F.array_distinct(F.array(*around))))
-        tiled = cells.select(*key, F.col(lat).alias("lat"), F.col(lon).alias("lon"), column(lon).alias("__tx"), row(lat).alias("__ty"))
-        km = great_circle_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))
-        met = near.join(tiled, ["__tx", "__ty"]).withColumn("km", km)
-        best = met.groupBy("point", "plat").agg(F.min("km").alias("km"))
-        # the distance to a meridian a tile away; a parallel as far away is not nearer
-        beyond = F.asin(F.cos(F.radians("plat")) * F.sin(F.radians(F.lit(size)))) * F.lit(6371.0 * (1 - 1e-9))
-        sure = F.lit(True) if n == 1 else F.col("km") < beyond
-        found = best.filter(sure).select("point", "km")
-        first = met.join(found, ["point", "km"]).groupBy("point", "km").agg(F.min(F.struct(*key, "lat", "lon")).alias("b")).select("point", "b.*", "km")
-        out = first if out is None else out.unionByName(first)
-        places = places.join(found.select("point"), "point", "left_anti")
-    return out
+    levels, count = _tile_levels(cells, lon, lat)
+    levels = list(tiles or levels)
+    if any(b % a for a, b in zip(levels, levels[1:])):
+        raise ValueError("each level must divide the next")
+    sized = F.broadcast if count <= sizing.BROADCAST_ROWS else lambda df: df  # tiles cannot outnumber cells
+    size = 360.0 / levels[-1]
+    index = {"__tx": F.pmod(F.floor((F.col("lon") + 180.0) / size), F.lit(levels[-1])), "__ty": F.floor((F.col("lat") + 90.0) / size)}
+    tiled = cells.select(*key, F.col(lat).alias("lat"), F.col(lon).alias("lon")).dropna(subset=["lat", "lon"]).withColumns(index)
+    place = ["point", "plat", "plon"]
+
+    km = great_circle_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))
+    # bounds are loosened by more than rounding can take from them
+    low, high = (km - F.col("reach")) * (1 - 1e-9) - 1e-6, (km + F.col("reach")) * (1 + 1e-9) + 1e-6
+    kept = places.select(*place).dropna()
+    for k, n in enumerate(levels):
+        nodes = _tile_nodes(tiled, levels[-1] // n, 360.0 / n)
+        if k == 0:  # by the choice of the level at most TOP_TILES over the grid's box
+            top = json.dumps([r.asDict() for r in nodes.collect()])
+            met = kept.select("*", F.inline(F.from_json(F.lit(top), "array<struct<__tx:bigint,__ty:bigint,lat:double,lon:double,reach:double>>")))
+        else:
+            cut = n // levels[k - 1]
+            parents = nodes.withColumns({"__px": F.floor(F.col("__tx") / cut), "__py": F.floor(F.col("__ty") / cut)})
+            met = kept.withColumnsRenamed({"__tx": "__px", "__ty": "__py"}).join(sized(parents), ["__px", "__py"])
+        near = met.groupBy(*place).agg(F.collect_list(F.struct("__tx", "__ty", low.alias("low"))).alias("t"), F.min(high).alias("limit"))
+        kept = near.select(*place, F.inline(F.filter("t", lambda t: t["low"] <= F.col("limit")))).drop("low")
+    best = F.min(F.struct(km.alias("km"), F.struct(*key, "lat", "lon").alias("cell"))).alias("b")
+    return kept.join(sized(tiled), ["__tx", "__ty"]).groupBy("point").agg(best).select("point", "b.cell.*", "b.km")
+
+
+def _tile_nodes(tiled: DataFrame, cut: int, size: float) -> DataFrame:
+    """Occupied tiles of a level: their index, middle, and the reach of their cells."""
+    own = tiled.withColumns({"__tx": F.floor(F.col("__tx") / cut), "__ty": F.floor(F.col("__ty") / cut)})
+    middle = {"plat": (F.col("__ty") + 0.5) * size - 90.0, "plon": (F.col("__tx") + 0.5) * size - 180.0}
+    reach = F.max(great_circle_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))).alias("reach")
+    nodes = own.withColumns(middle).groupBy("__tx", "__ty", "plat", "plon").agg(reach)
+    return nodes.withColumnsRenamed({"plat": "lat", "plon": "lon"})
 
 
 def offset_from(df: DataFrame, at_lat: float, at_lon: float, lon: str = "lon", lat: str = "lat") -> DataFrame:

@@ -150,7 +150,8 @@ def test_a_raster_without_regular_steps_is_an_error(spark):
         elevation.embed_on_axes(points(spark, [(-5.0 + 0.25 * k, 10.0) for k in range(8)]), dem).collect()
 
 
-def test_nearest_cells_of_a_table_against_brute_force(spark):
+@pytest.mark.parametrize("tiles", [None, [8], [8, 64, 512], [2, 4, 16, 160]])
+def test_nearest_cells_of_a_table_against_brute_force(spark, tiles):
     rng = random.Random(8)
     cells = [(i // 10, i % 10, rng.choice([rng.uniform(-180, 180), rng.uniform(5, 9), 179.9, -179.9]), rng.choice([rng.uniform(-90, 90), rng.uniform(40, 44), 89.5])) for i in range(200)]
     places = [(k, rng.choice([rng.uniform(-90, 90), 41.0, 90.0, -90.0]), rng.choice([rng.uniform(-180, 180), 7.0, 180.0, -180.0])) for k in range(300)]
@@ -162,8 +163,34 @@ def test_nearest_cells_of_a_table_against_brute_force(spark):
         return 2 * 6371.0 * math.asin(math.sqrt(min(h, 1.0)))
 
     df = spark.createDataFrame(cells, "y int, x int, lon double, lat double")
-    got = {r["point"]: r for r in geo.nearest_cells_of(df, spark.createDataFrame(places, "point int, plat double, plon double")).collect()}
+    got = {r["point"]: r for r in geo.nearest_cells_of(df, spark.createDataFrame(places, "point int, plat double, plon double"), tiles=tiles).collect()}
     assert len(got) == len(places)
     for k, a, o in places:
         assert got[k]["km"] == pytest.approx(min(km(a, o, c[3], c[2]) for c in cells), abs=1e-6)
     assert got[999]["y"] in (80, 90)
+    unplaced = spark.createDataFrame([(1, None, 7.0), (2, 41.0, 7.0)], "point int, plat double, plon double")
+    assert [r["point"] for r in geo.nearest_cells_of(df, unplaced).collect()] == [2]
+    assert geo.nearest_cells_of(df.limit(0), unplaced).count() == 0
+
+
+def test_nearest_cells_meet_few_pairs(spark):
+    """A grid of 40,000 cells and far places: the joined rows of a place are bounded, not all cells."""
+    cells = spark.range(40_000).selectExpr("CAST(id DIV 200 AS INT) AS y", "CAST(id % 200 AS INT) AS x", "-122 + (id % 200) / 25D AS lon", "45 + (id DIV 200) / 25D AS lat")
+    places = spark.range(100).selectExpr("CAST(id AS INT) AS point", "-60 + id * 1.3D AS plat", "-180 + id * 3.5D AS plon")
+    levels, count = geo._tile_levels(cells, "lon", "lat")
+    assert count == 40_000 and len(levels) >= 1
+    found = geo.nearest_cells_of(cells, places)
+    assert len(found.collect()) == 100
+    plans, joined = [found._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        node = plans.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            plans.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            plans.append(node.plan())
+        else:
+            if "Join" in node.nodeName():
+                joined += node.metrics().get("numOutputRows").get().value()
+            children = node.children()
+            plans += [children.apply(i) for i in range(children.size())]
+    assert 0 < joined < 100 * 2000
