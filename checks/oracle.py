@@ -225,6 +225,11 @@ SELECT event, round(quantile_cont(v, 0), 6) AS low, round(quantile_cont(v, 0.25)
        round(quantile_cont(v, 0.75), 6) AS q3, round(quantile_cont(v, 1), 6) AS high
 FROM (SELECT event, product, arg_max(c / 1000, day) AS v FROM {storm('coalesce(sum(g.ppt), 0)')} a GROUP BY 1, 2) t GROUP BY 1""", *S)
 
+add("event_totals", """
+SELECT CAST(c_custkey AS VARCHAR) AS event, count(ppt) AS days, sum(ppt) AS total, max(ppt) AS high
+FROM (SELECT c_custkey, DATE '1990-01-01' + CAST(c_custkey * 7919 % 2500 AS INT) AS a FROM customer) w
+JOIN (SELECT day, sum(ppt) AS ppt FROM v2_grid GROUP BY 1) d ON d.day BETWEEN a AND a + CAST(c_custkey * 104729 % 7000 AS INT) GROUP BY 1""", "v2_grid")
+
 HOURS = "unnest(generate_series(CAST(start_date AS TIMESTAMP), CAST(end_date AS TIMESTAMP), INTERVAL 1 HOUR))"
 WRF_FILES = f"""(SELECT request, model, time, concat('downscaled_products/', CASE WHEN model LIKE 'era5%' THEN 'reanalysis' ELSE 'gcm' END, '/', model,
        CASE WHEN historical THEN '_historical' ELSE '' END, CASE WHEN bias_corrected THEN '_bc' ELSE '' END, '/hourly/',

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainshed.functions import humidity, missing, times, units
-from rainshed.operators import combine, elevation, geo, reduce, running, select
+from rainshed.operators import combine, elevation, geo, intervals, reduce, running, select
 from rainshed.plans import cubes, maps, storms, wateryears
 from rainshed.session import scratch_path
 from rainshed.sources import catalog, geojson, inventory, manifests, store, textgrid
@@ -411,6 +411,22 @@ def event_slices_table(spark, sf):
     return combine.event_slices(series, windows, "day")
 
 
+@query
+def event_totals(spark, sf):
+    """A window of up to 19 years for each customer: days with rain, their total, and the wettest."""
+    key = F.col("c_custkey")
+    start = F.date_add(F.lit("1990-01-01").cast("date"), _days(key * 7919 % 2500))
+    windows = v.table(spark, sf, "customer").select(
+        key.cast("string").alias("event"), start.alias("start_day"), F.date_add(start, _days(key * 104729 % 7000)).alias("end_day")
+    )
+    daily = v.grid(spark, sf).groupBy("day").agg(F.sum("ppt").alias("ppt"))
+    return intervals.event_totals(daily, windows, {"days": ("count", "ppt"), "total": ("sum", "ppt"), "high": ("max", "ppt")}, time="day")
+
+
+def _days(c):
+    return c.cast("int")
+
+
 def storm_totals(spark, sf, how="mean", basin=None):
     basin = v.basin(spark, sf) if basin is None else basin
     return storms.daily_storm_totals(v.grid(spark, sf), v.WINDOWS, basin, "ppt", how, ("event", "product"), "day", "cum_ppt", ("y", "x"))
