@@ -35,6 +35,11 @@ def pieces(df: DataFrame, time: str = "time", rows: int = 1_000_000) -> Pieces:
     return Pieces(sorted(set(df.agg(cuts).first()[0])))
 
 
+def _is_whole(chunk: str | Pieces | None) -> bool:
+    """Without borders there is one piece, which a window takes as it is."""
+    return chunk is None or chunk == ()
+
+
 def _border_tree(c: Column, borders: Sequence, low: int, high: int) -> Column:
     """How many borders lie below a time, by halving."""
     if low == high:
@@ -71,7 +76,7 @@ def step_change(
     """
     v = F.col(value) if isinstance(value, str) else value
     keys = list(keys)
-    if chunk is None:
+    if _is_whole(chunk):
         result = df.withColumn(out, v - F.lag(v).over(Window.partitionBy(*keys).orderBy(time)))
     else:
         cut = df.withColumn(_CHUNK, _piece(time, chunk)).withColumn("__v", v)
@@ -94,7 +99,7 @@ def series_change(
 ) -> DataFrame:
     """The same on a reduced series, which loses its first row. Give ``chunk`` where a series may be long."""
     keys = list(keys)
-    if chunk is not None:
+    if not _is_whole(chunk):
         first = df.groupBy(*keys).agg(F.min(time).alias("__first"))
         changed = step_change(df, keys, value, time, out, chunk=chunk)
         joined = changed.join(first, keys) if keys else changed.withColumn("__first", df.agg(F.min(time)).scalar())
@@ -122,7 +127,7 @@ def running_totals(
     keys = list(keys)
     values = {out: F.col(v) if isinstance(v, str) else v for out, v in values.items()}
     so_far = (Window.unboundedPreceding, Window.currentRow)
-    if chunk is None:
+    if _is_whole(chunk):
         w = Window.partitionBy(*keys).orderBy(time).rowsBetween(*so_far)
         return df.withColumns({out: _total(v, w) for out, v in values.items()})
     held = {f"__v{i}": v for i, v in enumerate(values.values())}
