@@ -20,7 +20,7 @@ HEADLINE = [
     "station_cube", "embed_dem_regular", "embed_dem_irregular", "nearest_cell_series", "manifest_wrf", "manifest_gaps",
     "hrrr_cube", "wrf_cube", "prism_cube", "ornl_cube", "snotel_cube", "storm_map", "text_grid", "cube_roundtrip",
     "pnnl_cube", "event_slices_table", "station_request", "dem_clip", "open_store", "event_slices_store", "precip_by_grid", "nearest_cells_table",
-    "store_replace", "store_merge", "point_series_store", "series_scan", "event_totals", "download_plan",
+    "store_replace", "store_merge", "point_series_store", "series_scan", "event_totals", "download_plan", "basin_rollup",
 ]
 
 

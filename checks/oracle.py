@@ -310,6 +310,10 @@ WHERE product <> 'ORNL' OR day >= DATE '1995-01-01'""", "v2_grid")
 add("store_merge", f"""
 SELECT {CELL}, CASE WHEN year(day) = 1995 AND month(day) = 3 THEN ppt + 1 ELSE ppt END AS ppt,
        concat(product, '_', scenario, '_', strftime(day, '%Y%m')) AS load, CAST(year(day) AS INT) AS year FROM v2_grid""", "v2_grid")
+add("basin_rollup", """
+SELECT g.product, g.day, sum(p) AS total, round(avg(p), 6) AS mean
+FROM (SELECT product, day, y, x, CASE WHEN year(day) = 1995 AND month(day) = 3 THEN ppt + 1 ELSE ppt END AS p FROM v2_grid) g
+JOIN v10_basin b ON g.y = b.y AND g.x = b.x GROUP BY 1, 2""", "v2_grid", "v10_basin")
 STORE = "(SELECT *, 'daily' AS frequency, CASE WHEN product = 'PRISM' THEN '4km' ELSE '9km' END AS resolution, CASE WHEN day >= DATE '1998-01-01' THEN tmax END AS late_tmax FROM v2_grid)"
 add("open_store", f"""
 SELECT {CELL}, frequency, resolution, ppt, late_tmax AS tmax FROM {STORE} s

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rainshed.functions import humidity, missing, times, units
 from rainshed.operators import combine, elevation, geo, intervals, reduce, running, select
-from rainshed.plans import cubes, maps, storms, wateryears
+from rainshed.plans import cubes, maps, rollups, storms, wateryears
 from rainshed.session import scratch_path
 from rainshed.sources import catalog, geojson, inventory, manifests, store, textgrid
 
@@ -636,6 +636,20 @@ def store_merge(spark, sf):
     return catalog.read_cube(spark, path).select(*CELL, "ppt", "load", "year")
 
 
+@query
+def basin_rollup(spark, sf):
+    """Basin sums and means from states of monthly files: all but December 1995, then 1995 with a corrected March, twice."""
+    path = scratch_path(spark, "rollup")
+    month = F.date_format("day", "yyyyMM")
+    grid = v.grid(spark, sf).select(*CELL, "ppt").withColumn("file_name", F.concat_ws("_", "product", "scenario", month))
+    basin = v.basin(spark, sf)
+    rollups.update(grid.filter(month != "199512"), basin, path, "ppt", time="day")
+    late = grid.filter(F.year("day") == 1995).withColumn("ppt", F.col("ppt") + F.when(month == "199503", 1.0).otherwise(0.0))
+    for _ in range(2):
+        rollups.update(late, basin, path, "ppt", time="day")
+    return rounded(rollups.read(spark, path), "mean")
+
+
 @query
 def event_slices_store(spark, sf):
     store = stored_grid(spark, sf)
