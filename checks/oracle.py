@@ -230,6 +230,16 @@ SELECT CAST(c_custkey AS VARCHAR) AS event, count(ppt) AS days, sum(ppt) AS tota
 FROM (SELECT c_custkey, DATE '1990-01-01' + CAST(c_custkey * 7919 % 2500 AS INT) AS a FROM customer) w
 JOIN (SELECT day, sum(ppt) AS ppt FROM v2_grid GROUP BY 1) d ON d.day BETWEEN a AND a + CAST(c_custkey * 104729 % 7000 AS INT) GROUP BY 1""", "v2_grid")
 
+add("record_spread", """
+SELECT product, scenario, min(ppt) AS low, quantile_cont(ppt, 0.25) AS q1, quantile_cont(ppt, 0.5) AS median, quantile_cont(ppt, 0.75) AS q3,
+       max(ppt) AS high FROM v2_grid WHERE ppt IS NOT NULL GROUP BY 1, 2""", "v2_grid")
+add("station_areas", """
+SELECT y, x, site FROM (
+  SELECT c.y, c.x, e.site, sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) AS n,
+         max(CASE WHEN abs((x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1)) < 1e-12 AND lon BETWEEN least(x1, x2) AND greatest(x1, x2)
+                   AND lat BETWEEN least(y1, y2) AND greatest(y1, y2) THEN 1 ELSE 0 END) AS on_edge
+  FROM v5_cells c CROSS JOIN v8_areas e GROUP BY 1, 2, 3) t WHERE n % 2 = 1 AND on_edge = 0""", "v5_cells", "v8_areas", "v7_stations")
+
 HOURS = "unnest(generate_series(CAST(start_date AS TIMESTAMP), CAST(end_date AS TIMESTAMP), INTERVAL 1 HOUR))"
 WRF_FILES = f"""(SELECT request, model, time, concat('downscaled_products/', CASE WHEN model LIKE 'era5%' THEN 'reanalysis' ELSE 'gcm' END, '/', model,
        CASE WHEN historical THEN '_historical' ELSE '' END, CASE WHEN bias_corrected THEN '_bc' ELSE '' END, '/hourly/',

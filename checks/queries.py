@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainshed.functions import humidity, missing, times, units
-from rainshed.operators import combine, elevation, geo, intervals, reduce, running, select
+from rainshed.operators import combine, cover, elevation, geo, intervals, reduce, running, select, selection
 from rainshed.plans import cubes, maps, rollups, storms, wateryears
 from rainshed.session import scratch_path
 from rainshed.sources import catalog, geojson, inventory, manifests, store, textgrid
@@ -229,6 +229,13 @@ def basin_mask_drop(spark, sf):
     return basin_rows(spark, sf).select(*CELL, "ppt")
 
 
+@query
+def station_areas(spark, sf):
+    """Cells in the six-sided area of each station; areas overlap."""
+    inside = cover.features_at(v.cells(spark, sf), v.station_areas(spark, sf), ["y", "x"])
+    return inside.withColumnRenamed("feature", "site")
+
+
 @query
 def dem_clip(spark, sf):
     return geo.clip(v.dem(spark, sf), v.edges(spark), ["iy", "ix"], "x", "y")
@@ -475,6 +482,13 @@ def event_spread(spark, sf):
     return rounded(storms.event_spread(totals, "cum_ppt", "day"), "low", "q1", "median", "q3", "high")
 
 
+@query
+def record_spread(spark, sf):
+    """Box plot numbers over the whole record of each product and scenario; ranges are narrowed down to 1,000 values."""
+    found = selection.quantiles(v.grid(spark, sf), ["product", "scenario"], "ppt", few=1000)
+    return rounded(found, "low", "q1", "median", "q3", "high")
+
+
 # -- manifests, names, stations ----------------------------------------------------------------------
 
 

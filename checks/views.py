@@ -160,6 +160,16 @@ def edges(spark: SparkSession) -> DataFrame:
     return geo.edges_from_rings(spark, [RING])
 
 
+def station_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of an area around each station, of its own size and with a notch in the north."""
+    x, y, r = F.col("lon"), F.col("lat"), F.lit(0.11) + F.col("elevation_ft") / 9000.0
+    corners = [(-1.0, -0.5), (0.0, -1.0), (1.0, -0.5), (1.0, 0.5), (0.0, 0.25), (-1.0, 0.5)]
+    point = lambda c: (x + r * c[0], y + r * c[1])
+    ring = [F.struct(*[e.alias(n) for n, e in zip(("x1", "y1", "x2", "y2"), (*point(a), *point(b)))])
+            for a, b in zip(corners, corners[1:] + corners[:1])]
+    return stations(spark, sf).select(F.col("site").alias("feature"), F.inline(F.array(*ring)))
+
+
 def basin(spark: SparkSession, sf: str) -> DataFrame:
     return geo.basin_cells(cells(spark, sf), edges(spark))
 
@@ -244,6 +254,12 @@ FROM events""",
 SELECT CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2
 FROM (VALUES (-122.3, 47.4, -120.6, 47.45), (-120.6, 47.45, -120.4, 48.9), (-120.4, 48.9, -121.3, 48.3),
                       (-121.3, 48.3, -122.1, 49.1), (-122.1, 49.1, -122.3, 47.4)) AS e(x1, y1, x2, y2)""",
+    "v8_areas": """
+SELECT site, lon + r * a AS x1, lat + r * b AS y1, lon + r * c AS x2, lat + r * d AS y2
+FROM (SELECT site, lon, lat, 0.11::DOUBLE + elevation_ft / 9000.0::DOUBLE AS r FROM v7_stations) s
+CROSS JOIN (SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, CAST(d AS DOUBLE) AS d
+            FROM (VALUES (-1, -0.5, 0, -1), (0, -1, 1, -0.5), (1, -0.5, 1, 0.5), (1, 0.5, 0, 0.25), (0, 0.25, -1, 0.5),
+                         (-1, 0.5, -1, -0.5)) AS t(a, b, c, d)) e""",
     "v9_events_win": """
 SELECT * FROM (VALUES ('1995', DATE '1995-11-22', DATE '1995-12-06'), ('1997', DATE '1997-10-14', DATE '1997-10-28'),
                       ('1999', DATE '1999-10-31', DATE '1999-11-13'), ('2001', DATE '2001-01-01', DATE '2001-02-01'),
@@ -284,11 +300,12 @@ SELECT c_custkey AS request,
 FROM customer"""
 
 ORDER = [
-    "v1_obs", "v2_grid", "v3_wrf", "v4_hrrr_raw", "v5_cells", "v6_dem", "v6_bands", "v7_stations", "v8_edges",
+    "v1_obs", "v2_grid", "v3_wrf", "v4_hrrr_raw", "v5_cells", "v6_dem", "v6_bands", "v7_stations", "v8_edges", "v8_areas",
     "v9_events_win", "v10_basin", "v4_cells", "v4_basin", "v11_requests",
 ]
 NEEDS = {
     "v6_bands": ["v6_dem"],
+    "v8_areas": ["v7_stations"],
     "v10_basin": ["v5_cells", "v8_edges"],
     "v4_cells": ["v4_hrrr_raw"],
     "v4_basin": ["v4_cells", "v4_hrrr_raw", "v8_edges"],

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..session import local_table
-from . import sizing
+from . import cover, sizing
 from .sizing import broadcast_if_small
 
 
@@ -50,12 +50,13 @@ def polygon_bounds(vertices: DataFrame, keys: Sequence[str] = (), lon: str = "lo
     )
 
 
-def _outline(edges: DataFrame) -> tuple[Bounds | None, int]:
+def _outline(edges: DataFrame) -> tuple[Bounds | None, int, bool]:
+    """Bounds, number of edges, and whether they are of several features."""
     row = edges.agg(
         F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")),
-        F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2")), F.count("*"),
+        F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2")), F.count("*"), F.min("feature") != F.max("feature"),
     ).first()
-    return (None if row[4] == 0 else Bounds(*row[:4])), row[4]
+    return (None if row[4] == 0 else Bounds(*row[:4])), row[4], bool(row[5])
 
 
 def total_bounds(edges: DataFrame) -> Bounds:
@@ -83,15 +84,18 @@ def points_inside(
 
     Even-odd ray cast with the on-edge points taken out. Only edges that span a point's latitude
     matter, so points and edges meet in an equi-join on latitude bands instead of all against all.
-    ``feature`` picks one polygon; None takes a point that is inside any of them. There are about as
-    many bands as edges, so a point meets only a few.
+    ``feature`` picks one polygon; None takes a point that is inside any of them, by a ``cover`` of
+    their tiles where there are several. There are about as many bands as edges, so a point meets
+    only a few.
     """
     if feature is not None:
         edges = edges.filter(F.col("feature") == feature)
-    bounds, count = _outline(edges)
+    bounds, count, several = _outline(edges)
     key = list(key)
     if bounds is None:
         return points.select(*key).limit(0)
+    if several:
+        return cover.features_at(box_filter(points, bounds, lon, lat), edges, key, lon, lat).select(*key).distinct()
     bands = bands or min(max(256, count), 65536)
     height = (bounds.max_lat - bounds.min_lat) / bands or 1.0
 
