@@ -14,12 +14,14 @@ within the text.
    same is done for the reversed bytes before the anchor. In the tree of common prefixes a node of depth r joins suffixes
    with r bytes in common; a member that shares l bytes to the left with another one of the node, l + r >= length, is
    covered from l bytes before the anchor to r bytes after its start. Texts are judged as they came in.
-3. An anchor with more than ``WIDE`` contexts (a passage at which many texts begin to differ) is not sorted in one task.
-   Its windows are counted by hash in Spark, ``RUN`` neighbouring ones at a time: if the bytes that the windows of a run
-   cover together occur twice, all are repeated; if the bytes that all of them share occur once, none is; only the windows
-   of other runs, those at the ends of repeated passages, become rows of their own.
+3. Whole contexts of an anchor with more than ``WIDE`` of them (a passage at which many texts begin to differ) are too much
+   for one task. They are first split in Spark, by ``RUN`` neighbouring windows at a time: if the bytes that the windows of
+   a run cover together occur twice, all are repeated; if the bytes that all of them share, the core, occur once, none is.
+   What is left, the runs at the ends of repeated passages, meets by core and is sorted as above, of each run only the
+   RUN - 1 bytes on either side of its core. A core with more than ``SORTED`` such runs is not brought into one task: its
+   windows become rows, compared by core and the bytes about it.
 
-Contexts and windows are told apart by 64-bit hashes, seeds differing; suffixes are compared byte by byte.
+Contexts, covers and cores are told apart by 64-bit hashes, seeds differing; suffixes are compared byte by byte.
 
 Edge cases: a null text is empty; texts under ``length`` bytes lose nothing; repeated rows are copies of each other. Rows
 are told apart by a hash of all columns, which equal rows share, as they share the result.
@@ -42,6 +44,7 @@ ANCHOR = 64
 SHALLOW = 32
 WIDE = 512
 RUN = 16
+SORTED = 1 << 16  # runs of one core sorted in a task, 2 * (RUN - 1) bytes each
 PIECE = 1 << 20  # bytes whose anchors are sought at a time
 
 
@@ -227,48 +230,49 @@ def cover(lefts: list[bytes], rights: list[bytes], length: int) -> list[tuple[in
     return best
 
 
-def _compare(length: int):
+def _compare(need: int, core: int = 0):
+    """Spans of a group of (row, at, before, after) covered by shared strings of ``need`` bytes about ``at``; ``core`` bytes
+    from there on are known to be shared and not among those given."""
+
     def compare(group: pa.Table) -> pa.Table:
         lefts = [b[::-1] for b in group.column("before").to_pylist()]
-        found = cover(lefts, group.column("after").to_pylist(), length)
+        found = cover(lefts, group.column("after").to_pylist(), need)
         at = group.column("at").to_numpy()
         spans = np.array(found, np.int64).reshape(-1, 2)
         keep = spans.sum(1) > 0
         return pa.Table.from_arrays(
-            [pa.array(group.column("row").to_numpy()[keep]), pa.array((at - spans[:, 0])[keep]), pa.array((at + spans[:, 1])[keep])], names=["row", "start", "end"]
+            [pa.array(group.column("row").to_numpy()[keep]), pa.array((at - spans[:, 0])[keep]), pa.array((at + core + spans[:, 1])[keep])],
+            names=["row", "start", "end"],
         )
 
     return compare
 
 
-_CUT = "row bigint, key bigint, at bigint, before binary, after binary, low bigint, cover bigint, core bigint, start bigint, hashes array<bigint>"
+_CUT = "row bigint, key bigint, at bigint, before binary, after binary, cover bigint, core bigint"
 
 
-def _runs(sub: Substrings, at: int, low: int, high: int, length: int) -> Iterator[tuple]:
-    """Runs of windows [start, start + length) through an anchor, told by their distance to it.
+def _runs(t: bytes, sub: Substrings, at: int, length: int) -> Iterator[tuple]:
+    """Runs of windows through an anchor, told by their distance to it.
 
-    (lowest start of the whole run, hash of what it covers or None if the text ends before, hash of what its windows
-    share, first start within the text, hashes of the windows within the text)
+    (highest start of the run, which is where its core begins; bytes before and after the core; hash of what the whole run
+    covers, or None if the text does not hold it; hash of the core)
     """
-    first, last = low, min(at, high - length)
+    first, last = max(0, at - (length - ANCHOR)), min(at, len(t) - length)
     if last < first:
         return
     top = at - np.arange((at - last) // RUN, (at - first) // RUN + 1) * RUN
     bottom = top - RUN + 1
-    starts = np.arange(first, last + 1)
-    hashes = sub.of(starts, starts + length).view(np.int64).tolist()
     cores = sub.of(top, bottom + length).view(np.int64).tolist()
-    whole = (bottom >= first) & (top <= last)
+    whole = (bottom >= 0) & (top + length <= len(t))
     covers = iter(sub.of(bottom[whole], top[whole] + length).view(np.int64).tolist())
     for core, full, s, e in zip(cores, whole.tolist(), bottom.tolist(), top.tolist(), strict=True):
-        start = max(s, first)
-        yield s, next(covers) if full else None, core, start, hashes[start - first : min(e, last) - first + 1]
+        yield e, t[max(0, s) : e], t[s + length : e + length], next(covers) if full else None, core
 
 
 def _cut_out(length: int):
     """Contexts of a text's anchors as bytes; of wide anchors the runs of windows through them."""
-    kinds = {"before": pa.binary(), "after": pa.binary(), "hashes": pa.list_(pa.int64())}
-    schema = pa.schema([(n, kinds.get(n, pa.int64())) for n in "row key at before after low cover core start hashes".split()])
+    kinds = {"before": pa.binary(), "after": pa.binary()}
+    schema = pa.schema([(n, kinds.get(n, pa.int64())) for n in "row key at before after cover core".split()])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,11 +284,10 @@ def _cut_out(length: int):
                     sub = Substrings(np.frombuffer(t, np.uint8)) if any(a["contexts"] > WIDE for a in anchors) else None
                     for a in anchors:
                         at = a["at"]
-                        low, high = max(0, at - (length - ANCHOR)), min(len(t), at + length)
                         if a["contexts"] <= WIDE:
-                            out.append((row, a["key"], at, t[low:at], t[at:high], None, None, None, None, None))
+                            out.append((row, a["key"], at, t[max(0, at - (length - ANCHOR)) : at], t[at : at + length], None, None))
                         else:
-                            out += [(row, None, None, None, None, *r) for r in _runs(sub, at, low, high, length)]
+                            out += [(row, None, *r) for r in _runs(t, sub, at, length)]
                 columns = [pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -309,21 +312,30 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     narrow = cuts.filter("key is not null").select("row", "key", "at", "before", "after")
     narrow = narrow.groupBy("key").applyInArrow(_compare(length), "row bigint, start bigint, end bigint")
     # a run without a cover gets a key that nothing else has, lest all of them meet in one task
-    cover = F.coalesce("cover", F.xxhash64("row", "low", "core")).alias("cover")
-    runs = cuts.filter("key is null").select("row", "low", cover, "core", "start", "hashes")
-    twice_of = lambda df, c: df.select("row", "low", c).distinct().groupBy(c).count().filter("count > 1").select(c)
+    cover = F.coalesce("cover", F.xxhash64("row", "at", "core")).alias("cover")
+    runs = cuts.filter("key is null").select("row", "at", cover, "core", "before", "after")
+    twice_of = lambda df, c: df.select("row", "at", c).distinct().groupBy(c).count().filter("count > 1").select(c)
     cores = materialize(twice_of(runs, "core"), "cores")
-    runs = materialize(runs.join(cores, "core"), "runs")
+    runs = materialize(runs.join(cores, "core").dropDuplicates(["row", "at", "core"]), "runs")
     covers = materialize(twice_of(runs, "cover"), "covers")
-    covered = runs.join(covers, "cover").select("row", F.col("low").alias("start"), (F.col("low") + RUN - 1 + length).alias("end"))
-    # the twin of a window may lie in a covered run, so one run of each cover is counted too
-    undecided = runs.join(covers, "cover", "left_anti").select("row", "start", "hashes")
-    samples = runs.join(covers, "cover").dropDuplicates(["cover"]).select("row", "start", "hashes")
-    undecided = materialize(undecided.union(samples), "undecided")
-    windows = undecided.select("row", "start", F.posexplode("hashes").alias("n", "hash"))
-    windows = materialize(windows.select("row", (F.col("start") + F.col("n")).alias("start"), "hash").distinct(), "windows")
-    seen = materialize(windows.groupBy("hash").count().filter("count > 1").select("hash"), "seen")
-    wide = windows.join(seen, "hash").select("row", "start", (F.col("start") + length).alias("end")).union(covered)
+    covered = runs.join(covers, "cover").select("row", (F.col("at") - RUN + 1).alias("start"), (F.col("at") + length).alias("end"))
+    # the twin of a window may lie in a covered run, so one run of each cover meets the others too
+    samples = runs.join(covers, "cover").dropDuplicates(["cover"])
+    ends = materialize(runs.join(covers, "cover", "left_anti").unionByName(samples).drop("cover"), "ends")
+    sizes = materialize(ends.groupBy("core").count(), "sizes")
+    few = ends.join(sizes.filter(F.col("count").between(2, SORTED)), "core", "left_semi")
+    core = length - RUN + 1
+    free = length - core
+    sorted_ends = few.groupBy("core").applyInArrow(_compare(free, core), "row bigint, start bigint, end bigint")
+    many = ends.join(sizes.filter(F.col("count") > SORTED), "core", "left_semi")
+    windows = many.select("row", "at", "core", "before", "after", F.explode(F.sequence(F.lit(0), F.lit(free))).alias("n"))
+    windows = windows.filter((F.octet_length("before") >= F.col("n")) & (F.octet_length("after") >= free - F.col("n")))
+    near = [F.expr("substring(before, octet_length(before) - n + 1, n)").alias("left"), F.expr(f"substring(after, 1, {free} - n)").alias("right")]
+    windows = windows.select("core", "n", *near, "row", (F.col("at") - F.col("n")).alias("start"))
+    window = ["core", "n", "left", "right"]
+    seen = windows.groupBy(*window).count().filter("count > 1").select(*window)
+    counted = windows.join(seen, window).select("row", "start", (F.col("start") + length).alias("end"))
+    wide = covered.union(sorted_ends).union(counted)
     return whole.union(narrow).union(wide)
 
 

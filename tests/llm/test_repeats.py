@@ -44,11 +44,12 @@ def test_sort_suffixes():
             assert a[: common[k]] == b[: common[k]] and (common[k] == min(len(a), len(b)) or a[common[k]] != b[common[k]])
 
 
-@pytest.mark.parametrize("wide", [512, 1])
+@pytest.mark.parametrize("wide, ends", [(512, 1 << 16), (1, 1 << 16), (1, 2)])
 @pytest.mark.parametrize("seed", range(3))
-def test_texts_of_shared_pieces(spark, monkeypatch, wide, seed):
+def test_texts_of_shared_pieces(spark, monkeypatch, wide, ends, seed):
     """Pieces of all lengths around the limit, cut at odd places, repeated within texts and across them."""
     monkeypatch.setattr(repeats, "WIDE", wide)
+    monkeypatch.setattr(repeats, "SORTED", ends)
     rng = random.Random(seed)
     pieces = ["".join(rng.choice("abcdé") for _ in range(rng.randint(50, 260))) for _ in range(12)] + ["ab" * 150, "x" * 200]
     rows = []
@@ -59,6 +60,16 @@ def test_texts_of_shared_pieces(spark, monkeypatch, wide, seed):
     check(df, df.collect(), 100)
 
 
+def test_passage_of_five_thousand_texts(spark):
+    """More contexts of an anchor than are sorted whole; ends that agree by chance in the first bytes."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(180))
+    some = lambda n: "".join(rng.choice("xyz") for _ in range(n))
+    rows = [(i, some(rng.randint(0, 60)) + passage[rng.choice([0, 0, 0, 7, 30]) :] + some(rng.randint(0, 60))) for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    check(df, df.collect(), 100)
+
+
 def test_anchors_do_not_depend_on_pieces(monkeypatch):
     import numpy as np
 
