@@ -2,14 +2,16 @@
 
 A page becomes a list of blocks. Scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments are told by tag, role and class and never give text. If the page has an article or main container, its blocks are
-the content, otherwise all blocks are. Page differencing decides about every page: pages are paired by URL path within
-their host (the neighbours in the order of paths; the one with the longer common path counts, else the former), the lines
-of both are aligned by longest common subsequence, and shared lines are deleted, in a main container too but not in an
-article: articles of one host may share paragraphs, and on the test tables such lines are text of the article. Pages of equal
-content are copies, which share it rightly: nothing is deleted. Any other page loses what it shares, at any share.
+the content, otherwise all blocks are. Page differencing decides about every page: pages are put in the order of URL paths
+within their host, the lines of a page and of its neighbours are aligned by longest common subsequence, and shared lines are
+deleted. Outside articles (in main containers, on pages without a container) the nearest neighbour decides, the one with the
+longer common path, else the former. Inside an article two neighbours may share a true paragraph, so a line goes only if all
+of the ``NEAR`` pages before and after share it, ``LEAST`` pages at the least: the site's own lines are on every page. Pages
+of equal content are copies, which share it rightly and tell nothing; in an article neither does a page that has more than
+half of the article's characters (a near copy).
 
-Neighbours are found by one sort of narrow rows (line hashes, no text) over all hosts, so a host of any size is spread
-over tasks; the rows at the edges of tasks meet in a table of two rows a task.
+Neighbours are found by one sort of narrow rows (line hashes, no text) over all hosts, so a host of any size is spread over
+tasks. A task walks through its pages in order; the pages at the edges of tasks, ``2 * NEAR`` a task, meet in a small table.
 
 Edge cases: null and empty pages have empty text; null or odd URLs form a host of their own; repeated rows get the same
 text; a page alone on its host keeps all its lines. Containers that are never closed end with the page.
@@ -20,7 +22,9 @@ from __future__ import annotations
 import html as htmllib
 import re
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import xxhash
@@ -29,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
 
-COPY_SHARE = 1.0  # only pages that share all their content are copies (told by its hash)
+NEAR = 3  # pages before and as many after that are asked about the lines of an article
+LEAST = 3  # with fewer of them on the host an article keeps its lines
+COPY_SHARE = 0.5  # a page with a larger share of an article's characters is a near copy
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S
 )
@@ -193,12 +199,10 @@ def _host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def _shared_with_nearest(own: dict, before: dict | None, after: dict | None) -> list[int]:
-    """Blocks of a page that its nearest neighbour of the same host has too."""
+def _shared_with_nearest(own: dict, near: list[dict]) -> list[int]:
+    """Blocks of a page that its nearest neighbour of the same host has too. ``near``: before and after, where there are any."""
 
-    def common_path(x: dict | None) -> int:
-        if x is None or x["host"] != own["host"]:
-            return -1
+    def common_path(x: dict) -> int:
         n = 0
         for c, d in zip(own["path"], x["path"], strict=False):
             if c != d:
@@ -206,57 +210,117 @@ def _shared_with_nearest(own: dict, before: dict | None, after: dict | None) ->
             n += 1
         return n
 
-    p, q = common_path(before), common_path(after)
-    if max(p, q) < 0:
+    if not near:
         return []
-    other = before if p >= q else after
+    other = max(near, key=common_path)
     return [] if own["content"] == other["content"] else common_lines(own["lines"], other["lines"])
 
 
+def _shared_by_all(own: dict, near: list[dict]) -> list[int]:
+    """Blocks of a page's articles that all of its neighbours share in order, copies and near copies aside."""
+    article = [own["lines"][n] for n in own["article"]]
+    others = []
+    for x in near:
+        lines = set(x["lines"])
+        same = sum(size for line, size in zip(article, own["sizes"], strict=True) if line in lines)
+        if x["content"] != own["content"] and same <= COPY_SHARE * sum(own["sizes"]):
+            others.append((x["lines"], lines))
+    if len(others) < LEAST:
+        return []
+    met = set(article).intersection(*(lines for _, lines in others))
+    left = [k for k, line in enumerate(article) if line in met]
+    for lines, _ in others:
+        left = [left[k] for k in common_lines([article[k] for k in left], [line for line in lines if line in met])] if left else left
+    return [own["article"][k] for k in left]
+
+
+def shared_blocks(own: dict, before: list[dict], after: list[dict]) -> list[int]:
+    """Positions of the blocks to delete. ``before`` and ``after``: up to ``NEAR`` pages each, the nearest first."""
+    same = lambda near: [x for x in near if x["host"] == own["host"]]
+    before, after = same(before), same(after)
+    inside = set(own["article"])
+    drop = [n for n in _shared_with_nearest(own, before[:1] + after[:1]) if n not in inside] if own["open"] else []
+    return sorted(drop + _shared_by_all(own, before + after)) if inside else drop
+
+
 def content_of(found: list[tuple[str, bool, int]]) -> list[tuple[int, str, bool]]:
     """(position, text, is inside an article) of the content blocks of a page: those inside its containers if it has any."""
     inside = [(n, t, i == 2) for n, (t, c, i) in enumerate(found) if c and i]
     return inside or [(n, t, False) for n, (t, c, _) in enumerate(found) if c]
 
 
-_NARROW = "k bigint, host string, path string, open boolean, content bigint, lines array<bigint>"
-_SCHEMA = pa.schema([("k", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("open", pa.bool_()), ("content", pa.int64()), ("lines", pa.list_(pa.int64()))])
+_PAGE = "host string, path string, open boolean, content bigint, lines array<bigint>, article array<int>, sizes array<int>"
+_FIELDS = [
+    ("host", pa.string()), ("path", pa.string()), ("open", pa.bool_()), ("content", pa.int64()), ("lines", pa.list_(pa.int64())),
+    ("article", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())),
+]
+_KEYED = pa.schema([("k", pa.int64()), *_FIELDS])
+_WALKED = pa.schema([("k", pa.int64()), ("shared", pa.list_(pa.int32())), ("task", pa.int32()), ("n", pa.int64()), ("asked", pa.bool_()), ("page", pa.struct(_FIELDS))])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            yield from batch.slice(at, 64).to_pylist()
+
+
+def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, 256)):
+        yield pa.RecordBatch.from_pylist(part, schema)
+
+
+def _narrow(row: dict) -> dict:
+    found = blocks_of(row.pop("html") or "")
+    content = content_of(found)
+    article = [(n, len(t)) for n, t, inside in content if inside]
+    return row | {
+        "open": len(article) < len(content), "content": line_hash("\n".join(x[1] for x in content)), "lines": [line_hash(x[0]) for x in found],
+        "article": [n for n, _ in article], "sizes": [size for _, size in article],
+    }
+
+
+def _walk(rows: Iterator[dict]) -> Iterator[dict]:
+    """The blocks to delete of a task's pages, in order; then the pages at its edges, of which the outer ones are undecided."""
+    head, near, total = [], deque(maxlen=2 * NEAR + 1), 0
+    for row in rows:
+        near.append(row)
+        total += 1
+        if total <= 2 * NEAR:
+            head.append(row)
+        if len(near) == 2 * NEAR + 1:
+            pages = list(near)
+            yield {"k": pages[NEAR]["k"], "shared": shared_blocks(pages[NEAR], pages[NEAR - 1 :: -1], pages[NEAR + 1 :])}
+    edges = dict(enumerate(head)) | dict(enumerate(near, total - len(near)))
+    for n, row in sorted(edges.items()):
+        yield {"k": row["k"], "task": row["task"], "n": n, "asked": n < NEAR or n >= total - NEAR, "page": row}
 
 
 def shared_lines(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(k, shared): the positions of blocks shared with the nearest page, if its content is another."""
+    """(k, shared): the positions of blocks to delete, for pages that have any."""
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256).to_pylist()
-                for r in rows:
-                    found = blocks_of(r.pop("html") or "")
-                    content = content_of(found)
-                    r |= {"open": not all(x[2] for x in content), "content": line_hash("\n".join(x[1] for x in content)), "lines": [line_hash(x[0]) for x in found]}
-                yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+        return _batches(map(_narrow, _rows(batches)), _KEYED)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(_walk(_rows(batches)), _WALKED)
 
     rows = pages.select("k", _host_of(F.col(url)).alias("host"), _path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
-    rows = materialize(rows.mapInArrow(narrow, _NARROW), "lines").dropDuplicates(["k"])
-    # sorted by URL over all tasks; neighbours within a task, then those across the edges of tasks (two rows a task)
-    sorted_rows = materialize(rows.repartitionByRange("host", "path", "k").withColumn("task", F.spark_partition_id()), "sorted")
-    page = F.struct("host", "path", "content", "lines")
-    within = Window.partitionBy("task").orderBy("host", "path", "k")
-    paired = sorted_rows.withColumns({"own": page, "before": F.lag(page).over(within), "after": F.lead(page).over(within)})
-    paired = materialize(paired.select("k", "task", "open", "own", "before", "after"), "neighbours")
-    edge = F.col("before").isNull() | F.col("after").isNull()
-    across = Window.orderBy("task", "own.host", "own.path", "k")
-    edges = paired.filter(edge).withColumns(
-        {"before": F.coalesce("before", F.lag("own").over(across)), "after": F.coalesce("after", F.lead("own").over(across))}
-    )
+    rows = materialize(rows.mapInArrow(narrow, f"k bigint, {_PAGE}"), "lines").dropDuplicates(["k"])
+    ordered = rows.repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k").withColumn("task", F.spark_partition_id())
+    walked = ordered.mapInArrow(walk, f"k bigint, shared array<int>, task int, n bigint, asked boolean, page struct<{_PAGE.replace(' ', ':').replace(',:', ',')}>")
+    walked = materialize(walked, "walked")
+    # a few pages a task
+    across = Window.orderBy("task", "n")
+    step = lambda move: F.filter(F.array(*(move("page", d).over(across) for d in range(1, NEAR + 1))), lambda p: p.isNotNull())
+    edges = walked.filter("page is not null").withColumns({"before": step(F.lag), "after": step(F.lead)})
 
     @F.arrow_udf("array<int>")
     def shared(own: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
         rows = zip(own.to_pylist(), before.to_pylist(), after.to_pylist(), strict=True)
-        return pa.array([_shared_with_nearest(*r) for r in rows], pa.list_(pa.int32()))
+        return pa.array([shared_blocks(*r) for r in rows], pa.list_(pa.int32()))
 
-    open_pages = paired.filter(~edge).union(edges).filter("open")
-    return open_pages.select("k", shared("own", "before", "after").alias("shared")).filter(F.size("shared") > 0)
+    edges = edges.filter("asked").select("k", shared("page", "before", "after").alias("shared"))
+    return walked.filter("page is null").select("k", "shared").union(edges).filter(F.size("shared") > 0)
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
@@ -266,18 +330,18 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str =
     rows = pages.select(F.xxhash64(url, html).alias("k"), F.col(url).alias("url"), F.col(html).alias("html"))
     shared = materialize(shared_lines(rows, "url", "html"), "shared")
 
-    @F.arrow_udf("array<struct<text:string,article:boolean,at:int>>")
+    @F.arrow_udf("array<struct<text:string,at:int>>")
     def content(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("at", pa.int32())]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("at", pa.int32())]))
         for batch in batches:
             parsed = []
             for piece in slices(batch):
                 for page in piece.to_pylist():
-                    parsed.append([{"text": t, "article": a, "at": n} for n, t, a in content_of(blocks_of(page or ""))])
+                    parsed.append([{"text": t, "at": n} for n, t, _ in content_of(blocks_of(page or ""))])
             yield pa.array(parsed, kind)
 
     parsed = keyed.select("page", "k", content("html").alias("blocks")).join(shared, "k", "left")
-    kept = F.filter("blocks", lambda b: b["article"] | F.col("shared").isNull() | ~F.array_contains("shared", b["at"]))
+    kept = F.filter("blocks", lambda b: F.col("shared").isNull() | ~F.array_contains("shared", b["at"]))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return parsed.select("page.*", text.alias(out))
 

@@ -57,20 +57,34 @@ def test_common_lines_is_a_longest_common_subsequence():
 
 
 def plain(rows):
-    """Each page without a container against its nearest neighbour in the sorted list of all pages of the host."""
+    """Each page against its neighbours in the sorted list of all pages of the host, one by one."""
     split = lambda u: (m[1].lower(), m[2]) if (m := re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)", u or "")) else ("", "")
     pages = sorted({(*split(u), u, p) for _, u, p in rows}, key=lambda x: (x[0], x[1], str(x[2]), str(x[3])))
     out = {}
     for n, (host, path, url, page) in enumerate(pages):
         own = h.blocks_of(page or "")
+        lines = [b[0] for b in own]
+        content = h.content_of(own)
         near = [(len([1 for c, d in itertools.takewhile(lambda z: z[0] == z[1], zip(path, q[1], strict=False))]), -k, q) for k, q in ((0, pages[n - 1] if n else None), (1, pages[n + 1] if n + 1 < len(pages) else None)) if q and q[0] == host]
-        drop = []
-        if near and not any(b[2] for b in own):
-            lines, other = ([b[0] for b in x] for x in (own, h.blocks_of(max(near)[2][3] or "")))
-            drop = h.common_lines([hash(x) for x in lines], [hash(x) for x in other])
-            drop = [] if len(drop) >= h.COPY_SHARE * max(len(lines), len(other)) else drop
-        kept = [b for k, b in enumerate(own) if b[1] and k not in drop]
-        out[url, page] = " ".join(b[0] for b in ([b for b in kept if b[2]] or kept))
+        drop = set()
+        if near:
+            other = h.blocks_of(max(near)[2][3] or "")
+            if [c[1] for c in h.content_of(other)] != [c[1] for c in content]:
+                drop = set(h.common_lines(lines, [b[0] for b in other])) - {c[0] for c in content if c[2]}
+        article = [(k, t) for k, t, inside in content if inside]
+        asked = []
+        for q in pages[max(n - h.NEAR, 0) : n] + pages[n + 1 : n + 1 + h.NEAR]:
+            other = h.blocks_of(q[3] or "")
+            texts = [b[0] for b in other]
+            mine = sum(len(t) for _, t in article if t in texts)
+            if q[0] == host and [c[1] for c in h.content_of(other)] != [c[1] for c in content] and 2 * mine <= sum(len(t) for _, t in article):
+                asked.append(texts)
+        if len(asked) >= h.LEAST:
+            left = [(k, t) for k, t in article if all(t in texts for texts in asked)]
+            for texts in asked:
+                left = [left[k] for k in h.common_lines([t for _, t in left], texts)]
+            drop |= {k for k, _ in left}
+        out[url, page] = " ".join(t for k, t, _ in content if k not in drop)
     return out
 
 
@@ -81,6 +95,10 @@ def test_differencing(spark):
     for i in range(120):
         body = "".join(f"<p>{rng.choice(['about us', 'all rights', 'line ' + str(rng.randint(0, 30)), f'own {i}'])}</p>" for _ in range(rng.randint(0, 8)))
         rows.append((i, f"http://{rng.choice(['one', 'two'])}.org/{i % 7}/{i}", f"<p>welcome</p>{body}<p>bye</p>" + ("<article>A</article>" if i % 5 == 0 else "")))
+    for i in range(60):
+        # a line once a page: of several longest common subsequences any one is right
+        lines = "".join(f"<p>{x}</p>" for x in rng.sample(["say it", "hear it", "part 1", "part 2", f"a long line of page {i}, own"], 4))
+        rows.append((200 + i, f"http://three.org/{i}", f"<nav>n</nav><article><p>join us</p>{lines}<p>what page {i} says of its matter</p></article>"))
     rows += [(500, "http://alone.org/", "<p>x</p>"), (501, "http://copy.org/1", "<p>x</p><p>y</p>"), (502, "http://copy.org/2", "<p>x</p><p>y</p>"), (503, None, None), rows[3], rows[3], (None, "odd", "<p>z")]
     df = spark.createDataFrame([(*r, "t", "h", 1) for r in rows], "page_id bigint, url string, html string, text string, host string, k int").repartition(4)
     want = plain(rows)
@@ -107,6 +125,41 @@ def test_template_heavy_pages_are_no_copies(spark):
     assert got == {f"http://a.org/{i}": f"own {i} more {i}" for i in range(9)}
 
 
+def test_lines_that_all_pages_share_leave_articles(spark):
+    site = "<article><p>Read it on our site</p><p>{}</p><p>Tell a friend</p></article>"
+    story = lambda i: f"The story of number {i} is told here at some length, as it was"
+    want = {f"http://a.org/{i:03}": story(i) for i in range(200)}
+    for parts in (1, 7):
+        assert texts(spark, [(u, site.format(t)) for u, t in want.items()], parts) == want
+
+
+def test_lines_that_some_pages_share_stay_in_articles(spark):
+    """Two neighbours with one paragraph, near copies, and hosts of few pages."""
+    page = lambda *lines: f"<article>{''.join(f'<p>{x}</p>' for x in lines)}</article>"
+    own = lambda i: f"own line {i} " + "word " * i
+    rows = [(f"http://a.org/{i}", [own(i), "a passage of two", own(i + 20)] if i in (3, 4) else [own(i)]) for i in range(9)]
+    rows += [(f"http://copies.org/{i}", ["one long paragraph that all versions have", f"v {i}"]) for i in range(9)]
+    rows += [(f"http://few.org/{i}", ["site", own(i)]) for i in range(3)]
+    got = texts(spark, [(u, page(*lines)) for u, lines in rows])
+    assert got == {u: " ".join(" ".join(lines).split()) for u, lines in rows}
+
+
+def test_walk_decides_every_page_once(monkeypatch):
+    """Whatever the cut into tasks, pages meet their own neighbours."""
+    monkeypatch.setattr(h, "shared_blocks", lambda own, before, after: (own["k"], [x["k"] for x in before], [x["k"] for x in after]))
+    for total in range(20):
+        out = list(h._walk({"k": k, "task": 0} for k in range(total)))
+        done = [x["shared"] for x in out if "shared" in x]
+        edges = [x for x in out if "page" in x]
+        assert sorted([x[0] for x in done] + [x["k"] for x in edges if x["asked"]]) == list(range(total))
+        assert all(b == [k - 1, k - 2, k - 3] and a == [k + 1, k + 2, k + 3] for k, b, a in done)
+        ks = [x["k"] for x in edges]
+        assert ks == [x["n"] for x in edges]
+        for x in edges:  # the neighbours of undecided pages are edges too
+            if x["asked"]:
+                assert set(range(max(x["n"] - 3, 0), min(x["n"] + 4, total))) <= set(ks)
+
+
 def test_query(spark, sf_dir):
     rows = h.op4_main_text(spark, sf_dir).collect()
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
