@@ -1,8 +1,10 @@
 import hashlib
+import math
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rainshed.llm import pii
 
@@ -77,6 +79,60 @@ def test_patterns_without_seeds_learn_from_shared_values(spark):
     assert got == set(range(400, 482))
 
 
+def test_rounds_go_on_until_nothing_rises(spark):
+    """A chain of patterns; each shares its values with the one before and after it."""
+    edges = [("p0", f"seed{i}", "email") for i in range(400)]
+    for k in range(4):
+        edges += [(p, f"v{k}-{i}", None) for i in range(10) for p in (f"p{k}", f"p{k + 1}")]
+    got = {r.pattern: r.confidence for r in pii._score(spark.createDataFrame(edges, "pattern string, value string, seed string")).collect()}
+    values = {}
+    for p, v, _ in edges:
+        values.setdefault(p, set()).add(v)
+    score = lambda sums: {p: sums[p] / (len(values[p]) + pii.PRIOR) for p in values}
+    firm = {p: 400.0 if p == "p0" else 0.0 for p in values}
+    want, rise = score(firm), 1.0
+    while rise > pii.SETTLED:
+        sums, was = dict(firm), want
+        for p, v, seed in edges:
+            if not seed:
+                sums[p] += 1 - math.prod(1 - min(was[q], 0.999) for q in values if q != p and v in values[q])
+        want = score(sums)
+        rise = max(want[p] - was[p] for p in values)
+    assert got == pytest.approx(want) and all(want.values())  # three rounds would not reach the end of the chain
+
+
+def test_patterns_reach_back_at_any_distance(spark):
+    far = "w" * 300 + " " * 200 + "is:" + "\n" * 100
+    rows = [f"{far}user{i}@host{i}.org" for i in range(30)] + [f"x {far}hidden9@localhost"]
+    got = {r.doc_id: r.finds for r in found(pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"))) if r.finds != r.base}
+    assert got == {30: f"email:{2 + len(far)}:{2 + len(far) + 17}"}
+
+
+def test_contexts_equal_plain_ones(spark):
+    """Patterns of finds within and over the borders of parts."""
+    rng = random.Random(8)
+    bits = ["a@b.c", "mail", " ", "  ", "\n", "é9", "d@e.fg,", "X", "w" * 70]
+    texts = ["".join(rng.choice(bits) for _ in range(n)) for n in (1, 5, 40, 300, 3000)]
+    df = pii.base_finds(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    for r in df.collect():
+        text = texts[r.doc_id]
+        assert len(r.base) == len([x for x in plain(text) if x])
+        for m in r.base:
+            words = re.search(r"(?<!\S)(\S+)[ \n]+(\S+)[ \n]+$", text[: m.start])
+            want = re.sub("[0-9]", "#", f"{words[1][-64:]} {words[2][-64:]}".lower()) if words else None
+            assert (m.value, m.pattern) == (text[m.start : m.end], want)
+
+
+def test_texts_with_very_many_finds(spark):
+    """Many parts; of the second text all finds are in one word."""
+    n = 20_000
+    dense = "".join(f"u{i}@h.org," for i in range(n))
+    df = spark.createDataFrame([(1, "".join(f"mail u{i}@h.org or x{i}@y " for i in range(n))), (2, dense)], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in df.transform(pii.find).select("doc_id", F.size("base").alias("n"), F.size("finds").alias("all")).collect()}
+    text = {r.doc_id: r.text for r in pii.masked(df).collect()}
+    assert rows[1].n == rows[2].n == n and text[2] == "[EMAIL]," * n and text[1].count("[EMAIL]") == rows[1].all
+
+
 def test_mask(contexts):
     got = {r.doc_id: r for r in pii.masked(contexts).collect()}
     assert len(got) == contexts.count() and pii.masked(contexts).columns == contexts.columns
