@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..schema import HRRR_INSTANT
-from .sizing import broadcast_if_small
+from .sizing import bounded_join_side, broadcast_if_small, spread
 
 
 def concat_rows(tables: Sequence[DataFrame]) -> DataFrame:
@@ -30,11 +30,13 @@ def label(df: DataFrame, **names: str) -> DataFrame:
 
 
 def merge_variables(
-    long: DataFrame, keys: Sequence[str], variables: Sequence[str], variable: str = "variable", value: str = "value"
+    long: DataFrame, keys: Sequence[str], variables: Sequence[str], variable: str = "variable", value: str = "value",
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """One column per variable on the union of all coordinates.
 
-    Two different known values for one place and variable are an error, found in the same pass.
+    Two different known values for one place and variable are an error, found in the same pass. ``bound``, a table with
+    no fewer rows than there are coordinates, bounds what a task holds (``sizing.spread``).
     """
 
     def merged(name: str) -> Column:
@@ -42,7 +44,10 @@ def merge_variables(
         clash = F.concat(F.lit(f"conflicting values of {name} at "), F.to_json(F.struct(*keys)))
         return F.when(F.min(mine) < F.max(mine), F.raise_error(clash)).otherwise(F.max(mine)).alias(name)
 
-    return long.filter(F.col(variable).isin(list(variables))).groupBy(*keys).agg(*[merged(v) for v in variables])
+    known = long.filter(F.col(variable).isin(list(variables)))
+    if bound is not None:
+        known = spread(known, keys, bound)
+    return known.groupBy(*keys).agg(*[merged(v) for v in variables])
 
 
 def stack_variables(wide: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:
@@ -164,7 +169,7 @@ def event_slices(df: DataFrame, windows: DataFrame | Sequence[tuple[str, str, st
         rows, keys = df.filter((F.col(time) >= low) & (F.col(time) < high)), ["__day"]
         if "year" in df.columns and time != "year":
             days, keys = days.withColumn("year", F.year("__day").cast(df.schema["year"].dataType)), ["year", "__day"]
-        joined = rows.withColumn("__day", F.to_date(F.col(time))).join(days, keys)
+        joined = rows.withColumn("__day", F.to_date(F.col(time))).join(bounded_join_side(days), keys)
         return joined.select(*df.columns, "event")
     if not windows:
         return df.withColumn("event", F.lit(None).cast("string")).limit(0)

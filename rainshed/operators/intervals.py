@@ -11,6 +11,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .sizing import bounded_join_side
+
 LEVELS = 17  # the widest node: 2^16 days, 179 years; longer windows take several of them
 _LEVEL, _INDEX = "__level", "__index"
 
@@ -44,21 +47,23 @@ def _nodes_of(day: Column, levels: list[int]) -> Column:
     return F.array(*[F.struct(F.lit(n).alias(_LEVEL), F.shiftright(F.unix_date(day), n).alias(_INDEX)) for n in levels])
 
 
-def _used_levels(nodes: DataFrame) -> list[int]:
-    return sorted(r[0] for r in nodes.select(_LEVEL).distinct().collect())  # LEVELS rows at most
+def _levels(windows: DataFrame, start: str, end: str) -> list[int]:
+    """Levels that a cover may use, by the longest window."""
+    longest = windows.filter(F.col(start) <= F.col(end)).agg(F.max(F.datediff(end, start) + 1)).first()[0]
+    return list(range(min(LEVELS, int(longest).bit_length()))) if longest else []
 
 
 def event_slices(df: DataFrame, windows: DataFrame, time: str = "time", start: str = "start_day", end: str = "end_day") -> DataFrame:
     """One copy of the rows of each window, with an ``event`` column: ``combine.event_slices`` for many or long windows."""
     nodes = cover(windows, start, end).select("event", _LEVEL, _INDEX)
-    levels = _used_levels(nodes)
+    levels = _levels(windows, start, end)
     if not levels:
         return df.withColumn("event", F.lit(None).cast(windows.schema["event"].dataType)).limit(0)
     ends = windows.filter(F.col(start) <= F.col(end)).agg(F.min(start).alias("a"), F.date_add(F.max(end), 1).alias("b"))
     low, high = (ends.select(F.col(c).cast(df.schema[time].dataType)).scalar() for c in ("a", "b"))
     rows = df.filter((F.col(time) >= low) & (F.col(time) < high))
     placed = rows.select("*", F.inline(_nodes_of(F.to_date(F.col(time)), levels)))
-    return placed.join(nodes, [_LEVEL, _INDEX]).select(*df.columns, "event")
+    return placed.join(bounded_join_side(nodes), [_LEVEL, _INDEX]).select(*df.columns, "event")
 
 
 def event_totals(
@@ -68,16 +73,19 @@ def event_totals(
     """Sums, counts, lows and highs of each window (event, keys, new columns) without a row per day and window.
 
     ``values`` maps a new column to (sum, count, min or max; value). Rows are reduced once per day, days once per node, and a
-    window adds up the nodes of its cover. Windows without rows are absent. Events are told apart by ``event``.
+    window adds up the nodes of its cover. Windows without rows are absent. Events are told apart by ``event``. The sums of
+    the nodes, a few per day and key, are written once and broadcast if small; the windows' nodes never are.
     """
     again = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
     if wrong := {how for how, _ in values.values()} - set(again):
         raise ValueError(f"{', '.join(sorted(wrong))} cannot be put together from parts")
     keys, day = list(keys), F.to_date(F.col(time)).alias("__day")
-    nodes = cover(windows, start, end).select("event", _LEVEL, _INDEX)
-    levels = _used_levels(nodes) or [0]
+    # dealt by event, so that the nodes are made on all tasks and added up where they are
+    nodes = cover(windows.repartition("event"), start, end).select("event", _LEVEL, _INDEX)
+    levels = _levels(windows, start, end) or [0]
     first = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     daily = df.groupBy(*keys, day).agg(*[first[how](v).alias(out) for out, (how, v) in values.items()])
     parts = [again[how](out).alias(out) for out, (how, _) in values.items()]
     by_node = daily.select("*", F.inline(_nodes_of(F.col("__day"), levels))).groupBy(*keys, _LEVEL, _INDEX).agg(*parts)
+    by_node = bounded_join_side(stored(by_node, "nodes"))
     return nodes.join(by_node, [_LEVEL, _INDEX]).groupBy("event", *keys).agg(*parts)

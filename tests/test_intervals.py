@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rainshed.operators import combine, intervals
+from rainshed.operators import combine, intervals, sizing
 
 ZERO = dt.date(1960, 1, 1)
 
@@ -62,3 +62,17 @@ def test_many_long_windows(spark):
     assert intervals.cover(windows).count() < 20_000 * 2 * 14
     total = intervals.event_totals(data, windows, {"n": ("sum", "v")}).join(windows, "event")
     assert total.filter("n <> datediff(end_day, start_day) + 1").count() == 0 and total.count() == 20_000
+
+
+def test_nodes_of_many_windows_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """A small file of windows grows by its cover; only the sums of the nodes may be broadcast."""
+    spark.range(300).selectExpr("CAST(id AS STRING) AS event", "DATE '1960-01-01' AS start_day", "DATE '1963-01-01' AS end_day").write.parquet(str(tmp_path / "w"))
+    windows = spark.read.parquet(str(tmp_path / "w"))
+    data = spark.range(1200).selectExpr("DATE '1960-01-01' + CAST(id AS INT) AS time", "1.0D AS v")
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    totals = intervals.event_totals(data, windows, {"n": ("sum", "v")})
+    assert "BuildRight" in plan(totals) and "BuildLeft" not in plan(totals)
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 100)
+    for df in (intervals.event_totals(data, windows, {"n": ("sum", "v")}), intervals.event_slices(data, windows), combine.event_slices(data, windows)):
+        assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
+        assert df.count() == (300 if "n" in df.columns else 300 * 1097)
