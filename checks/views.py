@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainshed.functions import times
-from rainshed.operators import geo, running
+from rainshed.operators import geo, running, sizing
 
 RING = [(-122.3, 47.4), (-120.6, 47.45), (-120.4, 48.9), (-121.3, 48.3), (-122.1, 49.1), (-122.3, 47.4)]
 WINDOWS = [
@@ -48,17 +48,24 @@ def obs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def grid(spark: SparkSession, sf: str) -> DataFrame:
+def grid_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the grid view before they are put together by cell and day."""
     flag, supp = F.col("l_returnflag"), F.col("l_suppkey")
+    return table(spark, sf, "lineitem").select(
+        F.when(flag == "A", "PRISM").when(flag == "N", "ORNL").otherwise("WRF").alias("product"),
+        F.col("l_linestatus").alias("scenario"),
+        F.to_date("l_shipdate").alias("day"),
+        _int(F.floor(supp / 10)).alias("y"),
+        _int(supp % 10).alias("x"),
+        "l_quantity", "l_discount", "l_tax",
+    )
+
+
+def grid(spark: SparkSession, sf: str) -> DataFrame:
+    keys = ["product", "scenario", "day", "y", "x"]
     return (
-        table(spark, sf, "lineitem")
-        .groupBy(
-            F.when(flag == "A", "PRISM").when(flag == "N", "ORNL").otherwise("WRF").alias("product"),
-            F.col("l_linestatus").alias("scenario"),
-            F.to_date("l_shipdate").alias("day"),
-            _int(F.floor(supp / 10)).alias("y"),
-            _int(supp % 10).alias("x"),
-        )
+        sizing.spread(grid_rows(spark, sf), keys, table(spark, sf, "lineitem"))
+        .groupBy(*keys)
         .agg(
             F.sum("l_quantity").alias("ppt"),
             (F.lit(260.0) + F.lit(400.0) * F.max("l_discount")).alias("t2"),

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from rainshed.operators import combine, select
+from rainshed.operators import combine, select, sizing
 
 T0 = dt.datetime(2020, 1, 1)
 
@@ -91,3 +91,29 @@ def test_renames_and_drops(spark):
     assert select.drop_variables(select.rename_axes(df), ["spare", "absent"]).columns == ["y", "x"]
     band = spark.createDataFrame([(1, 5), (2, 6)], "band int, v int")
     assert [r["v"] for r in select.only_band(band).collect()] == [5]
+
+
+def most_in_a_task(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_groups_of_a_task_do_not_grow_with_the_merge(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "ROWS_PER_TASK", 100)
+    cells = spark.range(5000).selectExpr("id DIV 100 AS y", "id % 100 AS x", "1.0D AS a", "2.0D AS b")
+    long = combine.stack_variables(cells, ["y", "x"], ["a", "b"])
+    merged = combine.merge_variables(long, ["y", "x"], ["a", "b"], bound=cells)
+    assert merged.filter("a = 1 AND b = 2").count() == 5000 and most_in_a_task(merged) < 300
+    few = combine.merge_variables(long, ["y", "x"], ["a", "b"], bound=cells.limit(10))
+    assert "REPARTITION_BY_NUM" not in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_of_a_task_do_not_grow_with_the_grid(spark, sf_dir, monkeypatch):
+    """The grid view and the merge after it, which shares its partitions."""
+    from checks import views
+    from checks.queries import QUERIES
+
+    plain = sorted(map(str, QUERIES["merge_variables"](spark, sf_dir).collect()))
+    monkeypatch.setattr(sizing, "ROWS_PER_TASK", 100)
+    assert most_in_a_task(views.grid(spark, sf_dir)) < 300
+    merged = QUERIES["merge_variables"](spark, sf_dir)
+    assert most_in_a_task(merged) < 300 and sorted(map(str, merged.collect())) == plain
