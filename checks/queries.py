@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainshed.functions import humidity, missing, times, units
-from rainshed.operators import combine, cover, elevation, geo, intervals, reduce, running, select, selection
+from rainshed.operators import combine, cover, elevation, geo, intervals, reduce, running, select, selection, sizing
 from rainshed.plans import cubes, maps, rollups, storms, wateryears
-from rainshed.session import scratch_path
+from rainshed.session import scratch_path, stored
 from rainshed.sources import catalog, geojson, inventory, manifests, store, textgrid
 
 from . import views as v
@@ -684,7 +684,7 @@ def precip_by_grid(spark, sf):
 
 @query
 def text_grid(spark, sf):
-    return textgrid.text_grid(v.grid(spark, sf), "t2", ["product", "scenario", "day"])
+    return textgrid.text_grid(v.grid(spark, sf), "t2", ["product", "scenario", "day"], cells=v.grid_rows(spark, sf))
 
 
 @query
@@ -737,11 +737,14 @@ def ornl_cube(spark, sf):
 def pnnl_cube(spark, sf):
     # one table per variable, each with gaps of its own; two scenarios
     names = {"PREC_ACC_NC": "ppt", "U10": "u10", "V10": "v10"}
-    grid = v.grid(spark, sf).groupBy("scenario", F.col("day").alias("time"), "y", "x").agg(
+    grid = v.grid(spark, sf).withColumnRenamed("day", "time")
+    keys = ["scenario", "time", "y", "x"]
+    grid = sizing.spread(grid, keys, v.table(spark, sf, "lineitem")).groupBy(*keys).agg(
         F.sum("ppt").alias("ppt"), F.max("u10").alias("u10"), F.max("v10").alias("v10")
     )
+    grid = stored(grid, "pnnl")  # in place of the files
     tables = {n: grid.filter(F.col(c) > 2).select("scenario", "time", "y", "x", F.col(c).alias(n)) for n, c in names.items()}
-    cube = cubes.pnnl_in_basin(cubes.pnnl_cube(tables), v.cells(spark, sf), v.edges(spark))
+    cube = cubes.pnnl_in_basin(cubes.pnnl_cube(tables, bound=grid), v.cells(spark, sf), v.edges(spark))
     return rounded(cube.withColumnsRenamed({n: n.lower() for n in names}), "u10", "v10")
 
 

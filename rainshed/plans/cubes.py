@@ -92,12 +92,14 @@ def ornl_cube(
     return catalog.derive(cube, "ornl")
 
 
-def pnnl_cube(tables: Mapping[str, DataFrame], keys: Sequence[str] = ("scenario", "time", "y", "x")) -> DataFrame:
-    """Tables of one variable each, with any number of files and scenarios, side by side."""
+def pnnl_cube(
+    tables: Mapping[str, DataFrame], keys: Sequence[str] = ("scenario", "time", "y", "x"), bound: DataFrame | None = None
+) -> DataFrame:
+    """Tables of one variable each, with any number of files and scenarios, side by side; ``bound`` as in ``merge_variables``."""
     long = [
         df.select(*keys, F.lit(name).alias("variable"), F.col(name).cast("double").alias("value")) for name, df in tables.items()
     ]
-    return combine.merge_variables(missing.clean_table(combine.concat_rows(long)), keys, list(tables))
+    return combine.merge_variables(missing.clean_table(combine.concat_rows(long)), keys, list(tables), bound=bound)
 
 
 def pnnl_in_basin(cube: DataFrame, cells: DataFrame, edges: DataFrame) -> DataFrame:
