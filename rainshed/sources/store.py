@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sizing import broadcast_if_small
+from ..session import stored
 from . import catalog
 
 LOAD, DIGEST = "load", "load_digest"
@@ -120,7 +121,7 @@ def merge(
     ``load`` names the file a row came from (kept as the column ``load``). Only partitions in which a file's rows differ from
     those stored are written anew; the same files given twice write nothing. Rows of files not in ``df`` stay, also rows
     without a file name (they are never replaced; new ones without a name are refused). The store's other columns are kept,
-    missing ones are filled with NULL. Returns the partitions written. ``df`` is read several times: give a written table.
+    missing ones are filled with NULL. Returns the partitions written. ``df`` is computed once, into the scratch folder.
     Two merges into one store must not run at the same time.
     """
     spark = df.sparkSession
@@ -128,7 +129,7 @@ def merge(
         df = df.drop(LOAD).withColumnRenamed(load, LOAD)
     named = F.coalesce(LOAD, F.raise_error(F.lit("a row without a file name cannot be merged")).cast("string"))
     df, parts = catalog.prepared(df.withColumn(LOAD, named), partitions, time)
-    late = with_digests(df, parts)
+    late = with_digests(stored(df, "late"), parts)
     store = _opened(spark, path)
     if store is None:
         _write(late, path, parts, time)

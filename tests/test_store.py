@@ -108,3 +108,21 @@ def test_a_store_of_another_writer_is_refused(spark, tmp_path):
     cubes.write(cube(spark, "PRISM", DAYS), "PRISM", path)
     with pytest.raises(ValueError, match="not written by merge"):
         store.merge(files(spark, ("a", DAYS[:2], 1.0)), path)
+
+
+def test_late_rows_are_computed_once(spark, tmp_path):
+    """What leads to the rows may be costly: a merge reads it once, whether the store is new or not."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(v):
+        seen.add(1)
+        return float(v)
+
+    df = spark.range(50).select(
+        F.lit("P").alias("product"), F.to_timestamp_ntz(F.lit("2000-01-01")).alias("time"), F.lit(0).alias("y"), F.col("id").cast("int").alias("x"),
+        costly("id").alias("v"), F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("file_name"),
+    )
+    for times, rows in ((1, df), (2, df.withColumn("v", F.col("v") + 1))):
+        assert store.merge(rows, str(tmp_path / "s"))
+        assert seen.value == 50 * times
