@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import two_decimals
@@ -15,9 +15,9 @@ def text_grid(
 ) -> DataFrame:
     """Lines (steps..., line_no, line) of the grid, from at most one row per step and cell.
 
-    A line gathers the cells of one grid row and a step its lines, so rows are bounded by the grid.
-    Absent cells print as ``nan``; every step has all grid rows and the empty line. The limits of the
-    grid come from ``cells``, the static table of it, or else from a pass over the data.
+    A line gathers the cells of one grid row; lines without cells are made between the others, in their order, so no
+    row holds a step. Absent cells print as ``nan``; every step has all grid rows and the empty line. The limits of the
+    grid come from ``cells``, a table of its cells, or else from a pass over the data. A cell without ``y`` is an error.
     """
     steps = list(steps)
     ends = (df if cells is None else cells).agg(F.struct(*[f(c).alias(n) for n, f, c in (
@@ -26,20 +26,22 @@ def text_grid(
     gap = lambda n: F.repeat(F.lit("nan "), n)
     before = lambda i: F.when(i == 0, x0 - 1).otherwise(F.get(row, i - 1)["x"])
     known = F.array_join(F.transform(row, lambda c, i: F.concat(gap(c["x"] - before(i) - 1), c["t"])), " ")
+    row_of = F.coalesce(F.col(y), F.raise_error(F.lit("a cell without a grid row cannot be written")).cast(df.schema[y].dataType))
     written = (
-        df.select(*steps, y, F.struct(F.col(x).alias("x"), two_decimals(value).alias("t")).alias("__c"))
+        df.select(*steps, row_of.alias(y), F.struct(F.col(x).alias("x"), two_decimals(value).alias("t")).alias("__c"))
         .groupBy(*steps, y).agg(F.sort_array(F.collect_list("__c")).alias("__r"))
         .withColumn("__e", ends)
         .select(*steps, y, F.concat(known, F.repeat(F.lit(" nan"), x1 - F.element_at(row, -1)["x"])).alias("line"))
     )
-    whole = (
-        written.groupBy(*steps).agg(F.map_from_entries(F.collect_list(F.struct(y, "line"))).alias("__lines"))
-        .withColumn("__e", ends)
-        .select(*steps, "__e", "__lines", F.explode(F.sequence(F.col("__e.y0"), F.col("__e.y1") + 1)).alias(y))
-    )
-    blank = F.when(F.col(y) > F.col("__e.y1"), F.lit("")).otherwise(F.rtrim(gap(x1 - x0 + 1)))
-    line = F.coalesce(F.element_at("__lines", F.col(y)), blank)
-    return whole.select(*steps, (F.col(y) - F.col("__e.y0")).cast("int").alias("line_no"), line.alias("line"))
+    # each known line writes the blank ones up to the next known line of its step, the first also those before it
+    order = Window.partitionBy(*steps).orderBy(y)
+    low = F.when(F.row_number().over(order) == 1, F.col("__e.y0")).otherwise(F.col(y))
+    high = F.coalesce(F.lead(y).over(order) - 1, F.col("__e.y1") + 1)
+    whole = written.withColumn("__e", ends).select("*", low.alias("__low"), high.alias("__high"))
+    whole = whole.select(*steps, "__e", y, "line", F.explode(F.sequence("__low", "__high")).alias("__y"))
+    blank = F.when(F.col("__y") > F.col("__e.y1"), F.lit("")).otherwise(F.rtrim(gap(x1 - x0 + 1)))
+    line = F.when(F.col(y) == F.col("__y"), F.coalesce("line", blank)).otherwise(blank)
+    return whole.select(*steps, (F.col("__y") - F.col("__e.y0")).cast("int").alias("line_no"), line.alias("line"))
 
 
 def write_text_grid(lines: DataFrame, path: str, steps: Sequence[str] = ("time",), mode: str = "errorifexists", time: str | None = None) -> str:

@@ -239,6 +239,18 @@ def test_text_grid(spark, tmp_path):
     assert [r["line"] for r in back] == expected
 
 
+def test_lines_of_a_step_are_not_looked_up_in_a_map(spark):
+    """A step of many lines, most of them known: a look-up in a map takes time with the square of them."""
+    df = spark.range(6000).filter("id % 3 > 0").selectExpr("DATE '2000-01-01' AS time", "CAST(id + 5 AS INT) AS y", "1 AS x", "id / 4D AS v")
+    lines = textgrid.text_grid(df, "v", cells=spark.sql("SELECT 3 AS y, 0 AS x UNION ALL SELECT 6010, 2"))
+    assert "map_from_entries" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.line_no: r.line for r in lines.collect()}
+    known = {k + 2: f"nan {k / 4:.2f} nan" for k in range(6000) if k % 3}
+    assert got == {n: "nan nan nan" for n in range(6008)} | known | {6008: ""} and lines.count() == 6009
+    with pytest.raises(Exception, match="without a grid row"):
+        textgrid.text_grid(df.withColumn("y", F.expr("nullif(y, 8)")).unionByName(df.limit(1).withColumn("y", F.lit(None).cast("int"))), "v").collect()
+
+
 def test_text_grids_of_many_steps_stay_in_order(spark, tmp_path):
     rows = [(dt.datetime(2019 + i // 12, 1 + i % 12, 1), p, y, x, float(i + 100 * y + x)) for i in range(36) for p in ("a", "b") for y in (0, 1) for x in (0, 1)]
     df = spark.createDataFrame(rows, "time timestamp_ntz, p string, y int, x int, v double").repartition(5)
