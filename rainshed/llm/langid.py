@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import materialize, slices, table
 
 TRAINING_DOCS = 3000
 LEAST_SHARE = 2e-5
 SCRIPT_SHARE = 0.01  # a language uses a script that holds this share of its letters
 SWITCH = 10.0
 LENGTHS = (2, 3)
+WORDS = 1 << 16  # words looked up, learned or scored at a time
 UNDETERMINED = "und"
 RESULT = "struct<lang:string,score:double,spans:array<struct<start:int,end:int,lang:string>>>"
 
@@ -59,6 +60,18 @@ def _grams(word: str) -> list[str]:
     return [s[i : i + n] for n in LENGTHS for i in range(len(s) - n + 1)]
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _codes(points: np.ndarray, n: int) -> np.ndarray:
+    """A number for each sequence of ``n`` code points, of 21 bits each."""
+    out = points[: max(0, len(points) - n + 1)]
+    for k in range(1, n):
+        out = out << np.uint64(21) | points[k : len(points) - n + 1 + k]
+    return out
+
+
 class Model:
     """Scores of letter sequences by language. ``counts`` holds (language, kind, value, n), kind ``script`` or a length."""
 
@@ -81,26 +94,61 @@ class Model:
         logs -= logs.max(1, keepdims=True) if len(at) else 0
         # sequences overlap, so that a letter counts once for each length
         self.scores = np.vstack([np.zeros((1, len(at))), logs / len(LENGTHS)]).astype(np.float32)
+        self._index(sorted(seen))
+        self._forget()
+
+    def _index(self, grams: list[str]) -> None:
+        """The sequences as numbers, ascending within a length, so that those of many words are sought at once."""
+        self.codes: list[tuple[np.ndarray, np.ndarray]] = []
+        for n in LENGTHS:
+            of_n = [g for g in grams if len(g) == n]
+            codes = _codes(_points("".join(of_n)), n)[::n] if of_n else np.empty(0, np.uint64)
+            order = codes.argsort()
+            self.codes.append((codes[order], np.array([self.row[g] for g in of_n], np.int64)[order]))
+
+    def _forget(self) -> None:
+        """No word is known: ``rows`` and ``sizes`` hold scores and length of each known word, with room for more."""
         self.memo: dict[str, int] = {}
-        self.rows = np.empty((0, len(at)), np.float32)
+        self.rows = np.empty((1024, len(self.langs)), np.float32)
+        self.sizes = np.empty(1024, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        grams = [_grams(w) for w in words]
-        ends = np.cumsum([len(g) for g in grams])
-        row = self.row.get
-        flat = self.scores[np.array([row(g, 0) for gs in grams for g in gs], dtype=np.int64)]
-        new = np.add.reduceat(flat, np.concatenate([[0], ends[:-1]]), axis=0)
+        points = _points("".join(f"<{w}>" for w in words))
+        sizes = np.array([len(w) for w in words])
+        starts = np.cumsum(sizes + 2) - sizes - 2
+        rows, shares = [], []
+        for n, (codes, row) in zip(LENGTHS, self.codes, strict=True):
+            found = np.zeros(len(points), np.int64)
+            if len(codes):
+                sought = _codes(points, n)
+                place = np.minimum(np.searchsorted(codes, sought), len(codes) - 1)
+                found[: len(sought)] = np.where(codes[place] == sought, row[place], 0)
+            rows.append(found)
+            shares.append(sizes + 3 - n)
+        # the sequences of a word stand together, those of the first length first
+        many = np.array(shares).T.ravel()
+        firsts = (starts[:, None] + np.arange(len(LENGTHS)) * len(points)).ravel()
+        ends = np.cumsum(many)
+        flat = np.concatenate(rows)[np.arange(ends[-1]) + np.repeat(firsts - ends + many, many)]
+        new = np.add.reduceat(self.scores[flat], np.concatenate([[0], ends[len(LENGTHS) - 1 : -1 : len(LENGTHS)]]), axis=0)
         for i, w in enumerate(words):
             if w[0] > "˿" and (uses := self.uses.get(script_of(w[0]))) is not None and uses.any():
                 new[i, ~uses] -= 100
-        self.memo.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
-        self.rows = np.concatenate([self.rows, new])
+        known = len(self.memo)
+        self.memo.update(zip(words, range(known, known + len(words)), strict=True))
+        if len(self.memo) > len(self.rows):  # twice the room, lest every new word copies all
+            room = 2 * len(self.memo)
+            self.rows = np.concatenate([self.rows[:known], np.empty((room - known, len(self.langs)), np.float32)])
+            self.sizes = np.concatenate([self.sizes[:known], np.empty(room - known, np.int64)])
+        self.rows[known : len(self.memo)], self.sizes[known : len(self.memo)] = new, sizes
 
     def score_rows(self, words: list[str]) -> np.ndarray:
         """Positions in ``rows`` of the scores of ``words``."""
         found = list(map(self.memo.get, words))
         if None in found:
-            self._learn(list({w for w, i in zip(words, found, strict=True) if i is None}))
+            unknown = list({w for w, i in zip(words, found, strict=True) if i is None})
+            for at in range(0, len(unknown), WORDS):
+                self._learn(unknown[at : at + WORDS])
             found = list(map(self.memo.get, words))
         return np.array(found, dtype=np.int64)
 
@@ -116,27 +164,36 @@ class Model:
         by_step = np.empty(start[-1], np.int64)
         for r, i in enumerate(order):
             by_step[start[: len(rows[i])] + r] = rows[i]
-        best = np.zeros((len(order), len(self.langs)), np.float32)
-        moved = np.empty((start[-1], len(self.langs)), bool)
-        origin = np.empty(start[-1], np.int16)
-        for t in range(steps):
-            a, b = start[t], start[t + 1]
-            v = best[: b - a]
-            top = v.argmax(1)
-            change = v[np.arange(b - a), top] - np.float32(SWITCH)
-            np.less(v, change[:, None], out=moved[a:b])
-            origin[a:b] = top
-            np.maximum(v, change[:, None], out=v)
-            v += self.rows[by_step[a:b]]
-            v -= v.max(1, keepdims=True)
-        state = best.argmax(1)
+        n = len(self.langs)
+        best = np.zeros((n, len(order)), np.float32)  # the highest of a text is always 0
+        moved = np.empty((n, start[-1]), bool)
+        origin = np.zeros(start[-1], np.int16)
+        at, lost = start.tolist(), np.float32(-SWITCH)
+        first = 0
+        while first < steps:  # a language a row, and the steps of some words at a time
+            last = min(max(first + 1, int(np.searchsorted(start, at[first] + WORDS, side="right")) - 1), steps)
+            low = at[first]
+            scores = np.ascontiguousarray(self.rows[by_step[low : at[last]]].T)
+            before = np.empty_like(scores)
+            for t in range(first, last):
+                a, b = at[t] - low, at[t + 1] - low
+                v = best[:, : b - a]
+                before[:, a:b] = v
+                np.maximum(v, lost, out=v)
+                v += scores[:, a:b]
+                v -= np.maximum.reduce(v, axis=0)
+            np.less(before, lost, out=moved[:, low : at[last]])
+            for k in range(n - 1, -1, -1):  # the first language of the highest
+                origin[low : at[last]][before[k] == 0] = k
+            first = last
+        state = best.argmax(0)
         labels = np.empty(start[-1], np.int16)
+        places = np.arange(start[-1])
         for t in range(steps - 1, -1, -1):
-            a, b = start[t], start[t + 1]
+            a, b = at[t], at[t + 1]
             s = state[: b - a]
             labels[a:b] = s
-            at = np.arange(b - a)
-            state[: b - a] = np.where(moved[a:b][at, s], origin[a:b], s)
+            state[: b - a] = np.where(moved[s, places[a:b]], origin[a:b], s)
         out: list[np.ndarray] = [np.empty(0, np.int16)] * len(rows)
         for r, i in enumerate(order):
             out[i] = labels[start[: len(rows[i])] + r]
@@ -144,20 +201,24 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[dict]:
         none = {"lang": UNDETERMINED, "score": 0.0, "spans": []}
-        rows, sizes = [], []
+        rows: list[np.ndarray] = []
         if len(self.memo) * max(1, len(self.langs)) > 4_000_000:
-            self.memo, self.rows = {}, self.rows[:0]
-        for text in texts:
-            words = _words(text.lower()) if text and self.langs else []
-            if not any(map(str.isalpha, words)):
-                words = []
-            rows.append(self.score_rows(words))
-            sizes.append(np.array([len(w) for w in words]))
+            self._forget()
+        words, ends = [], []
+        for k, text in enumerate(texts, 1):
+            own = _words(text.lower()) if text and self.langs else []
+            if any(map(str.isalpha, own)):
+                words += own
+            ends.append(len(words))
+            if len(words) >= WORDS or k == len(texts):  # the words of some texts are looked up and learned together
+                rows += np.split(self.score_rows(words), ends[:-1])
+                words, ends = [], []
         out = []
-        for text, labels, size in zip(texts, self.label(rows), sizes, strict=True):
+        for text, own, labels in zip(texts, rows, self.label(rows), strict=True):
             if not len(labels):
                 out.append(none)
                 continue
+            size = self.sizes[own]
             share = np.bincount(labels, weights=size, minlength=len(self.langs)) / size.sum()
             out.append({"lang": self.langs[share.argmax()], "score": float(share.max()), "spans": self._spans(text, labels)})
         return out
@@ -203,6 +264,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / (1 << 20)
     sample = labelled.filter(draw < share[F.col("lang")]).select("lang", "text")
     found = sample.mapInArrow(_counts, "lang string, kind string, value string, n bigint").groupBy("lang", "kind", "value").agg(F.sum("n").alias("n"))
+    found = materialize(found, "letters")  # read twice
     totals = {(r["lang"], r["kind"]): r["n"] for r in found.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
     least = F.create_map(*[x for (g, k), n in totals.items() for x in (F.lit(f"{g}\0{k}"), F.lit(n * LEAST_SHARE))]) if totals else None
     if least is None:

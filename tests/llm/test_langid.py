@@ -72,3 +72,26 @@ def test_held_out_accuracy(spark, sf_dir, documents):
     right, total = both.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert total > 20 and right / total > 0.97
     assert got.count() == documents.count() and got.filter("score < 0 or score > 1").count() == 0
+
+
+def test_words_are_learned_together():
+    """Texts with a new word each do not copy the scores of all known words each time."""
+    letters = "abcdefghij"
+    model = langid.Model([("x", "script", "Latin", 9), ("x", "2", "<a", 3), ("y", "script", "Latin", 9), ("y", "2", "<b", 3)])
+    texts = [" ".join(letters[int(c)] * 2 + letters[k % 10] for c in f"{k:03}") for k in range(300)]
+    learned, learn = [], model._learn
+    model._learn = lambda words: (learned.append(len(words)), learn(words))
+    found = model.predict(texts)
+    assert len(learned) == 1 and learned[0] == len({w for t in texts for w in t.split()})
+    assert found == [model.predict([t])[0] for t in texts]
+
+
+def test_learned_scores_are_sums_over_the_sequences():
+    words = ["a", "ab", "äöü", "привет", "𐐀𐐁𐐂", "你好", "zzzz"]
+    keys = {g for w in words[:-1] for g in langid._grams(w)}
+    counts = [(lang, str(len(g)), g, n + k) for k, g in enumerate(sorted(keys)) for n, lang in enumerate("pqr")]
+    model = langid.Model([*counts, *((lang, "script", "Latin", 1) for lang in "pqr")])
+    rows, sizes = model.rows[at := model.score_rows(words)], model.sizes[at]
+    for w, row, size in zip(words, rows, sizes, strict=True):
+        plain = model.scores[[model.row.get(g, 0) for g in langid._grams(w)]].sum(0)
+        assert np.allclose(row, plain, atol=1e-4) and size == len(w)
