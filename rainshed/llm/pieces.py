@@ -123,8 +123,8 @@ class Model:
             self.plain = re.compile(f" +(?:{inner})*|(?:{inner})+|.", re.S).findall
         if self.map or self.squeeze or not self.prefix:
             self.plain = None
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}  # the ids of a segment, four bytes each
+        self.old: dict[str, bytes] = {}
 
     # -- normalisation --------------------------------------------------------------------------------
 
@@ -207,7 +207,7 @@ class Model:
                 ids += [self.of_byte[b] for b in part.encode()]
         return tuple(ids)
 
-    def merged(self, segments: list[str], spaced: bool) -> list[int]:
+    def merged(self, segments: list[str], spaced: bool) -> np.ndarray:
         """Ids of segments; ``spaced`` segments still hold the spaces of the source."""
         found = list(map(self.young.get, segments))
         if None in found:
@@ -216,22 +216,22 @@ class Model:
                     segment = segments[k]
                     if (ids := self.young.get(segment)) is None:
                         if (ids := self.old.get(segment)) is None:
-                            ids = self.merge(segment.replace(" ", SPACE) if spaced else segment)
+                            ids = np.array(self.merge(segment.replace(" ", SPACE) if spaced else segment), np.int32).tobytes()
                         if len(segment) <= MEMO_LENGTH:
                             self.young[segment] = ids
                     found[k] = ids
             if len(self.young) > MEMO_SEGMENTS:
                 self.old, self.young = self.young, {}
-        return list(itertools.chain.from_iterable(found))
+        return np.frombuffer(b"".join(found), np.int32)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a text, and the first and the end byte of each in the UTF-8 of the text."""
         if text and self.plain and SPACE not in text:
-            ids = np.array(self.merged(self.plain(" " + text), True), np.int32)
+            ids = self.merged(self.plain(" " + text), True)
             ends = np.cumsum(self.source_bytes[ids]) - 1
             return ids, np.concatenate([[0], ends[:-1]]), ends
         normal, source = self.normalise(text)
-        ids = np.array(self.merged(self.segments(normal), False), np.int32)
+        ids = self.merged(self.segments(normal), False)
         ends = np.cumsum(self.norm_bytes[ids])
         return ids, source[ends - self.norm_bytes[ids]], source[ends]
 
@@ -320,25 +320,31 @@ def model_of(sent) -> Model:
     return _LOADED[key]
 
 
-def encode(text: Column | str, model, end_id: bool = False) -> Column:
-    """STRUCT of arrays: ids, and the start and end byte of each in the source text. ``model`` comes from ``load``."""
+def encode(text: Column | str, model, end_id: bool = False, decoded: bool = False) -> Column:
+    """STRUCT of arrays: ids, and the start and end byte of each in the source text. ``model`` comes from ``load``.
 
-    @F.arrow_udf(ENCODED)
+    With ``decoded`` also the text of the ids, from the same worker: ids that went through ``decode`` would be sent to a
+    second worker a task, with a model of its own.
+    """
+
+    @F.arrow_udf(ENCODED.replace(">>", ">,decoded:string>") if decoded else ENCODED)
     def pieces_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model_of(model)
+        end, none = np.array([m.end] if end_id else [], np.int32), np.zeros(1, np.int64)
         for batch in batches:  # what goes back is sent in small parts, as it is larger than the texts
             for piece in slices(batch):
                 parts, counts = [], [0]
                 for s in piece.to_pylist():
                     ids, starts, ends = m.encode(s or "")
-                    if end_id:
-                        last = int(ends[-1]) if len(ends) else 0
-                        ids, starts, ends = np.append(ids, m.end), np.append(starts, last), np.append(ends, last)
-                    parts.append(np.array([ids, starts, ends], np.int32))
-                    counts.append(len(ids))
-                flat, at = np.concatenate(parts, axis=1), pa.array(np.cumsum(counts), pa.int32())
-                lists = [pa.ListArray.from_arrays(at, pa.array(row, pa.int32())) for row in flat]
-                yield pa.StructArray.from_arrays(lists, ["ids", "starts", "ends"])
+                    last = (ends[-1:] if len(ends) else none)[: len(end)]
+                    parts += [(ids, starts, ends), (end, last, last)]
+                    counts.append(len(ids) + len(end))
+                at = pa.array(np.cumsum(counts), pa.int32())
+                flat = [pa.array(np.concatenate(column).astype(np.int32)) for column in zip(*parts, strict=True)]
+                lists = [pa.ListArray.from_arrays(at, column) for column in flat]
+                if decoded:
+                    lists.append(m.decode_all(lists[0]))
+                yield pa.StructArray.from_arrays(lists, ["ids", "starts", "ends", "decoded"][: len(lists)])
 
     return pieces_of(text)
 
@@ -365,11 +371,11 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = load(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", encode("text", model, end_id=True).alias("p"))
-    return docs.select("doc_id", "p", decode("p.ids", model).alias("decoded")).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", encode("text", model, end_id=True, decoded=True).alias("p"))
+    return docs.select(
         "doc_id",
         F.size("p.ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("p.ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("p.decoded", 256).alias("decoded_sha256"),
         F.aggregate(F.zip_with("p.starts", "p.ends", lambda a, b: b - a), F.lit(0), lambda a, b: a + b).cast("long").alias("n_spanned"),
     )

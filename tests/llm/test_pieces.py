@@ -111,3 +111,26 @@ def test_query(spark, sf_dir, documents, library):
         assert (found.n_tokens, found.n_spanned) == (len(ids), len(r.text.encode()))
         assert found.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert found.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("end_id", [True, False])
+def test_texts_come_with_their_ids(spark, edge, library, end_id):
+    sent = pieces.load(spark, PATH)
+    texts = edge.select("text").union(spark.createDataFrame([(t,) for t in random_texts(300, 7)], "text string"))
+    found = texts.select("text", pieces.encode("text", sent, end_id, decoded=True).alias("p"), pieces.encode("text", sent, end_id).alias("q"))
+    for r in found.select("text", "p", "q", pieces.decode("p.ids", sent).alias("apart")).collect():
+        assert r.p.ids == library.encode(r.text or "") + [2] * end_id
+        assert r.p.decoded == r.apart == library.decode(r.p.ids)
+        assert (r.p.ids, r.p.starts, r.p.ends) == (r.q.ids, r.q.starts, r.q.ends)
+
+
+def test_query_needs_one_worker_a_task(spark, sf_dir):
+    """Each Python operator of a stage has a worker of its own, with a model and a batch: there is one."""
+    plan = pieces.op13_sentencepiece(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_known_segments_are_kept_as_bytes(source):
+    model = pieces.Model(source)
+    model.encode("some words of a text")
+    assert model.young and all(isinstance(ids, bytes) for ids in model.young.values())
