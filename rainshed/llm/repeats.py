@@ -15,9 +15,10 @@ within the text.
    with r bytes in common; a member that shares l bytes to the left with another one of the node, l + r >= length, is
    covered from l bytes before the anchor to r bytes after its start. Texts are judged as they came in.
 3. Whole contexts of an anchor with more than ``WIDE`` of them (a passage at which many texts begin to differ) are too much
-   for one task. They are first split in Spark, by ``RUN`` neighbouring windows at a time: if the bytes that the windows of
-   a run cover together occur twice, all are repeated; if the bytes that all of them share, the core, occur once, none is.
-   What is left, the runs at the ends of repeated passages, meets by core and is sorted as above, of each run only the
+   for one task. They are first split in Spark, by ``BLOCK`` * ``RUN`` neighbouring windows at a time: if the bytes that the
+   windows of a block cover together occur twice, all are repeated. One of such equal blocks and the other blocks are split
+   again, by ``RUN`` windows: these too are repeated if what they cover occurs twice; if the bytes that all of a run share,
+   the core, occur once, none is. What is left, the runs at the ends of repeated passages, meets by core and is sorted as above, of each run only the
    RUN - 1 bytes on either side of its core. A core with more than ``SORTED`` such runs is not brought into one task: its
    windows become rows, compared by core and the bytes about it.
 
@@ -44,6 +45,7 @@ ANCHOR = 64
 SHALLOW = 32
 WIDE = 512
 RUN = 16
+BLOCK = 8  # runs
 SORTED = 1 << 16  # runs of one core sorted in a task, 2 * (RUN - 1) bytes each
 PIECE = 1 << 20  # bytes whose anchors are sought at a time
 
@@ -248,31 +250,66 @@ def _compare(need: int, core: int = 0):
     return compare
 
 
-_CUT = "row bigint, key bigint, at bigint, before binary, after binary, cover bigint, core bigint"
+_CUT = "row bigint, key bigint, at bigint, before binary, after binary, low bigint, block bigint"
+_RUN = "row bigint, at bigint, before binary, after binary, cover bigint, core bigint"
 
 
-def _runs(t: bytes, sub: Substrings, at: int, length: int) -> Iterator[tuple]:
-    """Runs of windows through an anchor, told by their distance to it.
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, ddl.split(", "))])
 
-    (highest start of the run, which is where its core begins; bytes before and after the core; hash of what the whole run
-    covers, or None if the text does not hold it; hash of the core)
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _blocks(t: bytes, sub: Substrings, at: int, length: int) -> Iterator[tuple]:
+    """Blocks of windows through an anchor, told by their distance to it.
+
+    (highest start of the block; the bytes it covers within the text; where these begin; their hash)
     """
     first, last = max(0, at - (length - ANCHOR)), min(at, len(t) - length)
     if last < first:
         return
-    top = at - np.arange((at - last) // RUN, (at - first) // RUN + 1) * RUN
-    bottom = top - RUN + 1
-    cores = sub.of(top, bottom + length).view(np.int64).tolist()
-    whole = (bottom >= 0) & (top + length <= len(t))
-    covers = iter(sub.of(bottom[whole], top[whole] + length).view(np.int64).tolist())
-    for core, full, s, e in zip(cores, whole.tolist(), bottom.tolist(), top.tolist(), strict=True):
-        yield e, t[max(0, s) : e], t[s + length : e + length], next(covers) if full else None, core
+    top = np.arange((at - last) // RUN, (at - first) // RUN + 1)
+    bottom, top = at - (np.append(top[BLOCK - 1 : -1 : BLOCK], top[-1]) + 1) * RUN + 1, at - top[::BLOCK] * RUN
+    low, high = np.maximum(bottom, 0), np.minimum(top + length, len(t))
+    for s, a, b, block in zip(top.tolist(), low.tolist(), high.tolist(), sub.of(low, high).view(np.int64).tolist(), strict=True):
+        yield s, t[a:b], a, block
+
+
+def _runs_of(length: int):
+    """Blocks split into runs: (row, highest start of the run, which is where its core begins; bytes before and after the
+    core; hash of what the whole run covers, or None if the text does not hold it; hash of the core)."""
+    schema = _arrow(_RUN)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                texts = piece.column("after").to_pylist()
+                ends = np.cumsum([len(t) for t in texts])
+                starts = ends - [len(t) for t in texts]
+                tops = piece.column("at").to_numpy() - piece.column("low").to_numpy()
+                many = tops // RUN + 1
+                of = np.repeat(np.arange(len(texts)), many)
+                top = tops[of] - (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * RUN
+                bottom, sub = top - RUN + 1, Substrings(np.frombuffer(b"".join(texts), np.uint8))
+                cores = sub.of(starts[of] + top, starts[of] + bottom + length).view(np.int64).tolist()
+                whole = (bottom >= 0) & (top + length <= (ends - starts)[of])
+                covers = iter(sub.of((starts[of] + bottom)[whole], (starts[of] + top + length)[whole]).view(np.int64).tolist())
+                row, low = piece.column("row").to_pylist(), piece.column("low").to_pylist()
+                out = []
+                for k, e, s, full, core in zip(of.tolist(), top.tolist(), bottom.tolist(), whole.tolist(), cores, strict=True):
+                    t = texts[k]
+                    out.append((row[k], low[k] + e, t[max(0, s) : e], t[s + length : e + length], next(covers) if full else None, core))
+                yield _batch(out, schema)
+
+    return rows
 
 
 def _cut_out(length: int):
-    """Contexts of a text's anchors as bytes; of wide anchors the runs of windows through them."""
-    kinds = {"before": pa.binary(), "after": pa.binary()}
-    schema = pa.schema([(n, kinds.get(n, pa.int64())) for n in "row key at before after cover core".split()])
+    """Contexts of a text's anchors as bytes; of wide anchors the blocks of windows through them."""
+    schema = _arrow(_CUT)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,13 +324,21 @@ def _cut_out(length: int):
                         if a["contexts"] <= WIDE:
                             out.append((row, a["key"], at, t[max(0, at - (length - ANCHOR)) : at], t[at : at + length], None, None))
                         else:
-                            out += [(row, None, *r) for r in _runs(t, sub, at, length)]
-                columns = [pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                            out += [(row, None, s, None, *b) for s, *b in _blocks(t, sub, at, length)]
+                yield _batch(out, schema)
 
     return rows
 
 
+def _marked(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` (one row for each row, at and ``by``) written once: ``twice`` where ``by`` occurs twice, ``stands`` in one row
+    of each ``by``, which stays to be compared with what is left, as the twin of a window may lie in a repeated stretch."""
+    twice = df.groupBy(by).agg(F.count("*").alias("n"), F.min("row").alias("one"), F.min_by("at", "row").alias("place")).filter("n > 1")
+    marked = df.join(materialize(twice.drop("n"), f"twice-{name}"), by, "left")
+    stands = F.col("one").isNull() | (F.col("row") == F.col("one")) & (F.col("at") == F.col("place"))
+    return materialize(marked.withColumns({"twice": F.col("one").isNotNull(), "stands": stands}).drop("one", "place"), name)
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(row, start, end): bytes of ``texts`` (row, text) that lie in repeated strings of ``length`` bytes; may overlap."""
     anchors = texts.mapInArrow(_anchor_rows(length), "key bigint, context bigint, row bigint, at bigint, size bigint")
@@ -311,17 +356,17 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     cuts = materialize(packs.join(wanted, "row").select("row", "data", "anchors").mapInArrow(_cut_out(length), _CUT), "cuts")
     narrow = cuts.filter("key is not null").select("row", "key", "at", "before", "after")
     narrow = narrow.groupBy("key").applyInArrow(_compare(length), "row bigint, start bigint, end bigint")
+    blocks = cuts.filter("key is null").select("row", "at", "after", "low", "block").dropDuplicates(["row", "at", "block"])
+    blocks = _marked(blocks, "block", "blocks")
+    in_blocks = blocks.filter("twice").select("row", F.col("low").alias("start"), (F.col("low") + F.octet_length("after")).alias("end"))
+    runs = blocks.filter("stands").select("row", "at", "after", "low").mapInArrow(_runs_of(length), _RUN)
+    runs = materialize(runs.dropDuplicates(["row", "at", "core"]), "split")
+    cores = materialize(runs.groupBy("core").count().filter("count > 1").select("core"), "cores")
     # a run without a cover gets a key that nothing else has, lest all of them meet in one task
-    cover = F.coalesce("cover", F.xxhash64("row", "at", "core")).alias("cover")
-    runs = cuts.filter("key is null").select("row", "at", cover, "core", "before", "after")
-    twice_of = lambda df, c: df.select("row", "at", c).distinct().groupBy(c).count().filter("count > 1").select(c)
-    cores = materialize(twice_of(runs, "core"), "cores")
-    runs = materialize(runs.join(cores, "core").dropDuplicates(["row", "at", "core"]), "runs")
-    covers = materialize(twice_of(runs, "cover"), "covers")
-    covered = runs.join(covers, "cover").select("row", (F.col("at") - RUN + 1).alias("start"), (F.col("at") + length).alias("end"))
-    # the twin of a window may lie in a covered run, so one run of each cover meets the others too
-    samples = runs.join(covers, "cover").dropDuplicates(["cover"])
-    ends = materialize(runs.join(covers, "cover", "left_anti").unionByName(samples).drop("cover"), "ends")
+    cover = F.coalesce("cover", F.xxhash64("row", "at", "core"))
+    runs = _marked(materialize(runs.join(cores, "core").withColumn("cover", cover), "shared"), "cover", "runs")
+    covered = runs.filter("twice").select("row", (F.col("at") - RUN + 1).alias("start"), (F.col("at") + length).alias("end"))
+    ends = materialize(runs.filter("stands").select("row", "at", "core", "before", "after"), "ends")
     sizes = materialize(ends.groupBy("core").count(), "sizes")
     few = ends.join(sizes.filter(F.col("count").between(2, SORTED)), "core", "left_semi")
     core = length - RUN + 1
@@ -335,7 +380,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     window = ["core", "n", "left", "right"]
     seen = windows.groupBy(*window).count().filter("count > 1").select(*window)
     counted = windows.join(seen, window).select("row", "start", (F.col("start") + length).alias("end"))
-    wide = covered.union(sorted_ends).union(counted)
+    wide = in_blocks.union(covered).union(sorted_ends).union(counted)
     return whole.union(narrow).union(wide)
 
 

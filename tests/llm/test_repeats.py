@@ -91,3 +91,35 @@ def test_query(spark, sf_dir, documents):
         kept, gone = want[r.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans) == (len(gone), sum(gone), (b"\0" + gone).count(b"\0\1"))
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_wide_anchors_are_split_no_finer_than_needed(spark, monkeypatch):
+    """Windows well within a passage are told in blocks: the runs that are joined stay few for each text."""
+    monkeypatch.setattr(repeats, "WIDE", 1)
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage, texts = some(1500), 60
+    rows = [(i, some(700) + passage + some(700)) for i in range(texts)]
+    counted, write = {}, repeats.materialize
+
+    def counting(df, name):
+        out = write(df, name)
+        counted[name] = out.count()
+        return out
+
+    monkeypatch.setattr(repeats, "materialize", counting)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    check(df, df.collect(), 400)
+    assert counted["runs"] <= 25 * texts  # a run of 16 windows each would make 51
+
+
+@pytest.mark.parametrize("size", [400, 401, 415, 416, 527, 528, 529, 700])
+def test_short_texts_at_wide_anchors(spark, monkeypatch, size):
+    """Blocks that the text does not hold in full, at either end of it."""
+    monkeypatch.setattr(repeats, "WIDE", 1)
+    rng = random.Random(size)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage = some(size)
+    rows = [(i, some(rng.choice([0, 0, 5, 300])) + passage[rng.choice([0, 0, 1, 20]) :] + some(rng.choice([0, 0, 5, 300]))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    check(df, df.collect(), 400)
