@@ -22,12 +22,12 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Substrings:
-    """Hashes of substrings of ``data`` (uint8)."""
+    """Hashes of substrings of ``data`` (uint8, or uint64 of values that are hashes already)."""
 
     def __init__(self, data: np.ndarray):
         up, self.down = _powers_to(len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum((_BYTE[data] if data.dtype == np.uint8 else data) * up[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of data[start:end], equal for equal bytes wherever they lie."""

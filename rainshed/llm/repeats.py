@@ -22,7 +22,13 @@ within the text.
    RUN - 1 bytes on either side of its core. A core with more than ``SORTED`` such runs is not brought into one task: its
    windows become rows, compared by core and the bytes about it.
 
-Contexts, covers and cores are told apart by 64-bit hashes, seeds differing; suffixes are compared byte by byte.
+Passages under ``length`` bytes stay, however many words they have. If ``words`` is given, windows of that many words that
+another text holds too are counted beside that, in the same passes: the anchor of a window is the first of the smallest
+hashes of its ``SHINGLE`` word strings, and every window has one. Windows of an anchor are told together first (the context),
+and where texts share an anchor and not its context one by one. Of a context that several texts hold, two stand for it: a
+window of any third text is then in another one than itself. Rows that are equal in all columns are one text here.
+
+Contexts, covers, cores and words are told apart by 64-bit hashes, seeds differing; suffixes are compared byte by byte.
 
 Edge cases: a null text is empty; texts under ``length`` bytes lose nothing; repeated rows are copies of each other. Rows
 are told apart by a hash of all columns, which equal rows share, as they share the result.
@@ -42,6 +48,8 @@ from .hashing import Substrings, mix
 
 LENGTH = 400
 ANCHOR = 64
+WORDS = 51
+SHINGLE = 8  # words
 SHALLOW = 32
 WIDE = 512
 RUN = 16
@@ -74,28 +82,67 @@ def anchors_of(data: np.ndarray, length: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
+_SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
+
+
+def _words(data: np.ndarray, sub: Substrings) -> np.ndarray:
+    """Hashes of the words of a text."""
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return sub.of(edges[::2], edges[1::2])
+
+
+def _word_anchors(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of anchors of windows of ``words`` words; the first window of each and how many windows it has."""
+    places, firsts = [], []
+    for at in range(0, len(hashes) - words + 1, PIECE):
+        piece = hashes[at : at + PIECE + words - 1]
+        starts = np.arange(len(piece) - SHINGLE + 1)
+        ranked = (Substrings(piece).of(starts, starts + SHINGLE) >> np.uint64(22) << np.uint64(22)) | starts.astype(np.uint64)
+        place = (_window_minima(ranked, words - SHINGLE + 1) & np.uint64((1 << 22) - 1)).astype(np.int64)
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        places.append(place[first] + at)
+        firsts.append(first + at)
+    first = np.concatenate(firsts)
+    return np.concatenate(places), first, np.diff(first, append=len(hashes) - words + 1)
+
+
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def _anchor_rows(length: int):
-    """Per text: its anchors, as (key, context, row, at, end of the text)."""
+_ANCHOR = "key bigint, context bigint, row bigint, at bigint, size bigint, words boolean"
+_TURN = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _anchor_rows(length: int, words: int | None):
+    """Per text: its anchors, as (key, context, row, at, end of the text); those of windows of words as (key, context, row,
+    first window, how many windows)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in zip(slices(batch.column(0)), slices(batch.column(1).cast(pa.binary())), strict=True):
-                out = []
+                out, of_words = [], []
                 for row, t in zip(ids.to_pylist(), texts.to_pylist(), strict=True):
-                    if t is None or len(t) < length:
+                    if t is None or len(t) < (length if words is None else min(length, 2 * words - 1)):
                         continue
                     data = np.frombuffer(t, np.uint8)
-                    at = anchors_of(data, length)
-                    start, end = np.maximum(at - (length - ANCHOR), 0), np.minimum(at + length, len(data))
                     sub = Substrings(data)
-                    context = mix(sub.of(start, end) + (at - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                    out.append((sub.of(at, at + ANCHOR), context, np.full(len(at), row, np.int64), at, np.full(len(at), len(data), np.int64)))
-                columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(5)]
-                yield pa.RecordBatch.from_arrays([_signed(c) for c in columns], names=["key", "context", "row", "at", "size"])
+                    if len(t) >= length:
+                        at = anchors_of(data, length)
+                        start, end = np.maximum(at - (length - ANCHOR), 0), np.minimum(at + length, len(data))
+                        context = mix(sub.of(start, end) + (at - start).astype(np.uint64) * _TURN)
+                        out.append((sub.of(at, at + ANCHOR), context, np.full(len(at), row, np.int64), at, np.full(len(at), len(data), np.int64)))
+                    if words is not None and len(hashes := _words(data, sub)) >= words:
+                        sub = Substrings(hashes)
+                        at, first, many = _word_anchors(hashes, words)
+                        context = mix(sub.of(first, first + many + words - 1) + (at - first).astype(np.uint64) * _TURN)
+                        of_words.append((sub.of(at, at + SHINGLE), context, np.full(len(at), row, np.int64), first, many))
+                for kind, found in ((False, out), (True, of_words)):
+                    columns = [_signed(np.concatenate([o[i] for o in found])) if found else pa.array([], pa.int64()) for i in range(5)]
+                    columns.append(pa.array(np.full(len(columns[0]), kind)))
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "context", "row", "at", "size", "words"])
 
     return rows
 
@@ -250,7 +297,7 @@ def _compare(need: int, core: int = 0):
     return compare
 
 
-_CUT = "row bigint, key bigint, at bigint, before binary, after binary, low bigint, block bigint"
+_CUT = "row bigint, key bigint, at bigint, before binary, after binary, low bigint, block bigint, window bigint"
 _RUN = "row bigint, at bigint, before binary, after binary, cover bigint, core bigint"
 
 
@@ -307,8 +354,15 @@ def _runs_of(length: int):
     return rows
 
 
-def _cut_out(length: int):
-    """Contexts of a text's anchors as bytes; of wide anchors the blocks of windows through them."""
+def _windows(row: int, hashes: np.ndarray, spots: list[dict], words: int) -> tuple[np.ndarray, ...]:
+    """Windows of words of a text: (row, place, 1 if it is known to be shared and stands for others only, hash)."""
+    first, many, known = (np.array([a[k] for a in spots], np.int64) for k in ("at", "size", "known"))
+    starts = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+    return np.full(len(starts), row), starts, np.repeat(known, many), Substrings(hashes).of(starts, starts + words)
+
+
+def _cut_out(length: int, words: int | None):
+    """Contexts of a text's anchors as bytes; of wide anchors the blocks of windows through them; windows of words."""
     schema = _arrow(_CUT)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,16 +370,23 @@ def _cut_out(length: int):
             texts = unpacked(batch.column("data"))
             for piece in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
                 out: list[tuple] = []
-                for row, anchors in zip(piece.column("row").to_pylist(), piece.column("anchors").to_pylist(), strict=True):
+                of_words: list[tuple] = []
+                for row, anchors, spots in zip(*(piece.column(c).to_pylist() for c in ("row", "anchors", "windows")), strict=True):
                     t = next(texts)
-                    sub = Substrings(np.frombuffer(t, np.uint8)) if any(a["contexts"] > WIDE for a in anchors) else None
+                    sub = Substrings(np.frombuffer(t, np.uint8)) if spots or any(a["contexts"] > WIDE for a in anchors) else None
+                    if spots:
+                        of_words.append(_windows(row, _words(np.frombuffer(t, np.uint8), sub), spots, words))
                     for a in anchors:
                         at = a["at"]
                         if a["contexts"] <= WIDE:
-                            out.append((row, a["key"], at, t[max(0, at - (length - ANCHOR)) : at], t[at : at + length], None, None))
+                            out.append((row, a["key"], at, t[max(0, at - (length - ANCHOR)) : at], t[at : at + length], None, None, None))
                         else:
-                            out += [(row, None, s, None, *b) for s, *b in _blocks(t, sub, at, length)]
+                            out += [(row, None, s, None, *b, None) for s, *b in _blocks(t, sub, at, length)]
                 yield _batch(out, schema)
+                if of_words:
+                    columns = dict(zip(("row", "at", "low", "window"), (_signed(np.concatenate(c)) for c in zip(*of_words, strict=True)), strict=True))
+                    n = len(columns["row"])
+                    yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
     return rows
 
@@ -339,10 +400,28 @@ def _marked(df: DataFrame, by: str, name: str) -> DataFrame:
     return materialize(marked.withColumns({"twice": F.col("one").isNotNull(), "stands": stands}).drop("one", "place"), name)
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(row, start, end): bytes of ``texts`` (row, text) that lie in repeated strings of ``length`` bytes; may overlap."""
-    anchors = texts.mapInArrow(_anchor_rows(length), "key bigint, context bigint, row bigint, at bigint, size bigint")
-    anchors = materialize(anchors, "anchors")
+def _met(anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, n): windows of words in contexts that several texts hold; (row, w): windows to be told one by one, of anchors
+    that texts share in several contexts."""
+    held = anchors.groupBy("key", "context").agg(F.min("row").alias("one"), F.max("row").alias("other"))
+    held = materialize(held, "held")
+    shared = materialize(held.filter("one <> other").select("key", "context"), "shared-contexts")
+    # sets, as equal rows share their number
+    known = anchors.join(shared, ["key", "context"]).groupBy("row").agg(F.collect_set(F.struct("at", "size")).alias("w"))
+    known = known.select("row", F.aggregate("w", F.lit(0).cast("long"), lambda n, w: n + w["size"]).alias("n"))
+    keys = held.groupBy("key").agg(F.count("*").alias("n"), F.min("one").alias("low"), F.max("other").alias("high"))
+    keys = materialize(keys.filter("n > 1 and low <> high").select("key"), "parted")
+    parted = materialize(held.join(keys, "key"), "parted-contexts")
+    apart = anchors.join(parted, ["key", "context"]).filter("row = one or row = other")
+    return known, apart.select("row", F.struct("at", "size", (F.col("one") != F.col("other")).alias("known")).alias("w"))
+
+
+def repeated_spans(texts: DataFrame, length: int = LENGTH, words: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(row, start, end): bytes of ``texts`` (row, text) that lie in repeated strings of ``length`` bytes; may overlap.
+
+    And, unless ``words`` is None, (row, n): windows of so many words that another text holds too, in parts to be summed."""
+    found = materialize(texts.mapInArrow(_anchor_rows(length, words), _ANCHOR), "anchors")
+    anchors = found.filter("not words")
     # one place of each context stands for it
     counts = anchors.groupBy("key", "context").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min_by("at", "row").alias("at"))
     counts = materialize(counts, "contexts")
@@ -351,12 +430,19 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = anchors.join(twice, ["key", "context"]).select("row", low.alias("start"), high.alias("end"))
     several = materialize(counts.groupBy("key").agg(F.count("*").alias("contexts")).filter("contexts > 1"), "several")
     standing = counts.join(several, "key").select("row", F.struct("key", "at", "contexts").alias("a"))
-    wanted = materialize(standing.groupBy("row").agg(F.collect_list("a").alias("anchors")), "places")
+    if words is not None:
+        known, apart = _met(found.filter("words"))
+        standing = standing.unionByName(apart, allowMissingColumns=True)
+    else:
+        standing = standing.withColumn("w", F.lit(None).cast("struct<at:bigint,size:bigint,known:boolean>"))
+    wanted = standing.groupBy("row")
+    wanted = materialize(wanted.agg(F.collect_list("a").alias("anchors"), F.collect_set("w").alias("windows")), "places")
     packs = texts.select("row", packed("text").alias("data"))
-    cuts = materialize(packs.join(wanted, "row").select("row", "data", "anchors").mapInArrow(_cut_out(length), _CUT), "cuts")
+    cuts = packs.join(wanted, "row").select("row", "data", "anchors", "windows").mapInArrow(_cut_out(length, words), _CUT)
+    cuts = materialize(cuts, "cuts")
     narrow = cuts.filter("key is not null").select("row", "key", "at", "before", "after")
     narrow = narrow.groupBy("key").applyInArrow(_compare(length), "row bigint, start bigint, end bigint")
-    blocks = cuts.filter("key is null").select("row", "at", "after", "low", "block").dropDuplicates(["row", "at", "block"])
+    blocks = cuts.filter("key is null and window is null").select("row", "at", "after", "low", "block").dropDuplicates(["row", "at", "block"])
     blocks = _marked(blocks, "block", "blocks")
     in_blocks = blocks.filter("twice").select("row", F.col("low").alias("start"), (F.col("low") + F.octet_length("after")).alias("end"))
     runs = blocks.filter("stands").select("row", "at", "after", "low").mapInArrow(_runs_of(length), _RUN)
@@ -381,15 +467,30 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     seen = windows.groupBy(*window).count().filter("count > 1").select(*window)
     counted = windows.join(seen, window).select("row", "start", (F.col("start") + length).alias("end"))
     wide = in_blocks.union(covered).union(sorted_ends).union(counted)
-    return whole.union(narrow).union(wide)
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, out: str = "kept", spans: str = "removed") -> DataFrame:
-    """``docs`` with the remaining bytes (``out``) and the maximal removed runs (``spans``) in place of the text."""
-    names = [F.col(c) for c in docs.columns if c not in (text, out, spans)]
+    spans = whole.union(narrow).union(wide)
+    if words is None:
+        return spans, None
+    windows = cuts.filter("window is not null").select("row", "at", "window", "low")
+    again = windows.groupBy("window").agg(F.min("row").alias("one"), F.max("row").alias("other")).filter("one <> other")
+    again = windows.filter("low = 0").join(materialize(again.select("window"), "windows"), "window")
+    return spans, known.union(again.groupBy("row").agg(F.size(F.collect_set("at")).cast("long").alias("n")))
+
+
+def remove_repeats(
+    docs: DataFrame, text: str = "text", length: int = LENGTH, out: str = "kept", spans: str = "removed", words: int | None = None, shared: str = "shared"
+) -> DataFrame:
+    """``docs`` with the remaining bytes (``out``) and the maximal removed runs (``spans``) in place of the text.
+
+    With ``words``, ``shared`` is the number of the text's windows of that many words that another text holds too."""
+    gone = (text, out, spans, *([shared] if words is not None else []))
+    names = [F.col(c) for c in docs.columns if c not in gone]
     row = F.xxhash64(*names, text)
-    found = repeated_spans(docs.select(row.alias("row"), F.col(text).alias("text")), length)
-    found = materialize(found.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("found")), "spans")
+    found, windows = repeated_spans(docs.select(row.alias("row"), F.col(text).alias("text")), length, words)
+    found = found.select("row", F.struct("start", "end").alias("f"))
+    if words is not None:
+        found = found.unionByName(windows, allowMissingColumns=True)
+    n = F.coalesce(F.sum("n"), F.lit(0)) if words is not None else F.lit(0)
+    found = materialize(found.groupBy("row").agg(F.collect_set("f").alias("found"), n.cast("long").alias("n")), "spans")
 
     @F.arrow_udf("struct<kept:binary,removed:array<struct<start:bigint,end:bigint>>>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -409,13 +510,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ou
             yield pa.array(out, kind)
 
     packs = docs.select(F.struct(*names).alias("doc"), row.alias("row"), packed(text).alias("data"))
-    done = packs.join(found, "row", "left").select("doc", cut("data", "found").alias("c"))
-    return done.select("doc.*", F.col("c.kept").alias(out), F.col("c.removed").alias(spans))
+    done = packs.join(found, "row", "left").select("doc", cut("data", "found").alias("c"), F.coalesce("n", F.lit(0)).alias("n"))
+    more = [F.col("n").alias(shared)] if words is not None else []
+    return done.select("doc.*", F.col("c.kept").alias(out), F.col("c.removed").alias(spans), *more)
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every text without strings of 400 bytes that occur elsewhere."""
-    docs = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """What is left of every text without strings of 400 bytes that occur elsewhere; beside it, without effect on what is
+    removed, how many strings of over 50 words other documents hold too."""
+    docs = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), words=WORDS)
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     return docs.select(
         "doc_id",
@@ -423,4 +526,5 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         n_removed.alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.col("shared").alias("n_shared_windows"),
     )

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rainshed.llm import repeats
 
@@ -123,3 +125,60 @@ def test_short_texts_at_wide_anchors(spark, monkeypatch, size):
     rows = [(i, some(rng.choice([0, 0, 5, 300])) + passage[rng.choice([0, 0, 1, 20]) :] + some(rng.choice([0, 0, 5, 300]))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     check(df, df.collect(), 400)
+
+
+def plain_windows(rows, words):
+    """Windows of words of each text that a text of another row holds too."""
+    split = [re.split(rb"[\x20\x09-\x0D]+", (r.text or "").encode().strip(b" \t\n\v\f\r")) for r in rows]
+    wins = [[tuple(w[i : i + words]) for i in range(len(w) - words + 1)] for w in split]
+    holders = {}
+    for r, ws in zip(rows, wins, strict=True):
+        for w in ws:
+            holders.setdefault(w, set()).add(tuple(r))
+    return [sum(len(holders[w]) > 1 for w in ws) for ws in wins]
+
+
+def test_passages_of_over_fifty_words_below_the_length(spark, tmp_path):
+    """51 to 59 words of under 400 bytes stay, as the contract has it, but the query tells that other texts hold them."""
+    rng = random.Random(4)
+    some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 6))) for _ in range(n))
+    passages = [some(n) for n in (50, 51, 55, 59)]
+    assert all(len(p) < 400 for p in passages)
+    rows = [(i, f"{some(rng.randint(0, 80))}\n{passages[i % 4]}  {some(rng.randint(0, 80))}") for i in range(24)]
+    rows += [(24, some(200)), (25, f"{(p := some(60))} {some(40)} {p}"), (26, None), (27, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in repeats.op10_repeated_passages(spark, str(tmp_path)).collect()}
+    assert all(got[i].n_removed == 0 for i in range(25)) and got[25].n_removed == 0
+    assert [got[i].n_shared_windows for i in range(28)] == [(0, 1, 5, 9)[i % 4] if i < 24 else 0 for i in range(28)]
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 37])
+@pytest.mark.parametrize("seed", range(3))
+def test_shared_windows(spark, monkeypatch, seed, piece):
+    """Copies, near copies, passages at odd places, repeats within one text, other white space, anchors of many contexts."""
+    monkeypatch.setattr(repeats, "PIECE", piece * 100 if piece < 100 else piece)
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 3)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    pieces = [some(rng.randint(5, 60)) for _ in range(10)] + ["la " * 40]
+    texts = []
+    for _ in range(70):
+        parts = [" ".join((p := rng.choice(pieces).split())[rng.randint(0, 4) : len(p) - rng.randint(0, 4)]) if rng.random() < 0.7 else some(rng.randint(0, 9)) for _ in range(rng.randint(0, 7))]
+        texts.append(rng.choice([" ", "\n", " \t "]).join(parts))
+    texts += rng.sample(texts, 8) + [None, "", " ", texts[0] + " end", texts[1].replace(" ", "  ")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    rows = df.collect()
+    want = dict(zip([r.doc_id for r in rows], plain_windows(rows, 20), strict=True))
+    got = repeats.remove_repeats(df, length=100, words=20).collect()
+    assert {r.doc_id: r.shared for r in got} == want and 0 < sum(map(bool, want.values())) < len(want)
+    plainly = {r.doc_id: (bytes(r.kept), r.removed) for r in repeats.remove_repeats(df, length=100).collect()}
+    assert {r.doc_id: (bytes(r.kept), r.removed) for r in got} == plainly
+
+
+def test_shared_windows_of_odd_rows(edge, none):
+    rows = edge.select("doc_id", "lang", "text").collect()
+    want = {tuple(r): n for r, n in zip(rows, plain_windows(rows, 51), strict=True)}
+    got = repeats.remove_repeats(edge.select("doc_id", "lang", "text", F.col("text").alias("same")), words=51).collect()
+    assert len(got) == len(rows)
+    assert [(r.doc_id, r.shared, want[r.doc_id, r.lang, r.same]) for r in got if want[r.doc_id, r.lang, r.same] != r.shared] == []
+    assert repeats.remove_repeats(none, words=51).count() == 0
